@@ -25,21 +25,13 @@ PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 CURRENCY_PREFIX = r"^[₹$€£¥\s]*(?:Rs\.?|USD|EUR|GBP|INR|AUD|CAD)?\s*"
 AMOUNT = r"([\d,]+\.?\d*)"
-# unit spelling -> multiplier, for normalize_currency
-CURRENCY_UNITS = {
-    r"lakhs?|lacs?|l": 100_000.0,
-    r"crores?|cr|c": 10_000_000.0,
-    r"billions?|b|bn": 1_000_000_000.0,
-    r"millions?|m|mn": 1_000_000.0,
-    r"thousands?|k": 1_000.0,
-}
-# unit spelling -> multiplier, for the median / mean parser
+# unit spellings of normalize_currency, and their multipliers by first letter
+CURRENCY_UNITS = r"lakhs?|lacs?|l|crores?|cr|c|billions?|b|bn|millions?|m|mn|thousands?|k"
+# unit spellings of the median / mean parser
 SHORTHAND_PREFIX = r"^[₹$€£¥\s]*(?:Rs\.?\s*)?"
-SHORTHAND_UNITS = {
-    r"l|lac|lacs|lakh|lakhs": 100_000.0,
-    r"cr|crore|crores": 10_000_000.0,
-    r"k": 1_000.0,
-    r"m|mn": 1_000_000.0,
+SHORTHAND_UNITS = r"l|lac|lacs|lakh|lakhs|cr|crore|crores|k|m|mn"
+UNIT_FACTORS = {
+    "l": 100_000.0, "c": 10_000_000.0, "b": 1_000_000_000.0, "m": 1_000_000.0, "t": 1_000.0, "k": 1_000.0,
 }
 # number words of the standalone dedup key, tried in this order
 NUMBER_WORDS = {"thousand": 1000.0, "hundred": 100.0, "million": 1000000.0, "lakh": 100000.0}

@@ -21,16 +21,13 @@ def clean_special_chars(c: Column, kind: str = "text") -> Column:
     return filled(F.regexp_replace(c, unwanted, ""))
 
 
-def _scaled(text: Column, prefix: str, units: dict[str, float]) -> Column:
+def _scaled(text: Column, prefix: str, units: str) -> Column:
     """Amount times its unit, NULL when the text is not ``amount unit``."""
-    spellings = "|".join(units)
-    shape = f"(?i){prefix}{fixed.AMOUNT}\\s*({spellings})\\s*$"
-    unit = F.regexp_extract(text, shape, 2)
+    shape = f"(?i){prefix}{fixed.AMOUNT}\\s*({units})\\s*$"
+    letter = F.lower(F.left(F.regexp_extract(text, shape, 2), F.lit(1)))
     amount = F.replace(F.regexp_extract(text, shape, 1), F.lit(","), F.lit("")).try_cast("double")
-    factor = F.lit(None).cast("double")
-    for spelling, multiplier in units.items():
-        factor = F.when(unit.rlike(f"(?i)^(?:{spelling})$"), F.lit(multiplier)).otherwise(factor)
-    return F.when(unit != "", amount * factor)
+    factors = F.create_map(*[F.lit(x) for pair in fixed.UNIT_FACTORS.items() for x in pair])
+    return amount * F.try_element_at(factors, letter)
 
 
 def currency_amount(c: Column) -> Column:

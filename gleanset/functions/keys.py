@@ -17,17 +17,14 @@ def canonical(c: Column, kind: str) -> Column:
     """Value under which two cells of the same type count as equal."""
     text = strip(c)
     if kind == "email":
+        # the part after the first @ decides whether dots and + tags count
         lowered = F.lower(text)
-        at = F.instr(lowered, "@")
-        local = F.substring_index(lowered, "@", 1)
-        domain = F.substr(lowered, at + 1)
-        plain_local = F.replace(F.substring_index(local, "+", 1), F.lit("."), F.lit(""))
-        kept = F.when(domain.isin(fixed.ALIASED_MAIL_DOMAINS), plain_local).otherwise(local)
-        return F.when(at > 0, F.concat(kept, F.lit("@"), domain)).otherwise(lowered)
+        domains = "|".join(d.replace(".", r"\.") for d in fixed.ALIASED_MAIL_DOMAINS)
+        local = F.replace(F.regexp_extract(lowered, r"^([^@+]*)", 1), F.lit("."), F.lit(""))
+        plain = F.concat(local, F.lit("@"), F.substring_index(lowered, "@", -1))
+        return F.when(lowered.rlike(f"^[^@]*@({domains})$"), plain).otherwise(lowered)
     if kind == "phone":
-        digits = F.regexp_replace(text, r"[^\d]", "")
-        country = digits.startswith("91") & (F.length(digits) > 10)
-        return F.when(country, F.substr(digits, F.lit(3))).otherwise(digits)
+        return F.regexp_replace(F.regexp_replace(text, r"[^\d]", ""), r"^91(?=\d{9,}$)", "")
     if kind in ("text", "url"):
         return squeeze(F.lower(text))
     return text

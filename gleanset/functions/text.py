@@ -20,7 +20,7 @@ def squeeze(c: Column) -> Column:
 
 def missing(c: Column) -> Column:
     """NULL or blank after strip."""
-    return c.isNull() | (strip(c) == "")
+    return F.coalesce(strip(c), F.lit("")) == ""
 
 
 def empty(c: Column) -> Column:
@@ -35,15 +35,15 @@ def filled(c: Column) -> Column:
 
 def plain_number(c: Column) -> Column:
     """Parse ordinary decimal text; NULL for everything else."""
-    text = strip(c)
-    return F.when(text.rlike(fixed.PLAIN_NUMBER), text.try_cast("double"))
+    return F.regexp_extract(strip(c), fixed.PLAIN_NUMBER, 0).try_cast("double")
 
 
 def number_text(x: Column) -> Column:
-    """Decimal text of a double with at least one digit after the point."""
-    exact = F.regexp_replace(x.try_cast("decimal(38,12)").cast("string"), r"0+$", "")
-    padded = F.when(exact.endswith("."), F.concat(exact, F.lit("0"))).otherwise(exact)
-    return F.coalesce(padded, x.cast("string"))
+    """Decimal text of a double with at least one digit after the point.
+
+    Each helper here uses its argument once, so nested rules stay small plans.
+    """
+    return F.regexp_replace(x.try_cast("decimal(38,12)").cast("string"), r"(\.\d+?)0*$", "$1")
 
 
 def title_case(c: Column) -> Column:

@@ -156,16 +156,16 @@ def _statistics(frame: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
 
 
 def clean_values(
-    df: DataFrame, rules: list[Rule], types: dict[str, str], columns: list[str]
+    df: DataFrame, rules: list[Rule], types: dict[str, str]
 ) -> tuple[DataFrame, list[tuple[int, str, str, str]]]:
     """Apply the cleaning rules; returns the frame and its missing-value flags.
 
     Each layer is one select. A median or mean is taken over all rows at the
     rule's own position and joined as a single broadcast row.
     """
+    ruled = {r.column for r in rules}
     frame = df.select(
-        *[F.col(f"`{c}`") for c in df.columns if c not in columns],
-        *[F.col(f"`{c}`").cast("string").alias(c) for c in columns],
+        *[F.col(f"`{c}`").cast("string").alias(c) if c in ruled else F.col(f"`{c}`") for c in df.columns]
     )
     chosen = [(i, r) for i, r in enumerate(rules) if REGISTRY[r.name].kind == "cleaning"]
     flags: list[tuple[int, str, str, str]] = []
@@ -301,11 +301,12 @@ def clean(
     exact duplicates, fuzzy duplicates.
     """
     columns = [c for c in df.columns if c != row_id]
-    kinds = column_types(df, columns, row_id, types)
-    dedupe = [c for c in dedupe or [] if c in kinds]
+    dedupe = [c for c in dedupe or [] if c in columns]
+    used = {r.column for r in rules}.union(dedupe)
+    kinds = column_types(df, [c for c in columns if c in used], row_id, types)
     usable, warned = compatible_rules(rules, kinds)
     warnings = df.sparkSession.createDataFrame(warned, "rule string, column string, message string")
-    frame, flags = clean_values(df, usable, kinds, columns)
+    frame, flags = clean_values(df, usable, kinds)
     checked = validate_rows(flag_missing(frame, flags), usable, row_id)
     deduped = remove_duplicates(checked, dedupe, kinds, columns, row_id, 2 * len(usable))
     classified = deduped.withColumn("__outcome", F.coalesce("__outcome", F.lit("cleaned")))
