@@ -172,7 +172,7 @@ _check("v8_validate_not_empty", "validate_not_empty", "contacts", "record_id", "
 SELECT record_id, count(*) OVER (PARTITION BY phone) > 1 AS failed,
   CASE WHEN count(*) OVER (PARTITION BY phone) > 1 THEN 'Repeated identifier in column ''phone''' END AS message FROM contacts""")
 def _(t: Tables):
-    marked = repeated(t.contacts.select("record_id", "phone"), "phone", "record_id", "failed")
+    marked = repeated(t.contacts.select("record_id", "phone"), ["phone"], "record_id", "failed")
     return marked.select("record_id", "failed", F.when(c("failed"), "Repeated identifier in column 'phone'").alias("message"))
 
 

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from gleanset import fixed
 from gleanset.functions.keys import fuzzy_text, normalized, similarity, similarity_bound
-from gleanset.operators.skew import attach, same, without_heaviest
+from gleanset.operators.skew import HOT_ROWS, attach, same, without_heaviest
+
+
+_ID_RANGE = 10**20
 
 
 def completeness(columns: list[str]) -> Column:
@@ -17,13 +20,43 @@ def completeness(columns: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [F.col(f"`{c}`").isNotNull().cast("int") for c in columns])
 
 
-def key_winners(rows: DataFrame, keys: list[str], score: str, row_id: str) -> DataFrame:
+def _place(score: str, row_id: str) -> Column:
+    """Rank of a row inside its key as one number: high score first, then low id.
+
+    A plain decimal keeps the winner aggregate on the hash path; a struct would
+    make Spark sort every task's rows by key.
+    """
+    shifted = F.col(row_id).cast("decimal(20,0)") - F.lit("-9223372036854775808").cast("decimal(20,0)")
+    return (-F.col(score)).cast("decimal(9,0)") * F.lit(str(_ID_RANGE)).cast("decimal(21,0)") + shifted
+
+
+def _place_id(place: Column) -> Column:
+    shifted = F.pmod(place, F.lit(str(_ID_RANGE)).cast("decimal(21,0)"))
+    return (shifted + F.lit("-9223372036854775808").cast("decimal(20,0)")).cast("bigint")
+
+
+def winner_id(score: str, row_id: str) -> Column:
+    """Aggregate: id of the row with the highest score, the lowest id among equals."""
+    return _place_id(F.min(_place(score, row_id)))
+
+
+def key_winners(
+    rows: DataFrame, keys: list[str], score: str, row_id: str, eligible: str | None = None
+) -> DataFrame:
     """Ids of the rows kept per key: highest score, then lowest id. NULL keys are equal.
 
-    An aggregate, so each task sends one candidate per key it holds.
+    An aggregate, so each task sends one candidate per key it holds. With
+    ``eligible``, a boolean column, only eligible rows compete; it joins the
+    key instead of being a filter, which Catalyst would push below the cleaning
+    expressions and evaluate twice.
     """
-    best = F.min_by(F.col(row_id), F.struct(-F.col(score), F.col(row_id)))
-    return rows.groupBy(*keys).agg(best.alias(row_id)).select(row_id)
+    if eligible is None:
+        return rows.groupBy(*keys).agg(winner_id(score, row_id).alias(row_id)).select(row_id)
+    kept = [F.when(F.col(eligible), F.col(k)).alias(k) for k in keys]
+    best = rows.select(eligible, score, row_id, *kept).groupBy(eligible, *keys).agg(
+        winner_id(score, row_id).alias("__best"), F.min(F.col(eligible).cast("int")).alias("__in")
+    )
+    return best.filter(F.col("__in") == 1).select(F.col("__best").alias(row_id))
 
 
 def mark_kept(rows: DataFrame, keys: list[str], score: str, row_id: str, name: str = "kept") -> DataFrame:
@@ -90,7 +123,7 @@ def drop_duplicates(
     values = [c for c in rows.columns if c != row_id]
     keyed = rows.withColumn("__key", F.concat_ws("|", *parts)).withColumn("__score", completeness(values))
     masters = keyed.groupBy("__key").agg(
-        F.min_by(F.col(row_id), F.struct(-F.col("__score"), F.col(row_id))).alias("__master"),
+        winner_id("__score", row_id).alias("__master"),
         F.count(F.lit(1)).alias("__n"),
     )
     marked = attach(keyed, masters, ["__key"], "__n", row_id)
@@ -104,11 +137,12 @@ def drop_duplicates(
     )
 
 
-def repeated(rows: DataFrame, column: str, row_id: str, name: str, hot_rows: int | None = None) -> DataFrame:
-    """Flag every row whose value occurs more than once; NULLs count as equal."""
-    counts = rows.groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
-    options = {} if hot_rows is None else {"hot_rows": hot_rows}
-    counted = attach(rows, counts, [column], "__n", row_id, **options)
+def repeated(
+    rows: DataFrame, keys: list[str], row_id: str, name: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Flag every row whose key occurs more than once; NULLs count as equal."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    counted = attach(rows, counts, keys, "__n", row_id, hot_rows)
     return counted.withColumn(name, F.col("__n") > 1).drop("__n")
 
 

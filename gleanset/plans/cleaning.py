@@ -228,11 +228,11 @@ def validate_rows(frame: DataFrame, rules: list[Rule], row_id: str | None = None
         at = len(rules) + seq
         if rule.name == "duplicate_identifier":
             name = f"__repeated{seq}"
-            living = frame.filter(alive).select(row_id, rule.column)
-            marks = repeated(living, rule.column, row_id, name).filter(name).select(row_id, name)
-            frame = frame.join(marks, row_id, "left")
+            # rows that left earlier count as a group of their own
+            frame = frame.withColumn("__alive", alive)
+            frame = repeated(frame, ["__alive", rule.column], row_id, name).drop("__alive")
             helpers.append(name)
-            fails, message = F.col(name).isNotNull(), F.lit(f"Repeated identifier in column '{rule.column}'")
+            fails, message = F.col(name), F.lit(f"Repeated identifier in column '{rule.column}'")
         else:
             fails, message = known.builder(F.col(f"`{rule.column}`"), **rule.params)
         found.append(F.when(alive & fails, _error(at, rule.name, rule.column, message)))
@@ -254,13 +254,13 @@ def remove_duplicates(
     if not used:
         return frame
     keys = {c: f"__key{i}" for i, c in enumerate(used)}
-    living = frame.filter(F.col("__outcome").isNull()).select(
-        row_id, *[F.col(f"`{c}`") for c in columns],
+    keyed = frame.select(
+        row_id, F.col("__outcome").isNull().alias("__alive"), *[F.col(f"`{c}`") for c in columns],
         *[canonical(F.col(f"`{c}`"), types[c]).alias(k) for c, k in keys.items()],
     )
-    scored = living.withColumn("__score", completeness([*columns, *keys.values()]))
     names = list(keys.values())
-    winners = key_winners(scored.select(row_id, "__score", *names), names, "__score", row_id)
+    scored = keyed.withColumn("__score", completeness([*columns, *names]))
+    winners = key_winners(scored, names, "__score", row_id, "__alive")
     marked = frame.join(winners.withColumn("__won", F.lit(True)), row_id, "left")
 
     identity = [keys[c] for c in used if types[c] in ("email", "phone")]
