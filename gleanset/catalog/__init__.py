@@ -6,7 +6,7 @@ import importlib
 
 from gleanset.catalog.base import ORACLES, QUERIES, Query
 
-MODULES = ("rules", "runs")
+MODULES = ("rules", "runs", "records")
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:

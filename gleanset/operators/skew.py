@@ -4,9 +4,9 @@ Three shapes are used throughout the library:
 
 * a fact per key (winner, count) is computed by an aggregate, so the map side
   combines the hot key before the shuffle;
-* the fact goes back to its rows by the unique row id where that is possible
-  (:func:`by_row_id` callers), since unique keys cannot be skewed;
-* where a row must meet its key's fact, :func:`attach` sends the rows of the
+* the fact goes back to its rows by the unique row id where that is possible,
+  since unique keys cannot be skewed;
+* where a row must meet its key's fact, :func:`spread_join` sends the rows of the
   heaviest keys through a broadcast of bounded size and only the rest through
   the shuffle.
 """
@@ -36,32 +36,31 @@ def heaviest(facts: DataFrame, count: str, rows: int = HOT_ROWS, keys: int = HOT
     return facts.filter(F.col(count) > rows).orderBy(F.desc(count)).limit(keys)
 
 
-def attach(
-    rows: DataFrame,
-    facts: DataFrame,
-    keys: list[str],
-    count: str,
-    row_id: str,
-    hot_rows: int = HOT_ROWS,
-    hot_keys: int = HOT_KEYS,
+def spread_join(
+    rows: DataFrame, facts: DataFrame, keys: list[str], hot: DataFrame, row_id: str, match_null: bool = True
 ) -> DataFrame:
-    """Left join ``facts`` (one row per key, with the key's row count) to ``rows``.
+    """Left join ``facts`` (one row per key) to ``rows``.
+
+    Keys compare null-safe; with ``match_null=False`` a NULL key finds nothing
+    and its rows are spread like those of a heavy key.
 
-    Keys compare null-safe. Rows of the heaviest keys take their fact from a
-    broadcast of at most ``hot_keys`` rows; in the shuffled join they carry a
-    slice number that no fact has, which spreads them over ``SLICES`` groups.
+    ``hot`` holds the facts of the heaviest keys and is bounded, so it is
+    broadcast. In the shuffled join the rows of those keys carry a slice number
+    that no fact has, which spreads them over ``SLICES`` groups.
     """
     named = [c for c in facts.columns if c not in keys]
-    hot = heaviest(facts, count, hot_rows, hot_keys)
     hot = hot.select(*[F.col(f"`{k}`") for k in keys], F.struct(*named).alias("__hot"))
     cold = facts.select(
         *[F.col(f"`{k}`") for k in keys], F.struct(*named).alias("__cold"), F.lit(0).alias("__slice")
     )
     marked = rows.alias("r").join(F.broadcast(hot).alias("h"), same("r", "h", keys), "left")
+    apart = F.col("h.__hot").isNotNull()
+    if not match_null:
+        apart = apart | reduce(lambda a, b: a | b, [F.col(f"r.`{k}`").isNull() for k in keys])
     sliced = marked.select(
         "r.*",
         "h.__hot",
-        F.when(F.col("h.__hot").isNull(), 0)
+        F.when(~apart, 0)
         .otherwise(1 + F.pmod(F.xxhash64(F.col(f"r.`{row_id}`")), F.lit(SLICES)))
         .cast("int")
         .alias("__slice"),
@@ -75,32 +74,27 @@ def attach(
     )
 
 
+def attach(
+    rows: DataFrame, facts: DataFrame, keys: list[str], count: str, row_id: str,
+    hot_rows: int = HOT_ROWS, hot_keys: int = HOT_KEYS,
+) -> DataFrame:
+    """:func:`spread_join` of facts that carry the row count of their key."""
+    return spread_join(rows, facts, keys, heaviest(facts, count, hot_rows, hot_keys), row_id)
+
+
+def lookup(
+    rows: DataFrame, table: DataFrame, keys: list[str], row_id: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """:func:`spread_join` of another table; the heavy keys are counted on the rows."""
+    counts = rows.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    heavy = heaviest(counts, "__rows", hot_rows).select(*keys)
+    hot = table.alias("t").join(F.broadcast(heavy).alias("h"), same("t", "h", keys), "left_semi")
+    return spread_join(rows, table, keys, hot, row_id, match_null=False)
+
+
 def without_heaviest(
     rows: DataFrame, facts: DataFrame, keys: list[str], count: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Rows outside the heaviest keys; for callers whose rule ignores big groups."""
     hot = heaviest(facts, count, hot_rows).select(*keys)
     return rows.alias("r").join(F.broadcast(hot).alias("h"), same("r", "h", keys), "left_anti")
-
-
-def salted_join(
-    rows: DataFrame,
-    dimension: DataFrame,
-    keys: list[str],
-    how: str,
-    row_id: str,
-    slices: int = SLICES,
-) -> DataFrame:
-    """Join rows to a much smaller table whose hot keys may own most rows.
-
-    Each dimension row is repeated once per slice and each row picks a slice by
-    its id, so a hot key is spread over ``slices`` tasks. Inner, left and
-    left-semi joins only; key columns come from ``rows``.
-    """
-    if how not in ("inner", "left", "left_semi"):
-        raise ValueError(f"salted_join cannot do a {how} join")
-    spread = dimension.withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    sliced = rows.withColumn(
-        "__slice", F.pmod(F.xxhash64(F.col(f"`{row_id}`")), F.lit(slices)).cast("int")
-    )
-    return sliced.join(spread, [*keys, "__slice"], how).drop("__slice")
