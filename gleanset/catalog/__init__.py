@@ -6,7 +6,7 @@ import importlib
 
 from gleanset.catalog.base import ORACLES, QUERIES, Query
 
-MODULES = ("rules", "runs", "records", "activity")
+MODULES = ("rules", "runs", "records", "activity", "files", "streams")
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:

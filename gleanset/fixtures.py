@@ -198,6 +198,14 @@ def _spark_text(sf_dir: str, name: str) -> str:
     return re.sub(rf"\b(FROM|JOIN) ({names})\b", source, VIEWS[name])
 
 
+def stream_view(spark: SparkSession, name: str, table: str, stream: DataFrame) -> DataFrame:
+    """A derived view that reads a streaming table instead of the files."""
+    source = f"base_{table}"
+    stream.createOrReplaceTempView(source)
+    text = re.sub(rf"\bFROM {table}\b", f"FROM {source} {table}", VIEWS[name])
+    return spark.sql(text)
+
+
 def with_views(sql: str, *names: str) -> str:
     """Prefix a query with the views it reads, as common table expressions."""
     ordered: list[str] = []
@@ -207,6 +215,7 @@ def with_views(sql: str, *names: str) -> str:
                 ordered.append(needed)
     parts = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in ordered)
     body = sql.strip()
-    if body[:5].upper() == "WITH ":
-        return f"WITH {parts},\n{body[5:]}"
+    found = re.match(r"WITH( RECURSIVE)? ", body)
+    if found:
+        return f"{found.group(0)}{parts},\n{body[found.end():]}"
     return f"WITH {parts}\n{body}"

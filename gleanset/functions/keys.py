@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanset import fixed
 from gleanset.functions.cleaning import lower_email
@@ -77,7 +78,7 @@ def fuzzy_text(c: Column) -> Column:
     return strip(squeeze(words))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratcliff_obershelp(a: pd.Series, b: pd.Series) -> pd.Series:
     seen: dict[tuple[str, str], float] = {}
     out = []

@@ -72,19 +72,18 @@ def ingest_stream(
     tables, so a repeated batch replaces its own rows and nothing else.
     """
     spark = files.sparkSession
-    empty = spark.createDataFrame([], f"`{row_id}` string, file_id string, imported_by string, "
-                                  + ", ".join(f"`{c}` string" for c in columns) + ", custom_fields map<string,string>")
+    known = ", ".join([*[f"`{c}` string" for c in columns], "custom_fields map<string,string>"])
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         kept = batch.persist()
-        stored = spark.read.schema(
-            empty.schema.add("batch_id", "int")).parquet(f"{root}/master").filter(F.col("batch_id") != batch_id)
-        done = ingest(kept, mapping, stored.drop("batch_id"), columns, row_id, user=user)
+        master = spark.read.schema(f"{known}, batch_id int").parquet(f"{root}/master")
+        stored = master.filter(F.col("batch_id") != batch_id).drop("batch_id")
+        done = ingest(kept, mapping, stored, columns, row_id, user=user)
         for rows, table in ((done.accepted, "master"), (done.rejected, "rejected"), (done.ledger, "ledger")):
             rows.write.mode("overwrite").parquet(f"{root}/{table}/batch_id={batch_id}")
         kept.unpersist()
 
-    empty.write.mode("overwrite").parquet(f"{root}/master/batch_id=-1")
+    spark.createDataFrame([], known).write.mode("overwrite").parquet(f"{root}/master/batch_id=-1")
     return (
         files.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{root}/checkpoint")
         .foreachBatch(handle).start()
