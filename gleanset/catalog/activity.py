@@ -116,7 +116,7 @@ def _(t: Tables):
 SELECT (SELECT count(*) FROM change_requests WHERE status = 'pending') AS pending, (SELECT count(*) FROM notifications WHERE is_read = 0) AS unread""")
 def _(t: Tables):
     pending = t.change_requests.agg(F.count_if(c("status") == "pending").alias("pending"))
-    return pending.crossJoin(t.notifications.agg(F.count_if(c("is_read") == 0).alias("unread")))
+    return pending.withColumn("unread", t.notifications.agg(F.count_if(c("is_read") == 0)).scalar())
 
 
 # ── Log and user listings ───────────────────────────────────────────────────

@@ -42,12 +42,12 @@ def _(t: Tables):
 
 @query("s3_json_records", "SELECT record_id, full_name, email FROM contacts")
 def _(t: Tables):
-    """Half of the files hold plain objects, half an object with a records array."""
+    """Some files hold plain objects, others objects with a records array."""
     path = scratch_path(t.spark, "json")
-    rows = t.contacts.select("record_id", "full_name", "email")
-    rows.filter("record_id % 2 = 0").write.json(f"{path}/plain")
-    odd = rows.filter("record_id % 2 = 1").select(F.array(F.struct("*")).alias("records"))
-    odd.write.json(f"{path}/nested")
+    rows = t.contacts.select("record_id", "full_name", "email", "website")
+    rows.filter("website is null").drop("website").write.json(f"{path}/plain")
+    nested = rows.filter("website is not null").drop("website").select(F.array(F.struct("*")).alias("records"))
+    nested.write.json(f"{path}/nested")
     return readers.read_json_records(t.spark, f"{path}/*", "record_id bigint, full_name string, email string")
 
 

@@ -174,7 +174,7 @@ _INGEST_SQL = rf"""
 WITH {_MAP_SQL},
 incoming AS (SELECT m.*, record_id % 3 AS file_id, concat_ws('|', coalesce(phone, ''), lower(coalesce(email_address, '')), lower(coalesce(first_name, '')), lower(coalesce(last_name, ''))) AS k FROM mapped m
   WHERE coalesce(phone, email_address, first_name, last_name) IS NOT NULL),
-judged AS (SELECT i.*, row_number() OVER (PARTITION BY k ORDER BY record_id) > 1 OR k IN (SELECT k FROM incoming s WHERE s.record_id % 10 = 0 AND s.record_id % 2 = 0) AS is_duplicate FROM incoming i)
+judged AS (SELECT i.*, row_number() OVER (PARTITION BY k ORDER BY record_id) > 1 OR k IN (SELECT k FROM incoming s WHERE s.segment = 'BUILDING') AS is_duplicate FROM incoming i)
 """
 
 
@@ -183,7 +183,7 @@ def _incoming(t: Tables):
 
 
 def _stored(t: Tables):
-    return hybrid.map_rows(t.contacts.filter("record_id % 10 = 0"), _INGEST_MAP, _TABLE, ["record_id"])
+    return hybrid.map_rows(t.contacts.filter("segment = 'BUILDING'"), _INGEST_MAP, _TABLE, ["record_id"])
 
 
 def _ingest(t: Tables):
@@ -433,8 +433,8 @@ def _(t: Tables):
 
 
 @query("j10_apply_updates", """
-SELECT id, CASE WHEN id % 4 = 0 THEN 'Lead' ELSE job_title END AS job_title, city, CASE WHEN id % 4 = 0 THEN NULL ELSE NULL END AS unchanged FROM records""")
+SELECT id, CASE WHEN industry = 'BUILDING' THEN 'Lead' ELSE job_title END AS job_title, city FROM records""")
 def _(t: Tables):
-    updates = t.records.filter("id % 4 = 0").select("id", F.lit("Lead").alias("job_title"), F.lit("Nowhere").alias("city"))
+    updates = t.records.filter("industry = 'BUILDING'").select("id", F.lit("Lead").alias("job_title"), F.lit("Nowhere").alias("city"))
     rows = enriching.apply_updates(t.records, updates, ["job_title"])
-    return rows.select("id", "job_title", "city", F.lit(None).cast("int").alias("unchanged"))
+    return rows.select("id", "job_title", "city")

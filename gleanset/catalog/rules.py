@@ -259,11 +259,9 @@ def _(t: Tables):
 
 @query("x3_similarity")
 def _(t: Tables):
-    """Neighbouring contacts share their e-mail number; compare their names."""
-    names = t.contacts.select("record_id", F.floor(c("record_id") / 2).alias("pair"), keys.fuzzy_text(c("full_name")).alias("name"))
-    even, odd = names.filter(c("record_id") % 2 == 0), names.filter(c("record_id") % 2 == 1)
-    pairs = even.alias("a").join(odd.alias("b"), "pair")
-    return pairs.select("pair", F.round(keys.similarity(c("a.name"), c("b.name")), 6).alias("score"))
+    """How much of a contact's name its e-mail address repeats."""
+    pairs = t.contacts.select("record_id", keys.fuzzy_text(c("full_name")).alias("name"), keys.fuzzy_text(c("email")).alias("mail"))
+    return pairs.select("record_id", F.round(keys.similarity(c("name"), c("mail")), 6).alias("score"))
 
 
 # ── Other scalars ───────────────────────────────────────────────────────────
@@ -271,13 +269,11 @@ def _(t: Tables):
 SELECT id, CASE WHEN revenue >= 1e9 THEN concat('$', CAST(CAST(round(revenue / 1e9, 1) AS DECIMAL(18,1)) AS VARCHAR), 'B')
   WHEN revenue >= 1e6 THEN concat('$', CAST(CAST(round(revenue / 1e6, 1) AS DECIMAL(18,1)) AS VARCHAR), 'M')
   ELSE concat('$', format('{:,}', revenue)) END AS shown
-FROM (SELECT c_custkey AS id, CAST(round(c_acctbal) AS BIGINT) * 250000 + c_custkey AS revenue FROM customer) x WHERE revenue >= 0
-UNION ALL SELECT c_custkey + 1000000000, concat('$', format('{:,}', c_custkey * 13)) FROM customer WHERE c_custkey * 13 < 1000000""")
+FROM (SELECT c_custkey AS id, CASE WHEN c_nationkey % 2 = 0 THEN CAST(abs(round(c_acctbal)) AS BIGINT) * 250000 + c_custkey ELSE CAST(abs(round(c_acctbal)) AS BIGINT) * 31 END AS revenue FROM customer) x""")
 def _(t: Tables):
-    big = t.customer.select(
-        c("c_custkey").alias("id"), (F.round("c_acctbal").cast("bigint") * 250000 + c("c_custkey")).alias("revenue")).filter("revenue >= 0")
-    small = t.customer.select((c("c_custkey") + 1000000000).alias("id"), (c("c_custkey") * 13).alias("revenue")).filter("revenue < 1000000")
-    return big.unionByName(small).select("id", scalars.revenue_text(c("revenue")).alias("shown"))
+    balance = F.abs(F.round("c_acctbal")).cast("bigint")
+    revenue = F.when(c("c_nationkey") % 2 == 0, balance * 250000 + c("c_custkey")).otherwise(balance * 31)
+    return t.customer.select(c("c_custkey").alias("id"), scalars.revenue_text(revenue).alias("shown"))
 
 
 @query("x5_best_phone", """

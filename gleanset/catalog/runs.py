@@ -138,14 +138,13 @@ def _(t: Tables):
 
 
 @query("a23_rules_per_column", """
-SELECT segment, count(*) AS n, 'email (Whitespace Check, Validate Email)' AS email_rules, 'phone (Validate Phone)' AS phone_rules FROM contacts GROUP BY segment""")
+SELECT id, 'email' AS col, CASE WHEN id % 2 = 0 THEN 'email (Whitespace Check, Validate Email)' ELSE 'email (Validate Email)' END AS display FROM presets
+UNION ALL SELECT id, 'phone', 'phone (Handle Missing Values)' FROM presets WHERE id % 2 = 0
+UNION ALL SELECT id, 'revenue', 'revenue (Handle Missing Values, Normalize Currency / Number Format)' FROM presets WHERE id % 2 = 1""")
 def _(t: Tables):
-    """Display text of the rules applied to each segment's columns."""
-    chosen = [(0, "trim_whitespace", "email"), (1, "validate_email", "email"), (2, "validate_phone", "phone")]
-    selected = t.spark.createDataFrame(chosen, "seq int, rule string, column string")
-    shown = rule_ops.rules_display(selected)
-    texts = shown.agg(*[F.max(F.when(c("column") == n, c("display"))).alias(f"{n}_rules") for n in ("email", "phone")])
-    return t.contacts.groupBy("segment").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(texts))
+    """Display text of the rules of every stored preset."""
+    selected = rule_ops.preset_rules(t.presets.select("id", "rules_json"))
+    return rule_ops.rules_display(selected, ["id"]).withColumnRenamed("column", "col")
 
 
 # ── Other runs ──────────────────────────────────────────────────────────────
@@ -173,7 +172,7 @@ def _(t: Tables):
 
 _SHEET_SQL = r"""
 WITH rows AS (SELECT segment, record_id, trim(email) AS email, phone,
-    coalesce(NOT regexp_matches(trim(email), '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$'), false) AS bad FROM contacts WHERE segment IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD')),
+    coalesce(NOT regexp_matches(trim(email), '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$'), false) AS bad FROM contacts),
 ranked AS (SELECT *, CASE WHEN NOT bad THEN row_number() OVER (PARTITION BY segment, bad, regexp_replace(lower(regexp_replace(phone, '\D', '', 'g')), '^91(\d{9,})$', '\1') ORDER BY
     CASE WHEN email IS NULL THEN 0 ELSE 1 END + CASE WHEN phone IS NULL THEN 0 ELSE 2 END DESC, record_id) END AS place FROM rows)
 """
@@ -183,8 +182,8 @@ ranked AS (SELECT *, CASE WHEN NOT bad THEN row_number() OVER (PARTITION BY segm
 SELECT segment AS sheet, count(*) AS total_rows, count(*) FILTER (WHERE NOT bad AND place = 1) AS clean_rows, count(*) FILTER (WHERE bad) AS invalid_rows,
   count(*) FILTER (WHERE NOT bad AND place > 1) AS duplicate_rows_removed FROM ranked GROUP BY ROLLUP (segment)""")
 def _(t: Tables):
-    """Three sheets with the rules saved for the fields their columns map to."""
-    names = ["BUILDING", "MACHINERY", "HOUSEHOLD"]
+    """One sheet per segment, with the rules saved for the fields their columns map to."""
+    names = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
     contacts = t.contacts.select("record_id", "email", "phone", "website", "segment")
     sheets = {n: contacts.filter(c("segment") == n).drop("segment") for n in names}
     mapping = {"email": "master:email_address", "phone": "custom:2", "website": "__discard__"}
@@ -387,9 +386,9 @@ def _(t: Tables):
 
 
 @query("k3b_save_presets", """
-SELECT id, user_id, name, rules_json FROM presets WHERE id % 10 <> 3 UNION ALL SELECT id, user_id, name, '{}' FROM presets WHERE id % 10 = 3""")
+SELECT id, user_id, name, CASE WHEN user_id = 3 THEN '{}' ELSE rules_json END AS rules_json FROM presets""")
 def _(t: Tables):
-    saved = t.presets.filter(c("id") % 10 == 3).withColumn("rules_json", F.lit("{}"))
+    saved = t.presets.filter("user_id = 3").withColumn("rules_json", F.lit("{}"))
     return rule_ops.save_presets(t.presets, saved)
 
 
@@ -397,7 +396,7 @@ def _(t: Tables):
 SELECT rule, count(*) AS uses FROM (SELECT CASE o_orderkey % 4 WHEN 0 THEN 'email' WHEN 1 THEN 'numeric' WHEN 2 THEN 'identifier' ELSE 'text' END AS kind FROM orders) o, {_RULES_SQL}
 WHERE allowed = kind OR (allowed = '*' AND kind <> 'identifier') GROUP BY rule""")
 def _(t: Tables):
-    """How many uploaded columns each rule is offered for."""
+    """How many uploaded columns each rule is offered for; columns are counted by type first."""
     kind = F.element_at(F.array(*map(F.lit, ["email", "numeric", "identifier", "text"])), (c("o_orderkey") % 4 + 1).cast("int"))
     kinds = t.orders.groupBy(kind.alias("semantic_type")).agg(F.count(F.lit(1)).alias("n"))
     return rule_ops.offered_rules(kinds).groupBy("rule").agg(F.sum("n").alias("uses"))

@@ -18,12 +18,12 @@ def with_username(rows: DataFrame, users: DataFrame, key: str, row_id: str, name
 
 def with_managers(users: DataFrame) -> DataFrame:
     """Every user with manager and manager's manager; missing ones stay NULL."""
-    u, m, g = users.alias("u"), users.alias("m"), users.alias("g")
-    return (
-        u.join(m, F.col("u.manager_id") == F.col("m.id"), "left")
-        .join(g, F.col("m.manager_id") == F.col("g.id"), "left")
-        .select("u.id", "u.username", "u.role", F.col("m.username").alias("manager"), F.col("g.username").alias("grand_manager"))
-    )
+    def boss(key: str, name: str, above: str) -> DataFrame:
+        return users.select(F.col("id").alias(key), F.col("username").alias(name), F.col("manager_id").alias(above))
+
+    first = lookup(users.select("id", "username", "role", "manager_id"), boss("manager_id", "manager", "above"), ["manager_id"], "id")
+    second = lookup(first, boss("above", "grand_manager", "top"), ["above"], "id")
+    return second.select("id", "username", "role", "manager", "grand_manager")
 
 
 def visible_users(users: DataFrame) -> DataFrame:
@@ -35,22 +35,25 @@ def visible_users(users: DataFrame) -> DataFrame:
     own = users.select(F.col("id").alias("viewer"), F.col("id").alias("visible"))
     staff = users.select(F.col("manager_id").alias("viewer"), F.col("id").alias("visible"), F.col("role").alias("visible_role"))
     roles = users.select(F.col("id").alias("viewer"), F.col("role").alias("viewer_role"))
-    direct = staff.join(roles, "viewer").filter(
+    direct = lookup(staff, roles, ["viewer"], "visible").filter(
         ((F.col("viewer_role") == "manager") & (F.col("visible_role") == "team_lead"))
         | ((F.col("viewer_role") == "team_lead") & (F.col("visible_role") == "user"))
     ).select("viewer", "visible", "viewer_role")
     leads = direct.filter("viewer_role = 'manager'").select("viewer", F.col("visible").alias("lead"))
     members = direct.filter("viewer_role = 'team_lead'").select(F.col("viewer").alias("lead"), "visible")
-    below = leads.join(members, "lead").select("viewer", "visible")
+    # a lead has one manager, so this looks up the viewer of every member
+    below = lookup(members, leads, ["lead"], "visible").filter("viewer is not null").select("viewer", "visible")
     return own.unionByName(direct.select("viewer", "visible")).unionByName(below).distinct()
 
 
-def visible_rows(rows: DataFrame, users: DataFrame, viewer: int, role: str, key: str = "user_id") -> DataFrame:
+def visible_rows(
+    rows: DataFrame, users: DataFrame, viewer: int, role: str, key: str = "user_id", row_id: str = "id"
+) -> DataFrame:
     """Rows of the users one viewer may see; an admin sees all of them."""
     if role == "admin":
         return rows
-    seen = visible_users(users).filter(F.col("viewer") == viewer).select(F.col("visible").alias(key))
-    return rows.join(seen, key, "left_semi")
+    seen = visible_users(users).filter(F.col("viewer") == viewer).select(F.col("visible").alias(key), F.lit(True).alias("__seen"))
+    return lookup(rows, seen, [key], row_id).filter("__seen").drop("__seen")
 
 
 def role_permissions(roles: DataFrame, grants: DataFrame, permissions: DataFrame) -> DataFrame:

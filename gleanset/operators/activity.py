@@ -148,7 +148,7 @@ def dashboard(logs: DataFrame, users: DataFrame, day: str) -> DataFrame:
         F.count_if(upload & on_day).alias("uploads_on_day"),
         F.coalesce(minute_text(F.max_by("created_at", F.when(upload, F.col("id")))), F.lit("No recent uploads")).alias("last_upload"),
     )
-    return acts.crossJoin(users.agg(F.count_if(F.col("is_active") == 1).alias("active_users")))
+    return acts.withColumn("active_users", users.agg(F.count_if(F.col("is_active") == 1)).scalar())
 
 
 # ── Calendars ───────────────────────────────────────────────────────────────

@@ -15,6 +15,7 @@ from gleanset.functions.scalars import (
     column_label, field_label, first_name, header_name, json_map, last_name, normal_header, no_null_words,
 )
 from gleanset.functions.text import empty, filled, missing, strip
+from gleanset.operators.skew import lookup
 
 MAX_FIELDS = 10_000
 
@@ -85,7 +86,9 @@ def _first_target(*sources: DataFrame) -> DataFrame:
     return every.groupBy("norm").agg(F.min_by("target", F.struct("source", "place")).alias("target"))
 
 
-def suggest_mapping(headers: DataFrame, aliases: DataFrame, registry: DataFrame) -> DataFrame:
+def suggest_mapping(
+    headers: DataFrame, aliases: DataFrame, registry: DataFrame, row_id: str = "file_id"
+) -> DataFrame:
     """Target per header: alias, master column, active custom field, else create_new.
 
     Equal lower-case texts have equal normalised forms, so one join decides.
@@ -94,10 +97,12 @@ def suggest_mapping(headers: DataFrame, aliases: DataFrame, registry: DataFrame)
         _alias_targets(aliases), _master_targets(headers.sparkSession), _registry_targets(registry.filter("is_active = 1"))
     )
     named = headers.withColumn("norm", normal_header(F.col("header")))
-    return named.join(targets, "norm", "left").withColumn("target", F.coalesce("target", F.lit("create_new")))
+    return lookup(named, targets, ["norm"], row_id).withColumn("target", F.coalesce("target", F.lit("create_new")))
 
 
-def resolve_headers(headers: DataFrame, aliases: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
+def resolve_headers(
+    headers: DataFrame, aliases: DataFrame, registry: DataFrame, row_id: str = "file_id"
+) -> tuple[DataFrame, DataFrame]:
     """Unmapped ingestion: master column, alias, registry field, else a new field.
 
     Returns the headers with target and ``is_new``, and the registry with the
@@ -111,11 +116,11 @@ def resolve_headers(headers: DataFrame, aliases: DataFrame, registry: DataFrame)
     )
     targets = _first_target(masters, _alias_targets(aliases), known)
     named = headers.withColumn("norm", normal_header(F.col("header"))).filter("norm <> ''")
-    matched = named.join(targets, "norm", "left")
+    matched = lookup(named, targets, ["norm"], row_id)
     unknown = matched.filter("target is null").groupBy("norm").agg(F.min(strip(F.col("header"))).alias("field_name"))
-    top = registry.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("__top"))
-    fresh = numbered(unknown.crossJoin(F.broadcast(top)), "norm", F.col("__top"), "new_id").drop("__top")
-    resolved = matched.join(fresh.select("norm", "new_id"), "norm", "left").select(
+    top = registry.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint")).scalar()
+    fresh = numbered(unknown, "norm", top, "new_id")
+    resolved = lookup(matched, fresh.select("norm", "new_id"), ["norm"], row_id).select(
         *headers.columns, "norm",
         F.coalesce("target", F.concat(F.lit("custom:"), F.col("new_id").cast("string"))).alias("target"),
         F.col("target").isNull().alias("is_new"),

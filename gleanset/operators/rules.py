@@ -88,7 +88,8 @@ def catalogue(spark: SparkSession) -> DataFrame:
 def offered_rules(types: DataFrame) -> DataFrame:
     """Rules each (column, semantic_type) may use."""
     rules = catalogue(types.sparkSession)
-    return types.join(rules, F.array_contains("allowed_types", F.col("semantic_type"))).drop("allowed_types")
+    allowed = rules.select(F.explode("allowed_types").alias("semantic_type"), "rule", "label", "kind", "strategies")
+    return types.join(allowed, "semantic_type")
 
 
 def default_rules(types: dict[str, str]) -> list[Rule]:
@@ -150,11 +151,11 @@ def save_presets(stored: DataFrame, saved: DataFrame, keys: tuple[str, ...] = ("
     return kept.unionByName(saved)
 
 
-def rules_display(selected: DataFrame) -> DataFrame:
-    """``column (Label, Label)`` per column, labels in selection order."""
+def rules_display(selected: DataFrame, by: list[str]) -> DataFrame:
+    """``column (Label, Label)`` per column of a selection, labels in selection order."""
     labels = catalogue(selected.sparkSession).select("rule", "label")
     named = selected.join(labels, "rule", "left")
-    listed = F.array_sort(F.collect_list(F.struct("seq", F.coalesce("label", "rule").alias("label"))))
-    return named.groupBy("column").agg(F.array_join(F.transform(listed, lambda s: s["label"]), ", ").alias("labels")).select(
-        "column", "labels", F.concat("column", F.lit(" ("), "labels", F.lit(")")).alias("display")
-    )
+    # a selection holds at most one entry per rule and column
+    listed = F.array_sort(F.collect_list(F.struct("position", F.coalesce("label", "rule").alias("label"))))
+    texts = named.groupBy(*by, "column").agg(F.array_join(F.transform(listed, lambda s: s["label"]), ", ").alias("labels"))
+    return texts.select(*by, "column", F.concat("column", F.lit(" ("), "labels", F.lit(")")).alias("display"))

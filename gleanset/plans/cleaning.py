@@ -141,18 +141,20 @@ def _layers(rules: list[tuple[int, Rule]]) -> list[list[tuple[int, Rule]]]:
     return layers
 
 
-def _statistics(frame: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
-    """One row with the median or mean each fill rule of a layer needs."""
+def _statistics(frame: DataFrame, rules: list[tuple[int, Rule]]) -> dict[int, Column]:
+    """The median or mean each fill rule of a layer needs, as scalar subqueries."""
     names = {seq: f"__stat{seq}" for seq, _ in rules}
     parsed = frame.select(*[cleaning.shorthand_number(F.col(f"`{r.column}`")).alias(names[s]) for s, r in rules])
     medians = [names[s] for s, r in rules if r.strategy == "median"]
     means = [names[s] for s, r in rules if r.strategy == "mean"]
-    if not means:
-        return exact_medians(parsed, medians)
-    averages = parsed.agg(*[F.avg(n).alias(n) for n in means])
-    if not medians:
-        return averages
-    return averages.crossJoin(exact_medians(parsed, medians))
+    found = {}
+    if medians:
+        row = exact_medians(parsed, medians).select(F.struct(*medians)).scalar()
+        found.update({n: row[n] for n in medians})
+    if means:
+        row = parsed.agg(F.struct(*[F.avg(n).alias(n) for n in means])).scalar()
+        found.update({n: row[n] for n in means})
+    return {seq: found[name] for seq, name in names.items()}
 
 
 def clean_values(
@@ -161,7 +163,7 @@ def clean_values(
     """Apply the cleaning rules; returns the frame and its missing-value flags.
 
     Each layer is one select. A median or mean is taken over all rows at the
-    rule's own position and joined as a single broadcast row.
+    rule's own position and enters the select as a scalar subquery.
     """
     ruled = {r.column for r in rules}
     frame = df.select(
@@ -174,8 +176,7 @@ def clean_values(
             (s, r) for s, r in layer
             if r.name == "handle_missing" and r.strategy in ("median", "mean") and types[r.column] == "numeric"
         ]
-        if fills:
-            frame = frame.crossJoin(F.broadcast(_statistics(frame, fills)))
+        statistics = _statistics(frame, fills) if fills else {}
         changed: dict[str, Column] = {}
         added: list[Column] = []
         for seq, rule in layer:
@@ -188,11 +189,10 @@ def clean_values(
                 added.append(missing(cell).alias(f"__miss{seq}"))
             elif rule.strategy == "placeholder":
                 changed[rule.column] = cleaning.fill_placeholder(cell, kind)
-            elif (seq, rule) in fills:
-                changed[rule.column] = cleaning.fill_statistic(cell, F.col(f"__stat{seq}"))
-        kept = [c for c in frame.columns if not c.startswith("__stat")]
+            elif seq in statistics:
+                changed[rule.column] = cleaning.fill_statistic(cell, statistics[seq])
         frame = frame.select(
-            *[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in kept], *added
+            *[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in frame.columns], *added
         )
     return frame, sorted(flags)
 

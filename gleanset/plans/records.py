@@ -146,8 +146,8 @@ def quota_decision(limits: DataFrame, usage: DataFrame, day: str, matching: Data
     """Per user: would an export of the matching rows stay within the day's limit?"""
     used = daily_usage(usage.filter(F.col("export_date") == F.lit(day).cast("date"))).select(
         F.col("user_id").alias("id"), F.col("rows_count").alias("used"))
-    wanted = matching.agg(F.count(F.lit(1)).alias("requested"))
-    known = limits.join(used, "id", "left").crossJoin(F.broadcast(wanted))
+    wanted = matching.agg(F.count(F.lit(1))).scalar()
+    known = limits.join(used, "id", "left").withColumn("requested", wanted)
     spent = F.coalesce("used", F.lit(0))
     return known.select(
         "id", spent.alias("used"), "requested", "active_limit", (spent + F.col("requested") <= F.col("active_limit")).alias("allowed")

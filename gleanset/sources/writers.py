@@ -34,15 +34,16 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 def run_log(result: CleaningResult, user_id: int, file: str, as_of: str, rules: list[str]) -> DataFrame:
     """One activity row of a cleaning run; empty counters are NULL."""
-    counts = result.rule_counts.agg(F.array_sort(F.collect_list(F.struct("rule", "n"))).alias("pairs"))
-    text = F.when(F.size("pairs") > 0, F.to_json(F.map_from_entries("pairs")))
-    return result.summary.crossJoin(F.broadcast(counts)).select(
+    # one entry per rule
+    pairs = F.array_sort(F.collect_list(F.struct("rule", "n")))
+    counts = result.rule_counts.agg(F.when(F.size(pairs) > 0, F.to_json(F.map_from_entries(pairs)))).scalar()
+    return result.summary.select(
         F.lit(user_id).alias("user_id"),
         F.lit(f"Cleaned file {file} using rules: {', '.join(rules)}").alias("action"),
         "total_rows", F.col("clean_rows").alias("valid_rows"), "invalid_rows",
         F.col("duplicate_rows_removed").alias("removed_rows"),
         (F.to_json(F.array(*map(F.lit, rules))) if rules else F.lit(None)).cast("string").alias("rules_applied"),
-        text.alias("rule_counts"), F.lit(as_of).cast("timestamp_ntz").alias("created_at"),
+        counts.alias("rule_counts"), F.lit(as_of).cast("timestamp_ntz").alias("created_at"),
     )
 
 

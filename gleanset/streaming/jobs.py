@@ -17,6 +17,7 @@ from gleanset import fixed
 from gleanset.functions.scalars import notice_kind, notice_text
 from gleanset.operators.activity import category_counts
 from gleanset.operators.rules import Rule
+from gleanset.operators.skew import SLICES
 from gleanset.plans.cleaning import clean_values, flag_missing, validate_rows
 from gleanset.plans.ingest import ingest
 
@@ -126,7 +127,12 @@ def first_seen(rows: DataFrame, keys: list[str], column: str, lateness: str = LA
 
 
 def sessions(logs: DataFrame, gap: str = SESSION_GAP) -> DataFrame:
-    """Activity sessions per user, closed after a pause of ``gap``."""
+    """Activity sessions per user, closed after a pause of ``gap``.
+
+    Sessions are merged inside each task before the shuffle, so a very active
+    user sends sessions and not events.
+    """
+    logs.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     grouped = event_time(logs, "created_at").groupBy("user_id", F.session_window("created_at", gap).alias("s"))
     return grouped.agg(F.count(F.lit(1)).alias("events")).select(
         "user_id", _naive("s.start").alias("session_start"), _naive("s.end").alias("session_end"), "events")
@@ -135,8 +141,12 @@ def sessions(logs: DataFrame, gap: str = SESSION_GAP) -> DataFrame:
 def notice_stream(logs: DataFrame, users: DataFrame) -> DataFrame:
     """Notices of the activity stream to managers, through the stored user table."""
     acts = logs.withColumn("action_type", notice_kind(F.col("action"))).filter("action_type is not null")
-    actor = users.select(F.col("id").alias("user_id"), "username", F.col("manager_id").cast("bigint").alias("recipient_id"))
-    return acts.join(actor, "user_id").filter("recipient_id is not null").select(
+    # the user table is repeated per slice, so a very active user is not one task
+    slices = F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))
+    actor = users.filter("manager_id is not null").select(
+        F.col("id").alias("user_id"), "username", F.col("manager_id").cast("bigint").alias("recipient_id"), slices.alias("slice"))
+    sliced = acts.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(SLICES)).cast("int"))
+    return sliced.join(actor, ["user_id", "slice"]).select(
         "id", "recipient_id", F.col("user_id").alias("sender_id"),
         notice_text(F.col("username"), F.col("action")).alias("message"), "action_type")
 
