@@ -291,7 +291,7 @@ def _(t: Tables):
 
 
 @query("x8_days_since", """
-SELECT id, greatest(0, CAST(floor(epoch(TIMESTAMP '2024-01-20 12:00:00') - epoch(created_at)) AS BIGINT) // 86400) AS days
+SELECT id, greatest(0, CAST(floor((epoch_us(date_trunc('second', TIMESTAMP '2024-01-20 12:00:00')) - epoch_us(date_trunc('second', created_at))) / 86400000000.0) AS BIGINT)) AS days
 FROM logs WHERE created_at <= TIMESTAMP '2024-01-20 12:00:00'
 UNION ALL SELECT id, 0 FROM logs WHERE created_at > TIMESTAMP '2024-01-20 12:00:00'""")
 def _(t: Tables):
