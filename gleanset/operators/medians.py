@@ -12,35 +12,32 @@ ACCURACY = 1_000_000
 
 
 def exact_medians(df: DataFrame, columns: list[str], accuracy: int = ACCURACY) -> DataFrame:
-    """One row with the exact median of each double column."""
+    """One row with the exact median of each double column.
+
+    The brackets, three numbers per column, come to the driver first; the
+    second pass then filters by literals.
+    """
     margin = 2.0 / accuracy
+    quantiles = F.array(F.lit(0.5 - margin), F.lit(0.5 + margin))
     brackets = df.agg(
-        *[
-            F.struct(
-                F.percentile_approx(c, F.array(F.lit(0.5 - margin), F.lit(0.5 + margin)), accuracy).alias("q"),
-                F.count(c).alias("n"),
-            ).alias(c)
-            for c in columns
-        ]
-    )
-    limits = F.broadcast(
-        brackets.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), f"{c}.q", f"{c}.n") for c in columns])))
-    )
-    values = df.select(
-        F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("v")) for c in columns]))
-    ).filter("v is not null")
-    # everything below the bracket is one group, so its count combines map-side
-    placed = values.join(limits, "name").filter(F.col("v") <= F.col("q")[1]).select(
-        "name", "n", F.when(F.col("v") >= F.col("q")[0], F.col("v")).alias("v")
-    )
+        *[F.struct(F.percentile_approx(c, quantiles, accuracy).alias("q"), F.count(c).alias("n")).alias(c) for c in columns]
+    ).first()
+    known = [c for c in columns if brackets[c]["n"]]
+    if not known:
+        return df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(c) for c in columns])
+    cells = []
+    for c in known:
+        (low, high), n = brackets[c]["q"], brackets[c]["n"]
+        # everything below the bracket is one group, so its count combines map-side
+        inside = F.struct(F.when(F.col(c) >= F.lit(low), F.col(c)).alias("v"))
+        cells.append(F.struct(F.lit(c).alias("name"), F.lit(n).alias("n"), F.when(F.col(c) <= F.lit(high), inside).alias("cell")))
+    placed = df.select(F.inline(F.array(*cells))).filter("cell is not null").select("name", "n", "cell.v")
     counts = placed.groupBy("name", "n", "v").agg(F.count(F.lit(1)).alias("m"))
     upto = F.sum("m").over(
         W.partitionBy("name").orderBy(F.asc_nulls_first("v")).rowsBetween(W.unboundedPreceding, 0)
     )
     ranked = counts.withColumn("upto", upto).filter("v is not null")
-    low = F.min(F.when(F.col("upto") > F.floor((F.col("n") - 1) / 2), F.col("v")))
-    high = F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("v")))
-    medians = ranked.groupBy("name").agg(((low + high) / 2).alias("median"))
-    return medians.agg(
-        *[F.max(F.when(F.col("name") == c, F.col("median"))).alias(c) for c in columns]
-    )
+    lower = F.min(F.when(F.col("upto") > F.floor((F.col("n") - 1) / 2), F.col("v")))
+    upper = F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("v")))
+    medians = ranked.groupBy("name").agg(((lower + upper) / 2).alias("median"))
+    return medians.agg(*[F.max(F.when(F.col("name") == c, F.col("median"))).alias(c) for c in columns])

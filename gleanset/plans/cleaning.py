@@ -142,19 +142,21 @@ def _layers(rules: list[tuple[int, Rule]]) -> list[list[tuple[int, Rule]]]:
 
 
 def _statistics(frame: DataFrame, rules: list[tuple[int, Rule]]) -> dict[int, Column]:
-    """The median or mean each fill rule of a layer needs, as scalar subqueries."""
+    """The median or mean each fill rule of a layer needs.
+
+    Computed here, once per run: one number per rule comes to the driver and
+    enters every output as a literal instead of being worked out again in each.
+    """
     names = {seq: f"__stat{seq}" for seq, _ in rules}
     parsed = frame.select(*[cleaning.shorthand_number(F.col(f"`{r.column}`")).alias(names[s]) for s, r in rules])
     medians = [names[s] for s, r in rules if r.strategy == "median"]
     means = [names[s] for s, r in rules if r.strategy == "mean"]
     found = {}
     if medians:
-        row = exact_medians(parsed, medians).select(F.struct(*medians)).scalar()
-        found.update({n: row[n] for n in medians})
+        found.update(exact_medians(parsed, medians).first().asDict())
     if means:
-        row = parsed.agg(F.struct(*[F.avg(n).alias(n) for n in means])).scalar()
-        found.update({n: row[n] for n in means})
-    return {seq: found[name] for seq, name in names.items()}
+        found.update(parsed.agg(*[F.avg(n).alias(n) for n in means]).first().asDict())
+    return {seq: F.lit(found[name]).cast("double") for seq, name in names.items()}
 
 
 def clean_values(
@@ -163,7 +165,7 @@ def clean_values(
     """Apply the cleaning rules; returns the frame and its missing-value flags.
 
     Each layer is one select. A median or mean is taken over all rows at the
-    rule's own position and enters the select as a scalar subquery.
+    rule's own position.
     """
     ruled = {r.column for r in rules}
     frame = df.select(
