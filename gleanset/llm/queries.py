@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanset.llm.common import read_table
+from gleanset.llm.minhash import near_duplicates
 from gleanset.llm.mixing import mix, word_counts
 from gleanset.llm.packing import pack, pieces
 from gleanset.llm.token_counts import prefix_table, within_budget
@@ -28,6 +29,10 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def bit_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "planes")
     write_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY), folder)
@@ -42,6 +47,7 @@ def prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": best_fit_packing,
     "op4_source_mix": source_mix,
+    "op5_circulant_minhash": circulant_minhash,
     "op7_bit_plane_files": bit_plane_files,
     "op10_prefix_token_counts": prefix_token_counts,
 }
