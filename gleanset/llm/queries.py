@@ -11,6 +11,8 @@ from gleanset.llm.common import read_table
 from gleanset.llm.minhash import near_duplicates
 from gleanset.llm.mixing import mix, word_counts
 from gleanset.llm.packing import pack, pieces
+from gleanset.llm.quality_rules import fit, measured
+from gleanset.llm.secrets import scan
 from gleanset.llm.token_counts import prefix_table, within_budget
 from gleanset.llm.token_files import read_documents, write_files
 from gleanset.session import scratch_path
@@ -24,6 +26,11 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY)))
 
 
+def likelihood_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return measured(docs, fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(word_counts(read_table(spark, sf_dir, "documents")))
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
@@ -39,6 +46,10 @@ def bit_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, folder)
 
 
+def entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read_table(spark, sf_dir, "documents"))
+
+
 def prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = prefix_table(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
     return within_budget(table, TOKEN_LIMIT)
@@ -46,9 +57,11 @@ def prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": best_fit_packing,
+    "op3_likelihood_ratio_rules": likelihood_ratio_rules,
     "op4_source_mix": source_mix,
     "op5_circulant_minhash": circulant_minhash,
     "op7_bit_plane_files": bit_plane_files,
+    "op8_entropy_secrets": entropy_secrets,
     "op10_prefix_token_counts": prefix_token_counts,
 }
 
