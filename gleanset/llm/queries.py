@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gleanset.llm.common import read_table
 from gleanset.llm.minhash import near_duplicates
@@ -15,6 +16,7 @@ from gleanset.llm.quality_rules import fit, measured
 from gleanset.llm.secrets import scan
 from gleanset.llm.token_counts import prefix_table, within_budget
 from gleanset.llm.token_files import read_documents, write_files
+from gleanset.llm.topk import top_inner_products
 from gleanset.session import scratch_path
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -40,6 +42,26 @@ def circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def norm_sorted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+NORM_SORTED_SEARCH_SQL = """
+    WITH usable AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+    )
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM scored
+    QUALIFY rank <= 5
+"""
+
+
 def bit_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "planes")
     write_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY), folder)
@@ -60,9 +82,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_likelihood_ratio_rules": likelihood_ratio_rules,
     "op4_source_mix": source_mix,
     "op5_circulant_minhash": circulant_minhash,
+    "op6_norm_sorted_search": norm_sorted_search,
     "op7_bit_plane_files": bit_plane_files,
     "op8_entropy_secrets": entropy_secrets,
     "op10_prefix_token_counts": prefix_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_norm_sorted_search": NORM_SORTED_SEARCH_SQL,
+}
