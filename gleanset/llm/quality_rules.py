@@ -40,7 +40,7 @@ def _per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def text_counts(column: pa.Array) -> dict[str, np.ndarray]:
-    """The counts of each text; a null text has none of anything."""
+    """The counts of each text, and its words that repeat the one before; a null text has none of anything."""
     body, offsets = utf8(column)
     starts, ends, rows = word_spans(body, offsets)
     space = (body == 32) | ((body >= 9) & (body <= 13))
@@ -52,7 +52,11 @@ def text_counts(column: pa.Array) -> dict[str, np.ndarray]:
     }
     n = len(offsets) - 1
     out["n_dup_lines"] = _repeated_lines(body, offsets, starts, n)
-    out["n_repeat_words"] = _repeated_words(word_hashes(body, starts, ends), rows, n)
+    hashes = word_hashes(body, starts, ends)
+    out["n_repeat_words"] = _repeated_words(hashes, rows, n)
+    row = np.repeat(np.arange(n), np.diff(rows))
+    twice = np.flatnonzero((hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1]))
+    out["n_doubled_words"] = np.bincount(row[twice], minlength=n)
     return out
 
 
@@ -180,7 +184,7 @@ def measured(docs: DataFrame, rules: Rules, extra: tuple[str, ...] = ()) -> Data
 
     def work(batch: pa.RecordBatch) -> dict:
         parts = [_judged(part, rules) for part in slices(batch)]
-        made = {n: np.concatenate([p[n] for p in parts]) for n in parts[0]}
+        made = {n: np.concatenate([p[n] for p in parts]) for n in (*COUNTS, "base_failed", "score", "kept")}
         return made | {n: batch.column(n) for n in ("doc_id", *extra)}
 
     return per_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra), schema, work)

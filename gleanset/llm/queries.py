@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanset.llm.common import read_table
+from gleanset.llm.cotraining import scored, train
+from gleanset.llm.language import identify, language_models
 from gleanset.llm.minhash import near_duplicates
 from gleanset.llm.mixing import mix, word_counts
 from gleanset.llm.packing import pack, pieces
@@ -28,6 +30,11 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY)))
 
 
+def co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return scored(docs, train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def likelihood_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return measured(docs, fit(docs, read_table(spark, sf_dir, "labels")))
@@ -72,6 +79,10 @@ def entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read_table(spark, sf_dir, "documents"))
 
 
+def evidence_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read_table(spark, sf_dir, "pages"), *language_models(read_table(spark, sf_dir, "documents")))
+
+
 def prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = prefix_table(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
     return within_budget(table, TOKEN_LIMIT)
@@ -79,12 +90,14 @@ def prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": best_fit_packing,
+    "op2_co_training": co_training,
     "op3_likelihood_ratio_rules": likelihood_ratio_rules,
     "op4_source_mix": source_mix,
     "op5_circulant_minhash": circulant_minhash,
     "op6_norm_sorted_search": norm_sorted_search,
     "op7_bit_plane_files": bit_plane_files,
     "op8_entropy_secrets": entropy_secrets,
+    "op9_evidence_fusion": evidence_fusion,
     "op10_prefix_token_counts": prefix_token_counts,
 }
 
