@@ -133,11 +133,11 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     names = docs.columns
     keyed = settled(docs.withColumn("__uid", F.monotonically_increasing_id()), "mixed")
     taken = mix(word_counts(keyed, "source string, __uid long"), **options)
-    chosen = taken.filter("taken > 0").select("__uid", "size", "taken")
-    copies = F.expr("sequence(1, cast(ceil(taken / size) as int))")
+    chosen = taken.filter("taken > 0").select("__uid", F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    copies = F.expr("sequence(1, cast(ceil(__taken / __size) as int))")
     rows = keyed.join(chosen, "__uid").withColumn("__pass", F.explode(copies))
-    last = F.col("taken") - (F.col("__pass") - 1) * F.col("size")
-    whole = last >= F.col("size")
+    last = F.col("__taken") - (F.col("__pass") - 1) * F.col("__size")
+    whole = last >= F.col("__size")
     # Only the rows at a cut go to Python; the others send a null.
     cut = rows.withColumn("__cut", first_words(F.when(~whole, F.col("text")), last))
     changed = {"text": F.when(whole, F.col("text")).otherwise(F.col("__cut"))}

@@ -15,6 +15,7 @@ import itertools
 import json
 import operator
 import struct
+import unicodedata
 
 import numpy as np
 import regex
@@ -201,6 +202,10 @@ class PrefixCounts(_Pieced):
         self.inner = Kept(self._stays_inside, 4 * STATES)
         self.final = Kept(self._stays_at_end, 4 * STATES)
         self.kept = {}
+        self.unbroken = regex.compile(r"\S+").findall
+        self.space = regex.compile(r"\s").match
+        self.cut = regex.compile("|".join(map(regex.escape, self.special)) or "(?!)").finditer
+        self.pieces.most, self.words.most = PIECES // 2, WORDS // 2
 
     def _stays_inside(self, pair: tuple[str, str]) -> bool:
         """Whether two tokens inside a word are the encoding of their text; with an empty first one, a single token."""
@@ -256,7 +261,7 @@ class PrefixCounts(_Pieced):
         states = self._states(letters(piece))
         if piece.isascii():
             return [s[2] for s in states[1:]]
-        ends = itertools.accumulate([1 if c < "\x80" else 2 for c in piece])  # bytes of characters below PLAIN_BELOW
+        ends = itertools.accumulate([1 if c < "\x80" else len(c.encode()) for c in piece])
         return [states[e][2] for e in ends]
 
     def _word(self, word: str) -> bytes:
@@ -278,63 +283,59 @@ class PrefixCounts(_Pieced):
         return struct.pack(f"<{len(counts)}i", counts[0], *map(operator.sub, counts[1:], counts))
 
     def _by_library(self, word: str) -> list[int]:
-        """Counts of a word in other scripts: prefixes of its last piece are encoded, earlier pieces are settled."""
-        counts, settled, start = [], 0, 0
-        spans = self._spans(word)
-        for begin, end in spans:
-            for stop in range(begin + 1, end + 1):
-                counts.extend([None] * (stop - len(counts) - 1))
-                counts.append(settled + len(self.library.encode(word[begin:stop], add_special_tokens=False).ids))
-            settled = counts[-1] if counts else 0
-            start = end
-        counts.extend([settled] * (len(word) - len(counts)))
-        last = 0
-        for i, c in enumerate(counts):
-            last = counts[i] = last if c is None else c
-        return counts
-
-    def _spans(self, word: str) -> list[tuple[int, int]]:
-        """Character spans of the library's pieces of a word."""
+        """Counts of a word in other scripts, split by the library's own rules.
+
+        In a composed word whose characters lower-case one by one every prefix
+        normalizes to a prefix, so the program above applies. Other words, with
+        loose accents, are encoded anew for each prefix.
+        """
         normal = self.library.normalizer.normalize_str(word)
-        if len(normal) != len(word):
-            return [(0, len(word))]
-        return [span for _, span in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+        if len(normal) != len(word) or not unicodedata.is_normalized("NFC", word):
+            return [len(self.plain_ids(word[:stop])) // 4 for stop in range(1, len(word) + 1)]
+        counts, total = [], 0
+        for _, (begin, end) in self.library.pre_tokenizer.pre_tokenize_str(normal):
+            counts.extend([total] * (begin - len(counts)))
+            counts.extend([total + c for c in self._piece(normal[begin:end])])
+            total = counts[-1]
+        return counts + [total] * (len(word) - len(counts))
 
     def counts(self, text: str) -> np.ndarray:
         """Entry i is the number of tokens of the first i + 1 characters."""
+        if any(s in text for s in self.special):
+            return self._with_special(text)
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
         out = np.zeros(len(points), np.int64)
-        if self._odd(text):
-            return self._odd_counts(text, out)
-        inked = ~_space(points)
-        out[inked] = np.frombuffer(b"".join(map(self.words.__getitem__, text.split())), "<i4")
+        words = self.unbroken(text) if self._odd(text) else text.split()
+        out[~_space(points)] = np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<i4")
         return np.cumsum(out, out=out)
 
-    def _odd_counts(self, text: str, out: np.ndarray) -> np.ndarray:
-        """Texts with special strings or odd separators: counts between them, the library's total at their ends."""
-        cut = regex.compile("|".join(map(regex.escape, [*self.special, *ODD_SPACES])))
-        done, total = 0, 0
-        for match in [*cut.finditer(text), None]:
-            start, end = (match.start(), match.end()) if match else (len(text), len(text))
-            if start > done:
-                part = self.counts(text[done:start])
-                out[done:start] = part + total
-                total = int(out[start - 1])
+    def _with_special(self, text: str) -> np.ndarray:
+        """Special strings are one token each once they are complete; until then they are text like any other."""
+        parts, done, total = [], 0, 0
+        for match in [*self.cut(text), None]:
+            start = match.start() if match else len(text)
+            part = self.counts(text[done:start]) + total
+            parts.append(part)
+            at_start = int(part[-1]) if len(part) else total
             if match:
-                for stop in range(start + 1, end + 1):
-                    out[stop - 1] = total + len(self.library.encode(text[start:stop], add_special_tokens=False).ids)
-                total = int(out[end - 1])
-            done = end
-        return out
+                word = start
+                while word > done and not self.space(text[word - 1]):
+                    word -= 1
+                before = int(part[word - done - 1]) if word > done else total
+                inside = [before + len(self.plain_ids(text[word:stop])) // 4 for stop in range(start + 1, match.end())]
+                total = at_start + 1
+                parts.append(np.array([*inside, total], np.int64))
+                done = match.end()
+        return np.concatenate(parts)
 
 
 # White space of Unicode beyond ASCII, as Python splits it (fixed values).
-_WIDE_SPACES = np.array([0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+_WIDE_SPACES = np.array([0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
 
 
 def _space(points: np.ndarray) -> np.ndarray:
     found = (points == 32) | ((points >= 9) & (points <= 13))
-    wide = points >= 0xA0
+    wide = points >= 0x85
     return found | (wide & np.isin(points, _WIDE_SPACES)) if wide.any() else found
 
 
