@@ -67,14 +67,12 @@ def _in_row(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 def _repeated_lines(body: np.ndarray, offsets: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
     breaks = np.flatnonzero(body == 10)
-    row_of = np.searchsorted(offsets, breaks, "right") - 1
-    filled = np.flatnonzero(np.diff(offsets))
+    row = np.concatenate((filled := np.flatnonzero(np.diff(offsets)), np.searchsorted(offsets, breaks, "right") - 1))
     starts = np.concatenate((offsets[filled], breaks + 1))
-    row = np.concatenate((filled, row_of))
-    order = np.argsort(starts, kind="stable")
-    starts, row = starts[order], row[order]
-    ends = np.concatenate((breaks, offsets[filled + 1]))
-    ends.sort()
+    ends = np.concatenate((offsets[filled + 1], breaks))
+    # A break may end its row, so that two lines start at one place: the order is by row first.
+    starts, ends = starts[np.lexsort((starts, row))], ends[np.lexsort((ends, row))]
+    row = np.sort(row)
     with_word = np.searchsorted(words, ends) > np.searchsorted(words, starts)
     starts, ends, row = starts[with_word], ends[with_word], row[with_word]
     first = np.unique(_in_row(word_hashes(body, starts, ends), row), return_index=True)[1]

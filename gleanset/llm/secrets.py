@@ -41,7 +41,7 @@ CLASSES = (
 ALLOWED = (
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # identifiers in the usual grouping
     r"[A-Za-z]+(?:[_/-][A-Za-z]+)*",  # words and paths of words
-    r"(?:[A-Za-z]{1,12}[0-9]{0,4}[_/-])+[A-Za-z]{0,12}[0-9]{0,4}",  # numbered names
+    r"(?:(?:[A-Za-z]{1,12}[0-9]{0,4}|[0-9]{1,4})[_/-])+[A-Za-z]{0,12}[0-9]{0,4}",  # numbered names and paths
     r"(.)\1*",  # rulers
     r"sha(?:1|256|384|512)-[A-Za-z0-9+/]+=*",  # checksums that are meant to be read
 )
