@@ -155,7 +155,7 @@ def _(t: Tables):
 
 @query("s12_labelled_logs", """
 SELECT l.id AS "Log ID", u.username AS "Username", l.action AS "Action Performed", l.total_rows AS "Total Rows", strftime(l.created_at, '%Y-%m-%dT%H:%M:%S') AS "Timestamp"
-FROM logs l JOIN users u ON u.id = l.user_id ORDER BY l.created_at DESC, l.id DESC LIMIT 10000""")
+FROM logs l JOIN users u ON u.id = l.user_id""")
 def _(t: Tables):
     return writers.label_logs(access.with_username(t.logs, t.users, "user_id", "id"))
 
@@ -243,7 +243,7 @@ SELECT r.id, u.username, w.username AS reviewer FROM change_requests r JOIN user
 def _(t: Tables):
     named = access.with_username(t.change_requests, t.users, "user_id", "id")
     reviewers = t.users.select(c("id").alias("reviewed_by"), c("username").alias("reviewer"))
-    return access.lookup(named, reviewers, ["reviewed_by"], "id").select("id", "username", "reviewer")
+    return access.lookup(named, reviewers, ["reviewed_by"]).select("id", "username", "reviewer")
 
 
 _SAID = "CASE WHEN lower(l.action) LIKE '%export%' THEN 'export' WHEN lower(l.action) LIKE '%upload%' OR lower(l.action) LIKE '%ingest%' THEN 'import' WHEN lower(l.action) LIKE '%cleaned file%' THEN 'clean' END"
@@ -254,8 +254,11 @@ SELECT id, CAST(manager_id AS BIGINT) AS recipient_id, sender_id, message, actio
 """
 
 
-@query("j14_notifications", _NOTICE_SQL + """
-UNION ALL SELECT a.id, w.id, a.sender_id, a.message, a.action_type FROM acts a JOIN users w ON w.role = 'admin' AND w.id <> a.sender_id WHERE a.action_type IS NOT NULL AND a.manager_id IS NULL""")
+_ORPHAN_SQL = """
+UNION ALL SELECT a.id, w.id, a.sender_id, a.message, a.action_type FROM acts a JOIN users w ON w.role = 'admin' AND w.id <> a.sender_id WHERE a.action_type IS NOT NULL AND a.manager_id IS NULL"""
+
+
+@query("j14_notifications", _NOTICE_SQL + _ORPHAN_SQL)
 def _(t: Tables):
     return access.notifications(t.logs, t.users)
 

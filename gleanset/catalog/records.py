@@ -315,7 +315,7 @@ def _(t: Tables):
 
 
 # ── Order, page, export ─────────────────────────────────────────────────────
-@query("l1_sorted_search", "SELECT id, country FROM records ORDER BY country ASC, id ASC LIMIT 100")
+@query("l1_sorted_search", "SELECT id, country FROM records ORDER BY country ASC, id ASC LIMIT 500")
 def _(t: Tables):
     return RecordQuery(sort_by="country", ascending=True, per_page=500).rows(t.records).select("id", "country")
 

@@ -183,8 +183,9 @@ SELECT segment AS sheet, count(*) AS total_rows, count(*) FILTER (WHERE NOT bad
   count(*) FILTER (WHERE NOT bad AND place > 1) AS duplicate_rows_removed FROM ranked GROUP BY ROLLUP (segment)""")
 def _(t: Tables):
     """One sheet per segment, with the rules saved for the fields their columns map to."""
-    names = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
     contacts = t.contacts.select("record_id", "email", "phone", "website", "segment")
+    # sheets of one workbook: a handful by nature
+    names = sorted(r["segment"] for r in contacts.select("segment").distinct().collect())
     sheets = {n: contacts.filter(c("segment") == n).drop("segment") for n in names}
     mapping = {"email": "master:email_address", "phone": "custom:2", "website": "__discard__"}
     saved = {"master:email_address": [("trim_whitespace",), ("validate_email",)], "custom:2": [("drop_duplicates",)]}
@@ -260,14 +261,14 @@ def _(t: Tables):
 
 @query("j12_identity_blocks", r"""
 SELECT record_id, first_value(record_id) OVER (PARTITION BY k ORDER BY record_id) AS base_id, n AS block_rows
-FROM (SELECT record_id, k, count(*) OVER (PARTITION BY k) AS n FROM (SELECT record_id, regexp_replace(regexp_replace(phone, '\D', '', 'g'), '^91(\d{9,})$', '\1') AS k FROM contacts) a WHERE k IS NOT NULL) b WHERE n BETWEEN 2 AND 20""")
+FROM (SELECT record_id, k, count(*) OVER (PARTITION BY k) AS n FROM (SELECT record_id, regexp_replace(regexp_replace(phone, '\D', '', 'g'), '^91(\d{9,})$', '\1') AS k FROM contacts) a WHERE k IS NOT NULL) b WHERE n >= 2""")
 def _(t: Tables):
-    """Base row of every phone block that is small enough to compare."""
-    from gleanset.operators.skew import without_heaviest
+    """Base row of every phone block with rows to compare."""
+    from gleanset.operators.skew import attach
     rows = t.contacts.select("record_id", canonical(c("phone"), "phone").alias("k")).dropna()
     blocks = rows.groupBy("k").agg(F.count(F.lit(1)).alias("block_rows"), F.min("record_id").alias("base_id"))
-    small = blocks.filter(c("block_rows").between(2, 20))
-    return without_heaviest(rows, blocks, ["k"], "block_rows", 20).join(small, "k").select("record_id", "base_id", "block_rows")
+    met = attach(rows, blocks, ["k"], "block_rows", "record_id")
+    return met.filter("block_rows >= 2").select("record_id", "base_id", "block_rows")
 
 
 @query("w5_standalone_dedup", r"""
@@ -326,7 +327,7 @@ _SAMPLE_SQL = r"""
 WITH cells AS (SELECT 'full_name' AS col, record_id, full_name AS v FROM contacts UNION ALL SELECT 'email', record_id, email FROM contacts UNION ALL
   SELECT 'phone', record_id, phone FROM contacts UNION ALL SELECT 'website', record_id, website FROM contacts UNION ALL SELECT 'revenue', record_id, revenue FROM contacts
   UNION ALL SELECT 'joined', record_id, joined FROM contacts UNION ALL SELECT 'segment', record_id, segment FROM contacts),
-first_cells AS (SELECT col, trim(v) AS v FROM (SELECT *, row_number() OVER (PARTITION BY col ORDER BY record_id) AS place FROM cells WHERE v IS NOT NULL) x WHERE place <= 25),
+first_cells AS (SELECT col, trim(v) AS v FROM cells WHERE v IS NOT NULL),
 rates AS (SELECT col, avg(CASE WHEN regexp_matches(v, '^[\w\.-]+@[\w\.-]+\.\w+$') THEN 1 ELSE 0 END) AS e,
   avg(CASE WHEN regexp_matches(v, '^\+?\d{7,15}$') THEN 1 ELSE 0 END) AS p,
   avg(CASE WHEN regexp_matches(v, '^(https?://)?(www\.)?[A-Za-z0-9-]+\.[A-Za-z]{2,}(\S*)?$') THEN 1 ELSE 0 END) AS u,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanset.catalog.activity import _COUNTS, _NOTICE_SQL
+from gleanset.catalog.activity import _COUNTS, _NOTICE_SQL, _ORPHAN_SQL
 from gleanset.catalog.base import Tables, query
 from gleanset.catalog.records import _INGEST_MAP, _MAP_SQL, _TABLE
 from gleanset.fixtures import stream_view
@@ -30,8 +30,7 @@ def _(t: Tables):
     root = scratch_path(t.spark, "ingest")
     files = streamed(t, "contacts", "customer").withColumn("file_id", F.lit("drop"))
     jobs.ingest_stream(files, _INGEST_MAP, _TABLE, "record_id", root).awaitTermination()
-    accepted = t.spark.read.parquet(f"{root}/master/batch_id=0")
-    return accepted.select("record_id")
+    return t.spark.read.option("mergeSchema", True).parquet(f"{root}/master").filter("batch_id >= 0").select("record_id")
 
 
 @query("st2_stream_cleaning", r"""
@@ -71,29 +70,40 @@ def _(t: Tables):
 
 def _requests(logs: DataFrame) -> DataFrame:
     return logs.filter(c("action").like("Exported%")).select(
-        "id", "user_id", F.to_date("created_at").cast("string").alias("day"), c("total_rows").alias("n"), F.lit(120).cast("bigint").alias("active_limit"))
+        "id", "user_id", F.to_date("created_at").cast("string").alias("day"), c("created_at").alias("at"), c("total_rows").alias("n"), F.lit(120).cast("bigint").alias("active_limit"))
 
 
-@query("st6_quota_stream")
+_WALK_SQL = """
+WITH RECURSIVE asked AS (SELECT id, user_id, CAST(created_at AS DATE) AS day, total_rows AS n, row_number() OVER (PARTITION BY user_id, CAST(created_at AS DATE) ORDER BY id) AS place FROM logs WHERE action LIKE 'Exported%'),
+walk AS (SELECT id, user_id, day, n, place, n <= 120 AS accepted, CASE WHEN n <= 120 THEN n ELSE 0 END AS used FROM asked WHERE place = 1
+  UNION ALL SELECT a.id, a.user_id, a.day, a.n, a.place, w.used + a.n <= 120, w.used + CASE WHEN w.used + a.n <= 120 THEN a.n ELSE 0 END FROM walk w JOIN asked a ON a.user_id = w.user_id AND a.day = w.day AND a.place = w.place + 1)
+SELECT id, user_id, CAST(day AS VARCHAR) AS day, n, accepted FROM walk"""
+
+
+@query("st6_quota_stream", _WALK_SQL.replace("ORDER BY id)", "ORDER BY created_at, id)") + " WHERE day + INTERVAL '1' DAY <= (SELECT date_trunc('millisecond', max(created_at)) - INTERVAL '1' HOUR FROM logs WHERE action LIKE 'Exported%')")
 def _(t: Tables):
+    """Days that the watermark has passed; the open ones are the batch twin's."""
     return jobs.run_append(jobs.quota_stream(_requests(streamed(t, "logs", "events"))), scratch_path(t.spark, "quota"))
 
 
-@query("st6b_quota_in_order", """
-WITH RECURSIVE asked AS (SELECT id, user_id, CAST(created_at AS DATE) AS day, total_rows AS n, row_number() OVER (PARTITION BY user_id, CAST(created_at AS DATE) ORDER BY id) AS place FROM logs WHERE action LIKE 'Exported%'),
-walk AS (SELECT id, user_id, day, n, place, n <= 120 AS accepted, CASE WHEN n <= 120 THEN n ELSE 0 END AS used FROM asked WHERE place = 1
-  UNION ALL SELECT a.id, a.user_id, a.day, a.n, a.place, w.used + a.n <= 120, w.used + CASE WHEN w.used + a.n <= 120 THEN a.n ELSE 0 END FROM walk w JOIN asked a ON a.user_id = w.user_id AND a.day = w.day AND a.place = w.place + 1)
-SELECT id, user_id, CAST(day AS VARCHAR) AS day, n, accepted FROM walk""")
+@query("st6b_quota_in_order", _WALK_SQL)
 def _(t: Tables):
-    return jobs.quota_in_order(_requests(t.logs), ["id"])
+    return jobs.quota_in_order(_requests(t.logs).drop("at"), ["id"])
 
 
-@query("st7b_stale_timer")
+@query("st7b_stale_timer", """
+WITH said AS (SELECT event_id % 997 AS id, CASE WHEN event_id % 3 = 0 THEN 'processing' ELSE 'completed' END AS status, ts AS moment FROM events),
+ordered AS (SELECT *, CASE WHEN status = lag(status) OVER (PARTITION BY id ORDER BY moment, status) THEN 0 ELSE 1 END AS opens FROM said),
+numbered AS (SELECT *, sum(opens) OVER (PARTITION BY id ORDER BY moment, status) AS nr FROM ordered),
+stays AS (SELECT id, nr, status, min(moment) AS since FROM numbered GROUP BY id, nr, status),
+ended AS (SELECT *, coalesce(lead(since) OVER (PARTITION BY id ORDER BY nr), (SELECT date_trunc('millisecond', max(ts)) - INTERVAL '1' HOUR FROM events)) AS until FROM stays)
+SELECT id, 'failed' AS status, since AS processing_since FROM ended WHERE status = 'processing' AND until >= since + INTERVAL '5' MINUTE""")
 def _(t: Tables):
     """Uploads in event time: a third never leaves processing."""
     events = jobs.stream_table(t.spark, t.sf_dir, "events").select(
         (c("event_id") % 997).alias("id"), F.when(c("event_id") % 3 == 0, "processing").otherwise("completed").alias("status"), c("ts").alias("at"))
-    return jobs.run_append(jobs.stale_uploads(events), scratch_path(t.spark, "stale"))
+    stale = jobs.run_append(jobs.stale_uploads(events), scratch_path(t.spark, "stale"))
+    return stale.withColumn("processing_since", c("processing_since").cast("timestamp_ntz"))
 
 
 @query("st8_activity_sessions", """
@@ -105,6 +115,6 @@ def _(t: Tables):
     return jobs.run_append(jobs.sessions(streamed(t, "logs", "events")), scratch_path(t.spark, "sessions"))
 
 
-@query("st9_notice_stream", _NOTICE_SQL)
+@query("st9_notice_stream", _NOTICE_SQL + _ORPHAN_SQL)
 def _(t: Tables):
     return jobs.run_append(jobs.notice_stream(streamed(t, "logs", "events"), t.users), scratch_path(t.spark, "notices"))

@@ -48,6 +48,13 @@ DATE_SHAPES = {
     r"^\d{2}-\d{2}-\d{4}$": ["dd-MM-yyyy", "MM-dd-yyyy"],
     r"^\d{1,2} [A-Za-z]{3} \d{4}$": ["d MMM yyyy"],
     r"^[A-Za-z]{3} \d{1,2}, \d{4}$": ["MMM d, yyyy"],
+    r"^\d{4}/\d{1,2}/\d{1,2}$": ["yyyy/M/d"],
+    r"^\d{1,2}\.\d{1,2}\.\d{4}$": ["d.M.yyyy"],
+    r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$": ["MMMM d, yyyy"],
+    r"^\d{1,2} [A-Za-z]{4,9} \d{4}$": ["d MMMM yyyy"],
+    r"^\d{8}$": ["yyyyMMdd"],
+    # fractions of a second and zones: read by the ISO cast
+    r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}((\.\d{1,9})(Z|[+-]\d{2}:\d{2})?|Z|[+-]\d{2}:\d{2})$": [],
 }
 
 # ── Semantic typing ─────────────────────────────────────────────────────────
@@ -56,7 +63,6 @@ INFERENCE_PATTERNS = {
     "phone": r"^\+?\d{7,15}$",
     "url": r"^(https?://)?(www\.)?[A-Za-z0-9-]+\.[A-Za-z]{2,}(\S*)?$",
 }
-INFERENCE_SAMPLE = 25
 INFERENCE_HIT_RATE = 0.6
 INFERENCE_DATE_RATE = 0.8
 
@@ -99,7 +105,6 @@ COLUMN_ALIASES = {
 
 # ── Fuzzy duplicates ────────────────────────────────────────────────────────
 FUZZY_THRESHOLD = 0.92
-FUZZY_BLOCK_ROWS = 20
 
 # ── Master record layout ────────────────────────────────────────────────────
 MASTER_LABELS = {
@@ -209,9 +214,7 @@ IMPORT_SYNONYMS = {
     "industry": ["industry", "Industry"],
     "record_status": ["record_status", "status"],
 }
-MAX_PAGE_ROWS = 100
 EXPORT_ROWS = 50_000
-LOG_EXPORT_ROWS = 10_000
 
 # ── Activity log ────────────────────────────────────────────────────────────
 LOG_FILTERS = {

@@ -69,7 +69,7 @@ def synonym(record: Column, names: list[str], default: str | None = None) -> Col
 # ── Contact details ─────────────────────────────────────────────────────────
 def best_phone(numbers: Column, fallback: Column) -> Column:
     """Raw, else sanitized number of the first entry, else the fallback."""
-    head = F.try_element_at(numbers, F.lit(1))
+    head = F.get(numbers, F.lit(0))
     return F.coalesce(
         filled(head["raw_number"]), filled(head["sanitized_number"]), filled(fallback), F.lit("")
     )

@@ -30,7 +30,7 @@ def empty(c: Column) -> Column:
 
 def filled(c: Column) -> Column:
     """``c`` with the empty string read as NULL."""
-    return F.nullif(c, F.lit(""))
+    return F.when(c != "", c)
 
 
 def plain_number(c: Column) -> Column:

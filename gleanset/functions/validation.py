@@ -59,7 +59,7 @@ def parsed_date(c: Column) -> Column:
     text = strip(c)
     parsed = F.lit(None).cast("timestamp")
     for shape, formats in fixed.DATE_SHAPES.items():
-        attempts = [F.try_to_timestamp(text, F.lit(f)) for f in formats]
+        attempts = [F.try_to_timestamp(text, F.lit(f)) for f in formats] or [text.try_cast("timestamp")]
         parsed = F.when(text.rlike(shape), F.coalesce(*attempts)).otherwise(parsed)
     return parsed
 

@@ -13,7 +13,7 @@ MAX_ADMINS = 1_000
 def with_username(rows: DataFrame, users: DataFrame, key: str, row_id: str, name: str = "username") -> DataFrame:
     """Inner join of rows to their user; a very active user is spread over tasks."""
     names = users.select(F.col("id").alias(key), F.col("username").alias(name), F.lit(True).alias("__known"))
-    return lookup(rows, names, [key], row_id).filter("__known").drop("__known")
+    return lookup(rows, names, [key]).filter("__known").drop("__known")
 
 
 def with_managers(users: DataFrame) -> DataFrame:
@@ -21,8 +21,8 @@ def with_managers(users: DataFrame) -> DataFrame:
     def boss(key: str, name: str, above: str) -> DataFrame:
         return users.select(F.col("id").alias(key), F.col("username").alias(name), F.col("manager_id").alias(above))
 
-    first = lookup(users.select("id", "username", "role", "manager_id"), boss("manager_id", "manager", "above"), ["manager_id"], "id")
-    second = lookup(first, boss("above", "grand_manager", "top"), ["above"], "id")
+    first = lookup(users.select("id", "username", "role", "manager_id"), boss("manager_id", "manager", "above"), ["manager_id"])
+    second = lookup(first, boss("above", "grand_manager", "top"), ["above"])
     return second.select("id", "username", "role", "manager", "grand_manager")
 
 
@@ -35,14 +35,14 @@ def visible_users(users: DataFrame) -> DataFrame:
     own = users.select(F.col("id").alias("viewer"), F.col("id").alias("visible"))
     staff = users.select(F.col("manager_id").alias("viewer"), F.col("id").alias("visible"), F.col("role").alias("visible_role"))
     roles = users.select(F.col("id").alias("viewer"), F.col("role").alias("viewer_role"))
-    direct = lookup(staff, roles, ["viewer"], "visible").filter(
+    direct = lookup(staff, roles, ["viewer"]).filter(
         ((F.col("viewer_role") == "manager") & (F.col("visible_role") == "team_lead"))
         | ((F.col("viewer_role") == "team_lead") & (F.col("visible_role") == "user"))
     ).select("viewer", "visible", "viewer_role")
     leads = direct.filter("viewer_role = 'manager'").select("viewer", F.col("visible").alias("lead"))
     members = direct.filter("viewer_role = 'team_lead'").select(F.col("viewer").alias("lead"), "visible")
     # a lead has one manager, so this looks up the viewer of every member
-    below = lookup(members, leads, ["lead"], "visible").filter("viewer is not null").select("viewer", "visible")
+    below = lookup(members, leads, ["lead"]).filter("viewer is not null").select("viewer", "visible")
     return own.unionByName(direct.select("viewer", "visible")).unionByName(below).distinct()
 
 
@@ -53,7 +53,7 @@ def visible_rows(
     if role == "admin":
         return rows
     seen = visible_users(users).filter(F.col("viewer") == viewer).select(F.col("visible").alias(key), F.lit(True).alias("__seen"))
-    return lookup(rows, seen, [key], row_id).filter("__seen").drop("__seen")
+    return lookup(rows, seen, [key]).filter("__seen").drop("__seen")
 
 
 def role_permissions(roles: DataFrame, grants: DataFrame, permissions: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def notifications(logs: DataFrame, users: DataFrame) -> DataFrame:
     """
     acts = logs.withColumn("action_type", notice_kind(F.col("action"))).filter("action_type is not null")
     actor = users.select(F.col("id").alias("user_id"), "username", "manager_id", F.lit(True).alias("__known"))
-    sent = lookup(acts, actor, ["user_id"], "id").filter("__known").withColumn(
+    sent = lookup(acts, actor, ["user_id"]).filter("__known").withColumn(
         "message", notice_text(F.col("username"), F.col("action")))
     managed = sent.filter("manager_id is not null").withColumn("recipient_id", F.col("manager_id").cast("bigint"))
     others = F.array_except(F.array(*map(F.lit, admin_ids(users))).cast("array<bigint>"), F.array(F.col("user_id").cast("bigint")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleanset import fixed
 from gleanset.functions.keys import fuzzy_text, normalized, similarity, similarity_bound
-from gleanset.operators.skew import HOT_ROWS, attach, same, without_heaviest
+from gleanset.operators.skew import HOT_ROWS, attach, without_heaviest
 
 
 _ID_RANGE = 10**20
@@ -75,13 +75,14 @@ def fuzzy_duplicates(
     score: str,
     row_id: str,
     threshold: float = fixed.FUZZY_THRESHOLD,
-    block_rows: int = fixed.FUZZY_BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """(row_id, position, column, score) of rows that resemble their block's base row.
 
-    A block is the rows of one e-mail / phone value; larger blocks than
-    ``block_rows`` are skipped by rule, so the heaviest keys never reach the
-    join. The base row is the most complete one.
+    A block is the rows of one e-mail / phone value. Every row is compared with
+    the block's base row, the most complete one, so the work is linear and
+    blocks of any size are compared: the base of a heavy key is broadcast and
+    its rows are spread. With ``block_rows``, larger blocks are skipped.
     """
     texts_struct = F.struct(*[fuzzy_text(F.col(f"`{t}`")).alias(f"t{i}") for i, t in enumerate(texts)])
     keyed = rows.dropna(subset=identity).select(row_id, score, *identity, texts_struct.alias("texts"))
@@ -90,16 +91,17 @@ def fuzzy_duplicates(
         F.count(F.lit(1)).alias("n"),
         F.min_by(F.struct(F.col(row_id).alias("base_id"), F.col("texts").alias("base_texts")), order).alias("base"),
     )
-    small = blocks.filter(F.col("n").between(2, block_rows)).select(*identity, "base.*")
-    members = without_heaviest(keyed, blocks, identity, "n")
-    pairs = members.alias("m").join(small.alias("b"), same("m", "b", identity)).filter(
-        F.col(f"m.{row_id}") != F.col("b.base_id")
-    )
+    compared_blocks = blocks.filter(F.col("n") >= 2)
+    if block_rows is not None:
+        compared_blocks = compared_blocks.filter(F.col("n") <= block_rows)
+        keyed = without_heaviest(keyed, blocks, identity, "n", block_rows)
+    met = attach(keyed, compared_blocks.select(*identity, "n", "base.*"), identity, "n", row_id)
+    pairs = met.filter(F.col(row_id) != F.col("base_id"))
     compared = pairs.select(
-        F.col(f"m.{row_id}"),
+        row_id,
         F.inline(F.array(*[
             F.struct(F.lit(i).alias("position"), F.lit(t).alias("column"),
-                     F.col(f"b.base_texts.t{i}").alias("a"), F.col(f"m.texts.t{i}").alias("b"))
+                     F.col(f"base_texts.t{i}").alias("a"), F.col(f"texts.t{i}").alias("b"))
             for i, t in enumerate(texts)
         ])),
     )

@@ -38,19 +38,20 @@ def matched(records: DataFrame, people: DataFrame, row_id: str = "id") -> DataFr
     without a key, and rows of a heavy key, are spread over tasks.
     """
     fields = person_fields()
-    person = people.select(
+    plain = people.select(
         F.lower("email").alias("mail_key"),
         F.lower(F.concat_ws(" ", "first_name", "last_name")).alias("name_key"),
-        F.struct(*[filled(strip(v.cast("string"))).alias(n) for n, v in fields.items()]).alias("person"),
+        *[strip(v.cast("string")).alias(n) for n, v in fields.items()],
     )
+    person = plain.select("mail_key", "name_key", F.struct(*[filled(F.col(n)).alias(n) for n in fields]).alias("person"))
     by_mail = person.groupBy("mail_key").agg(F.min_by("person", "person").alias("by_mail"))
     by_name = person.groupBy("name_key").agg(F.min_by("person", "mail_key").alias("by_name"))
     full = F.lower(strip(F.concat_ws(" ", F.col("first_name"), F.col("last_name"))))
     keyed = records.withColumns({"mail_key": filled(F.lower("email_address")), "name_key": filled(full)})
-    found = lookup(keyed, by_mail, ["mail_key"], row_id)
+    found = lookup(keyed, by_mail, ["mail_key"])
     # a name only decides where the record has no e-mail
     named = found.withColumn("name_key", F.when(F.col("mail_key").isNull(), F.col("name_key")))
-    both = lookup(named, by_name, ["name_key"], row_id)
+    both = lookup(named, by_name, ["name_key"])
     return both.select(
         *[F.col(f"`{c}`") for c in records.columns], F.coalesce("by_mail", "by_name").alias("person")
     )

@@ -97,7 +97,7 @@ def suggest_mapping(
         _alias_targets(aliases), _master_targets(headers.sparkSession), _registry_targets(registry.filter("is_active = 1"))
     )
     named = headers.withColumn("norm", normal_header(F.col("header")))
-    return lookup(named, targets, ["norm"], row_id).withColumn("target", F.coalesce("target", F.lit("create_new")))
+    return lookup(named, targets, ["norm"]).withColumn("target", F.coalesce("target", F.lit("create_new")))
 
 
 def resolve_headers(
@@ -116,11 +116,11 @@ def resolve_headers(
     )
     targets = _first_target(masters, _alias_targets(aliases), known)
     named = headers.withColumn("norm", normal_header(F.col("header"))).filter("norm <> ''")
-    matched = lookup(named, targets, ["norm"], row_id)
+    matched = lookup(named, targets, ["norm"])
     unknown = matched.filter("target is null").groupBy("norm").agg(F.min(strip(F.col("header"))).alias("field_name"))
     top = registry.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint")).scalar()
     fresh = numbered(unknown, "norm", top, "new_id")
-    resolved = lookup(matched, fresh.select("norm", "new_id"), ["norm"], row_id).select(
+    resolved = lookup(matched, fresh.select("norm", "new_id"), ["norm"]).select(
         *headers.columns, "norm",
         F.coalesce("target", F.concat(F.lit("custom:"), F.col("new_id").cast("string"))).alias("target"),
         F.col("target").isNull().alias("is_new"),
@@ -283,7 +283,7 @@ def repoint_aliases(aliases: DataFrame, old: tuple[str, str], new: tuple[str, st
 
 
 def add_column(df: DataFrame, label: str, dtype: str = "string") -> DataFrame:
-    name = header_name(label)
+    name = header_name(label, keep_symbols=True)
     if not name or name in fixed.SYSTEM_COLUMNS or name in df.columns:
         raise ValueError(f"column {name!r} is reserved or exists")
     return df.withColumn(name, F.lit(None).cast(dtype))

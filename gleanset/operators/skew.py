@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 # than 1/HOT_KEYS of the rows.
 HOT_KEYS = 4096
 HOT_ROWS = 10_000
-SLICES = 64
+# Slice numbers of rows of heavy keys: so many that they spread over all tasks, however many there are.
+SLICES = 1 << 20
 
 
 def same(left: str, right: str, keys: list[str]) -> Column:
@@ -37,16 +38,15 @@ def heaviest(facts: DataFrame, count: str, rows: int = HOT_ROWS, keys: int = HOT
 
 
 def spread_join(
-    rows: DataFrame, facts: DataFrame, keys: list[str], hot: DataFrame, row_id: str, match_null: bool = True
+    rows: DataFrame, facts: DataFrame, keys: list[str], hot: DataFrame, row_id: str
 ) -> DataFrame:
     """Left join ``facts`` (one row per key) to ``rows``.
 
-    Keys compare null-safe; with ``match_null=False`` a NULL key finds nothing
-    and its rows are spread like those of a heavy key.
+    Keys compare null-safe.
 
     ``hot`` holds the facts of the heaviest keys and is bounded, so it is
     broadcast. In the shuffled join the rows of those keys carry a slice number
-    that no fact has, which spreads them over ``SLICES`` groups.
+    that no fact has, which spreads them over all tasks.
     """
     named = [c for c in facts.columns if c not in keys]
     hot = hot.select(*[F.col(f"`{k}`") for k in keys], F.struct(*named).alias("__hot"))
@@ -55,8 +55,6 @@ def spread_join(
     )
     marked = rows.alias("r").join(F.broadcast(hot).alias("h"), same("r", "h", keys), "left")
     apart = F.col("h.__hot").isNotNull()
-    if not match_null:
-        apart = apart | reduce(lambda a, b: a | b, [F.col(f"r.`{k}`").isNull() for k in keys])
     sliced = marked.select(
         "r.*",
         "h.__hot",
@@ -82,14 +80,18 @@ def attach(
     return spread_join(rows, facts, keys, heaviest(facts, count, hot_rows, hot_keys), row_id)
 
 
-def lookup(
-    rows: DataFrame, table: DataFrame, keys: list[str], row_id: str, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """:func:`spread_join` of another table; the heavy keys are counted on the rows."""
-    counts = rows.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    heavy = heaviest(counts, "__rows", hot_rows).select(*keys)
-    hot = table.alias("t").join(F.broadcast(heavy).alias("h"), same("t", "h", keys), "left_semi")
-    return spread_join(rows, table, keys, hot, row_id, match_null=False)
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of another table; NULL keys find nothing.
+
+    Rows are evaluated once. A small table is broadcast by Spark itself, by its
+    measured size; for a large one AQE splits the partitions of heavy and of
+    NULL keys, as both sides are plain rows.
+    """
+    named = [c for c in table.columns if c not in keys]
+    joined = rows.alias("r").join(
+        table.alias("t"), reduce(lambda a, b: a & b, [F.col(f"r.`{k}`") == F.col(f"t.`{k}`") for k in keys]), "left"
+    )
+    return joined.select("r.*", *[F.col(f"t.`{c}`") for c in named])
 
 
 def without_heaviest(

@@ -54,8 +54,8 @@ def stored_type(name: str, dtype: str) -> str:
     return "text"
 
 
-def sample(df: DataFrame, columns: list[str], row_id: str, size: int = fixed.INFERENCE_SAMPLE) -> DataFrame:
-    """The first non-null values of every column, as (column, value).
+def sample(df: DataFrame, columns: list[str], row_id: str, size: int) -> DataFrame:
+    """The first ``size`` non-null values of every column, as (column, value).
 
     One top-k per column: each task keeps ``size`` rows and reads one column
     plus the row id, so nothing is sorted or shuffled as a whole.
@@ -74,11 +74,22 @@ def _rate(hit: Column) -> Column:
     return F.avg(F.coalesce(hit, F.lit(False)).cast("int"))
 
 
-def profile(df: DataFrame, columns: list[str], row_id: str) -> DataFrame:
-    """Hit rates and inferred type per column; empty columns are text."""
+def _cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """All non-null values as (column, value), in one pass over the rows."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
+    return df.select(F.inline(cells)).filter("value is not null").select("column", strip(F.col("value")).alias("value"))
+
+
+def profile(df: DataFrame, columns: list[str], row_id: str, size: int | None = None) -> DataFrame:
+    """Hit rates and inferred type per column; empty columns are text.
+
+    Every value counts, in one aggregate that tasks combine first; with ``size``
+    only the first so many values of a column by row id.
+    """
     value = F.col("value")
     digits = F.regexp_replace(value, r"[^\d.\-]", "")
-    rates = sample(df, columns, row_id).groupBy("column").agg(
+    cells = _cells(df, columns) if size is None else sample(df, columns, row_id, size)
+    rates = cells.groupBy("column").agg(
         F.count(F.lit(1)).alias("sampled"),
         *[_rate(value.rlike(p)).alias(f"{k}_rate") for k, p in fixed.INFERENCE_PATTERNS.items()],
         _rate(plain_number(digits).isNotNull()).alias("numeric_rate"),
@@ -139,12 +150,3 @@ def column_types(
         found = {r["column"]: r["inferred"] for r in profile(df, undecided, row_id).collect()}
         types.update({c: found.get(c, "text") for c in undecided})
     return types
-
-
-def header_matches(headers: Column) -> Column:
-    """Alias type of a column of header texts, NULL when no alias fits."""
-    cleaned = F.lower(strip(headers))
-    kind = F.lit(None).cast("string")
-    for found, aliases in reversed(list(fixed.COLUMN_ALIASES.values())):
-        kind = F.when(cleaned.isin(aliases), F.lit(found)).otherwise(kind)
-    return kind

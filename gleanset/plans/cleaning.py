@@ -249,9 +249,10 @@ def validate_rows(frame: DataFrame, rules: list[Rule], row_id: str | None = None
 
 
 def remove_duplicates(
-    frame: DataFrame, dedupe: list[str], types: dict[str, str], columns: list[str], row_id: str, seq: int
+    frame: DataFrame, dedupe: list[str], types: dict[str, str], columns: list[str], row_id: str, seq: int,
+    block_rows: int | None = None,
 ) -> DataFrame:
-    """Exact dedup on canonical keys, then fuzzy dedup inside e-mail / phone blocks."""
+    """Exact dedup on canonical keys, then fuzzy dedup inside e-mail / phone blocks of at most ``block_rows``."""
     used = [c for c in dedupe if types[c] != "identifier"]
     if not used:
         return frame
@@ -270,7 +271,7 @@ def remove_duplicates(
     fuzzy = F.array().cast("array<struct<seq:int,rule:string,column:string,message:string,score:double>>")
     if identity and texts:
         survivors = scored.join(winners, row_id, "left_semi")
-        near = fuzzy_duplicates(survivors, identity, texts, "__score", row_id)
+        near = fuzzy_duplicates(survivors, identity, texts, "__score", row_id, block_rows=block_rows)
         shown = F.round("score", 3)
         error = F.struct(
             (F.lit(seq) + F.col("position")).alias("seq"), F.lit("fuzzy_duplicate").alias("rule"), F.col("column"),
@@ -296,9 +297,12 @@ def clean(
     row_id: str,
     dedupe: list[str] | None = None,
     types: dict[str, str] | None = None,
+    block_rows: int | None = None,
 ) -> CleaningResult:
     """Run the rules over every row and classify it as cleaned, invalid or removed.
 
+    ``block_rows`` bounds the blocks of the fuzzy dedup; by default all are compared.
+
     A row leaves at the first stage that claims it: missing values, validation,
     exact duplicates, fuzzy duplicates.
     """
@@ -310,7 +314,7 @@ def clean(
     warnings = df.sparkSession.createDataFrame(warned, "rule string, column string, message string")
     frame, flags = clean_values(df, usable, kinds)
     checked = validate_rows(flag_missing(frame, flags), usable, row_id)
-    deduped = remove_duplicates(checked, dedupe, kinds, columns, row_id, 2 * len(usable))
+    deduped = remove_duplicates(checked, dedupe, kinds, columns, row_id, 2 * len(usable), block_rows)
     classified = deduped.withColumn("__outcome", F.coalesce("__outcome", F.lit("cleaned")))
     return CleaningResult(classified, warnings, columns, row_id)
 

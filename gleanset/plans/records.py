@@ -71,13 +71,15 @@ class RecordQuery:
         return [first] if column == "id" else [first, F.asc("id")]
 
     def rows(self, df: DataFrame) -> DataFrame:
-        return page_of(self.matching(df), self.order(df), self.page, min(self.per_page, fixed.MAX_PAGE_ROWS))
+        return page_of(self.matching(df), self.order(df), self.page, self.per_page)
 
     def info(self, df: DataFrame) -> DataFrame:
-        return page_info(self.matching(df), self.page, min(self.per_page, fixed.MAX_PAGE_ROWS))
+        return page_info(self.matching(df), self.page, self.per_page)
 
-    def export(self, df: DataFrame, rows: int = fixed.EXPORT_ROWS) -> DataFrame:
-        """The first ``rows`` of the search in its order: the cap is part of the export."""
+    def export(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """The whole search; with ``rows``, the first so many in its order."""
+        if rows is None:
+            return self.matching(df)
         return self.matching(df).orderBy(*self.order(df)).limit(rows)
 
 
@@ -117,7 +119,7 @@ def csv_rows(df: DataFrame, names: dict[str, str]) -> DataFrame:
 def client_export(df: DataFrame, approved: RecordQuery, request: RecordQuery, row_limit: int) -> DataFrame:
     """A key's approved filters AND the request's; the key caps the rows."""
     allowed = df.filter(approved.predicate(df))
-    return request.export(allowed, min(row_limit, fixed.EXPORT_ROWS))
+    return request.export(allowed, row_limit)
 
 
 def delete_matching(df: DataFrame, query: RecordQuery) -> tuple[DataFrame, DataFrame]:
@@ -157,5 +159,5 @@ def quota_decision(limits: DataFrame, usage: DataFrame, day: str, matching: Data
 def filtered_export(
     df: DataFrame, query: RecordQuery, wanted: list[str], names: dict[str, str]
 ) -> DataFrame:
-    """Requested columns of the matching rows in id order."""
-    return export_projection(query.matching(df).orderBy("id"), wanted, names)
+    """Requested columns of the matching rows."""
+    return export_projection(query.matching(df), wanted, names)

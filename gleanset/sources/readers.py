@@ -19,10 +19,14 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
     return max(DELIMITERS, key=line.count)
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
-    """All columns as text: rules work on text and types are semantic."""
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, multi_line: bool = True) -> DataFrame:
+    """All columns as text: rules work on text and types are semantic.
+
+    Quoted cells may hold line breaks, so a file is one task. For large files
+    known to have one row per line, ``multi_line=False`` lets Spark split them.
+    """
     sep = delimiter or sniff_delimiter(spark, path)
-    return spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", False).csv(path)
+    return spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", multi_line).csv(path)
 
 
 def with_row_id(df: DataFrame, name: str = "__row_id") -> DataFrame:
@@ -46,12 +50,25 @@ def read_sheets(spark: SparkSession, path: str, form: str, book: str = "book") -
 
 
 def read_json_records(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """An array of objects, or objects with a ``records`` array, as rows."""
+    """An array of objects, or objects with a ``records`` array, as rows.
+
+    A file is one array or one object over any number of lines, or one object
+    per line. Text that is no such JSON raises: it must not become NULL rows.
+    """
     inner = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     outer = T.StructType([*inner.fields, T.StructField("records", T.ArrayType(inner))])
-    rows = spark.read.schema(outer).json(path)
-    own = F.array(F.struct(*[F.col(f"`{f.name}`") for f in inner.fields]))
-    return rows.select(F.inline(F.coalesce(F.col("records"), own)))
+    text = F.col("value")
+    lines = F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != "")
+    by_line = F.forall(lines, lambda x: F.try_parse_json(x).isNotNull())
+    whole = F.when(F.try_parse_json(text).isNull(), F.raise_error(F.concat(F.lit("no JSON in "), F.col("_metadata.file_name"))))
+    objects = (
+        F.when(F.ltrim(text).startswith("["), F.coalesce(whole, F.from_json(text, T.ArrayType(outer))))
+        .when(by_line, F.transform(lines, lambda x: F.from_json(x, outer)))
+        .otherwise(F.coalesce(whole, F.array(F.from_json(text, outer))))
+    )
+    rows = spark.read.text(path, wholetext=True).select(F.explode(objects).alias("o"))
+    own = F.array(F.struct(*[F.col(f"o.`{f.name}`") for f in inner.fields]))
+    return rows.select(F.inline(F.coalesce(F.col("o.records"), own)))
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanset import fixed
 from gleanset.functions.scalars import iso_text, second_text
 from gleanset.plans.cleaning import CleaningResult, with_error_text
 
@@ -55,9 +54,10 @@ def _dashes(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit("--"))
 
 
-def label_logs(rows: DataFrame) -> DataFrame:
-    """Activity export, newest first, capped as the export is."""
-    return rows.orderBy(F.desc("created_at"), F.desc("id")).limit(fixed.LOG_EXPORT_ROWS).select(
+def label_logs(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """Activity export of all rows; with ``most``, of the newest so many, newest first."""
+    chosen = rows if most is None else rows.orderBy(F.desc("created_at"), F.desc("id")).limit(most)
+    return chosen.select(
         F.col("id").alias("Log ID"), F.col("username").alias("Username"), F.col("action").alias("Action Performed"),
         F.col("total_rows").alias("Total Rows"), iso_text(F.col("created_at")).alias("Timestamp"),
     )

@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gleanset import fixed
-from gleanset.functions.scalars import notice_kind, notice_text
+from gleanset.operators.access import notifications
 from gleanset.operators.activity import category_counts
 from gleanset.operators.rules import Rule
-from gleanset.operators.skew import SLICES
 from gleanset.plans.cleaning import clean_values, flag_missing, validate_rows
 from gleanset.plans.ingest import ingest
 
@@ -139,43 +138,31 @@ def sessions(logs: DataFrame, gap: str = SESSION_GAP) -> DataFrame:
 
 
 def notice_stream(logs: DataFrame, users: DataFrame) -> DataFrame:
-    """Notices of the activity stream to managers, through the stored user table."""
-    acts = logs.withColumn("action_type", notice_kind(F.col("action"))).filter("action_type is not null")
-    # the user table is repeated per slice, so a very active user is not one task
-    slices = F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))
-    actor = users.filter("manager_id is not null").select(
-        F.col("id").alias("user_id"), "username", F.col("manager_id").cast("bigint").alias("recipient_id"), slices.alias("slice"))
-    sliced = acts.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(SLICES)).cast("int"))
-    return sliced.join(actor, ["user_id", "slice"]).select(
-        "id", "recipient_id", F.col("user_id").alias("sender_id"),
-        notice_text(F.col("username"), F.col("action")).alias("message"), "action_type")
-
-
-def quota_stream(requests: DataFrame) -> DataFrame:
-    """Accept an export while used + rows <= limit, in arrival order per user and day.
-
-    ``requests`` has id, user_id, day (text), n and active_limit; the state is
-    the rows used so far, so a refused request does not count.
-    """
-    def decide(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        used = state.get[0] if state.exists else 0
-        for chunk in chunks:
-            verdicts, used = _decide(chunk["n"].tolist(), chunk["active_limit"].tolist(), used)
-            yield chunk.assign(accepted=verdicts)[["id", "user_id", "day", "n", "accepted"]]
-        state.update((used,))
+    """Notices of the activity stream to managers, or to the admins, through the stored user table."""
+    return notifications(logs, users)
+
 
-    return requests.groupBy("user_id", "day").applyInPandasWithState(
-        decide, "id long, user_id long, day string, n long, accepted boolean", "used long", "append",
-        GroupStateTimeout.NoTimeout)
+def quota_stream(requests: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """Accept an export while used + rows <= limit, in the order of (at, id) within a user's day.
+
+    ``requests`` has id, user_id, at, n and active_limit. A day is decided as a
+    whole once the watermark has passed its end, so verdicts do not depend on
+    files, batches or partitions; then its state goes. A refused request does
+    not count.
+    """
+    asked = F.struct("at", "id", "n", "active_limit")
+    days = event_time(requests, "at", lateness).groupBy("user_id", F.window("at", "1 day").alias("w")).agg(
+        F.array_sort(F.collect_list(asked)).alias("asked"))
+    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<id:bigint,n:bigint,accepted:boolean>>").alias("done"))
 
+    def decide(state, x):
+        fits = state["used"] + x["n"] <= x["active_limit"]
+        verdict = F.struct(x["id"].alias("id"), x["n"].alias("n"), fits.alias("accepted"))
+        return F.struct((state["used"] + F.when(fits, x["n"]).otherwise(0)).alias("used"), F.concat(state["done"], F.array(verdict)).alias("done"))
 
-def _decide(sizes: list[int], limits: list[int], used: int) -> tuple[list[bool], int]:
-    verdicts = []
-    for n, limit in zip(sizes, limits):
-        fits = used + n <= limit
-        verdicts.append(fits)
-        used += n if fits else 0
-    return verdicts, used
+    decided = F.aggregate("asked", start, decide, lambda state: state["done"])
+    return days.select("user_id", F.to_date("w.start").cast("string").alias("day"), F.explode(decided).alias("v")).select(
+        "v.id", "user_id", "day", "v.n", "v.accepted")
 
 
 def quota_in_order(requests: DataFrame, order: list[str]) -> DataFrame:
@@ -201,34 +188,46 @@ def quota_in_order(requests: DataFrame, order: list[str]) -> DataFrame:
     return sorted_rows.mapInPandas(run, "id long, user_id long, day string, n long, accepted boolean")
 
 
-def stale_uploads(events: DataFrame) -> DataFrame:
-    """Uploads that stay in processing for five minutes of event time.
+def stale_uploads(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """Uploads that stay in processing for five minutes of event time, once per stay.
 
-    ``events`` has id, status and at; the timer is dropped when another status
-    arrives, and fires when the watermark passes it.
+    ``events`` has id, status and at. The stay begins with the first processing
+    event and ends with the next other status by event time; further processing
+    events do not move it, and events older than the newest seen are passed
+    over. What is open fires when the watermark passes the five minutes. State
+    goes once the watermark is past the newest event and no timer is left.
     """
+    limit = STALE_MINUTES * 60_000_000
+
     def watch(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, since, newest, fired = state.get if state.exists else (None, 0, -1, False)
+        found = []
         if state.hasTimedOut:
-            since = state.get[0]
-            state.remove()
-            yield pd.DataFrame({"id": [key[0]], "status": ["failed"], "processing_since": [pd.Timestamp(since, unit="us")]})
-            return
-        last, at = None, None
-        for chunk in chunks:
-            newest = chunk.loc[chunk["at"].idxmax()]
-            if at is None or newest["at"] > at:
-                last, at = newest["status"], newest["at"]
-        if state.exists and last != "processing":
+            if status == "processing" and not fired:
+                found, fired = [since], True
+        else:
+            seen = pd.concat(chunks)
+            micros = (seen["at"] - pd.Timestamp(0)) // pd.Timedelta(microseconds=1)
+            for at, said in sorted(zip(micros.tolist(), seen["status"].tolist())):
+                if at < newest:
+                    continue
+                if said != status:
+                    if status == "processing" and not fired and at - since >= limit:
+                        found.append(since)
+                    status, since, fired = said, at, False
+                newest = at
+        watermark = state.getCurrentWatermarkMs()
+        due = (since + limit if status == "processing" and not fired else newest) // 1000
+        if state.hasTimedOut and due <= watermark:
             state.remove()
-        elif last == "processing":
-            micros = int(at.timestamp() * 1_000_000)
-            state.update((micros,))
-            due = micros // 1000 + STALE_MINUTES * 60_000
+        else:
+            state.update((status, since, newest, fired))
             # a timer may not lie behind the watermark
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(due, watermark + 1))
+        if found:
+            yield pd.DataFrame({"id": key[0], "status": "failed", "processing_since": pd.to_datetime(pd.Series(found), unit="us")})
 
-    watched = event_time(events, "at")
+    watched = event_time(events, "at", lateness)
     return watched.groupBy("id").applyInPandasWithState(
-        watch, "id long, status string, processing_since timestamp", "since long", "append",
+        watch, "id long, status string, processing_since timestamp", "status string, since long, newest long, fired boolean", "append",
         GroupStateTimeout.EventTimeTimeout)
-

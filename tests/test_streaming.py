@@ -55,14 +55,18 @@ def test_first_seen_across_batches(spark, folder):
     assert {(r["k"], r["n"]) for r in got.collect()} == {("a", 1), ("b", 3)}
 
 
-def test_quota_stream_equals_batch_in_order(spark, folder):
-    schema = "id bigint, user_id bigint, day string, n bigint, active_limit bigint"
-    asks = [(i, i % 2, "2024-01-01", n, 100) for i, n in enumerate([60, 50, 50, 30, 40, 30, 1, 20])]
-    for row in asks:
-        drop(spark, [row], schema, folder, f"{row[0]:03d}")
+def test_quota_stream_does_not_depend_on_files_and_partitions(spark, folder):
+    schema = "id bigint, user_id bigint, at timestamp_ntz, n bigint, active_limit bigint"
+    sizes = [60, 50, 50, 30, 40, 30, 1, 20]
+    asks = [(i, i % 2, START + dt.timedelta(minutes=i), n, 100) for i, n in enumerate(sizes)]
+    for name, rows in (("a", asks[4:6]), ("b", [asks[1], asks[7], asks[0]]), ("c", [asks[6], asks[3], asks[2]])):
+        drop(spark, rows, schema, folder, name)
+    drop(spark, [(99, 9, START + dt.timedelta(days=3), 1, 1)], schema, folder, "d")
+    drop(spark, [(100, 9, START + dt.timedelta(days=4), 1, 1)], schema, folder, "e")
     got = {r["id"]: r["accepted"] for r in jobs.run_append(jobs.quota_stream(stream(spark, schema, folder)), f"{folder}-out").collect()}
-    batch = {r["id"]: r["accepted"] for r in jobs.quota_in_order(spark.createDataFrame(asks, schema), ["id"]).collect()}
-    assert got == batch
+    got.pop(99, None)
+    batch = spark.createDataFrame(asks, schema).withColumn("day", F.to_date("at").cast("string"))
+    assert got == {r["id"]: r["accepted"] for r in jobs.quota_in_order(batch.drop("at"), ["id"]).collect()}
     # user 0 asks 60, 50, 40, 1 and user 1 asks 50, 30, 30, 20 of 100
     assert [i for i, ok in sorted(got.items()) if not ok] == [2, 5, 6]
 
@@ -76,6 +80,18 @@ def test_stale_upload_fires_once_the_watermark_passes(spark, folder):
     assert [(r["id"], r["status"]) for r in got.collect()] == [(1, "failed")]
 
 
+def test_later_and_late_events_do_not_move_a_stay(spark, folder):
+    schema = "id bigint, status string, at timestamp_ntz"
+    minutes = lambda n: START + dt.timedelta(minutes=n)
+    drop(spark, [(1, "processing", minutes(0)), (2, "processing", minutes(10))], schema, folder, "a")
+    drop(spark, [(1, "processing", minutes(4)), (2, "completed", minutes(8))], schema, folder, "b")
+    drop(spark, [(9, "completed", minutes(68))], schema, folder, "c")
+    drop(spark, [(1, "processing", minutes(69)), (9, "completed", minutes(300))], schema, folder, "d")
+    drop(spark, [(9, "completed", minutes(600))], schema, folder, "e")
+    got = jobs.run_append(jobs.stale_uploads(stream(spark, schema, folder)), f"{folder}-out").collect()
+    assert sorted((r["id"], r["processing_since"].replace(tzinfo=None)) for r in got) == [(1, minutes(0)), (2, minutes(10))]
+
+
 def test_ingest_stream_survives_a_restart(spark, folder):
     schema = "rid bigint, file_id string, mail string"
     target = {"mail": "master:email"}
