@@ -47,9 +47,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    root = shared_root(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of ``df``: written once to the shared folder as Parquet and read back.
+
+    Later readers still prune columns and push filters down.
+    """
+    path = scratch_path(df.sparkSession, "settled")
+    typed = df.withColumns({c: df[f"`{c}`"].cast("string") for c, kind in df.dtypes if kind == "void"})
+    typed.write.parquet(path)
+    return df.sparkSession.read.schema(typed.schema).parquet(path)
