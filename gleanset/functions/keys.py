@@ -100,6 +100,24 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(blank, F.lit(0.0)).otherwise(ratio)
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def letter_bound(a: Column, b: Column) -> Column:
+    """Upper bound of the ratio from how often each letter occurs in both texts.
+
+    Matching blocks use every letter of either text once at most. Letters
+    outside ``LETTERS`` count as one.
+    """
+    def often(c: Column, letter: str) -> Column:
+        return F.length(c) - F.length(F.replace(c, F.lit(letter), F.lit("")))
+
+    shared = sum((F.least(often(a, x), often(b, x)) for x in LETTERS), F.lit(0))
+    rest = [F.length(c) - sum((often(c, x) for x in LETTERS), F.lit(0)) for c in (a, b)]
+    total = F.length(a) + F.length(b)
+    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * (shared + F.least(*rest)) / total)
+
+
 def similarity_bound(a: Column, b: Column) -> Column:
     """Upper bound of the ratio from the text lengths alone."""
     total = F.length(a) + F.length(b)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanset import fixed
-from gleanset.functions.keys import fuzzy_text, normalized, similarity, similarity_bound
+from gleanset.functions.keys import fuzzy_text, letter_bound, normalized, similarity, similarity_bound
 from gleanset.operators.skew import HOT_ROWS, attach, without_heaviest
 
 
@@ -105,7 +105,8 @@ def fuzzy_duplicates(
             for i, t in enumerate(texts)
         ])),
     )
-    likely = compared.filter(similarity_bound(F.col("a"), F.col("b")) >= threshold)
+    near = compared.filter(similarity_bound(F.col("a"), F.col("b")) >= threshold)
+    likely = near.filter(letter_bound(F.col("a"), F.col("b")) >= threshold)
     scored = likely.select(row_id, "position", "column", similarity(F.col("a"), F.col("b")).alias("score"))
     return scored.filter(F.col("score") >= threshold)
 

@@ -1,9 +1,11 @@
+import difflib
 import random
 import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
+from gleanset.functions.keys import letter_bound
 from gleanset.operators import dedup, mapping, skew, typing
 from gleanset.operators.medians import exact_medians
 
@@ -107,3 +109,21 @@ def test_sample_takes_the_first_non_null_rows(spark):
     rows = spark.createDataFrame([(i, None if i < 60 else str(i)) for i in range(200)], "rid bigint, v string").repartition(8)
     got = sorted(int(r["value"]) for r in typing.sample(rows, ["v"], "rid", 25).collect())
     assert got == list(range(60, 85))
+
+
+def test_letter_bound_is_never_too_low(spark):
+    pick = random.Random(4)
+    pairs = [("".join(pick.choices("abé 1", k=pick.randint(0, 9))), "".join(pick.choices("abé 1", k=pick.randint(0, 9)))) for _ in range(200)]
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", letter_bound(F.col("a"), F.col("b")).alias("bound")).collect()
+    assert all(r["bound"] >= difflib.SequenceMatcher(None, r["a"], r["b"]).ratio() - 1e-9 for r in rows)
+
+
+@pytest.mark.parametrize("accuracy, most", [(10_000, 1_000_000), (50, 20), (20, 1)])
+def test_medians_in_narrowing_passes(spark, accuracy, most):
+    pick = random.Random(8)
+    cells = [(pick.gauss(0, 100), float(pick.randrange(5)), 3.0, None, pick.random() if i % 3 else None) for i in range(3001)]
+    rows = spark.createDataFrame(cells, "a double, b double, c double, d double, e double")
+    got = exact_medians(rows, list("abcde"), accuracy, most).first()
+    for i, name in enumerate("abcde"):
+        own = [r[i] for r in cells if r[i] is not None]
+        assert got[name] == (statistics.median(own) if own else None)
