@@ -125,17 +125,22 @@ def _read(docs: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of (a, b): nodes with one root are connected.
 
-    Each round every node moves to the neighbour, or itself, of least random
-    rank, and edges follow; edges within a node vanish, so what is left shrinks
-    by a constant factor. Rounds are written to the shared folder.
+    Each round every node moves to the first of its neighbours and itself, and
+    edges follow; edges within a node vanish. First is by number in even rounds,
+    which folds a star about its least node at once, and by a random rank in odd
+    ones, so that no numbering of a long path makes many rounds: what is left
+    shrinks by a constant factor. Rounds are written to the shared folder.
     """
     left, moves = settled(edges.select("a", "b").distinct(), "edges"), []
     while not left.isEmpty():
-        seed = F.lit(len(moves))
-        both = left.union(left.select("b", "a"))
-        rank = F.struct(F.xxhash64("b", seed).alias("r"), F.col("b").alias("n"))
-        own = F.struct(F.xxhash64("a", seed).alias("r"), F.col("a").alias("n"))
-        move = settled(both.groupBy("a").agg(F.min(rank).alias("best")).select("a", F.least("best", own)["n"].alias("to")), "moves")
+        both = left.union(left.select("b", "a")).groupBy("a")
+        if len(moves) % 2:
+            seed = F.lit(len(moves))
+            rank = lambda c: F.struct(F.xxhash64(c, seed).alias("r"), F.col(c).alias("n"))
+            first = both.agg(F.min(rank("b")).alias("best")).select("a", F.least("best", rank("a"))["n"].alias("to"))
+        else:
+            first = both.agg(F.min("b").alias("best")).select("a", F.least("a", "best").alias("to"))
+        move = settled(first, "moves")
         moves.append(move)
         ends = left.join(move.select("a", F.col("to").alias("x")), "a").join(
             move.select(F.col("a").alias("b"), F.col("to").alias("y")), "b"
