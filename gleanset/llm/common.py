@@ -13,7 +13,8 @@ from gleanset.session import scratch_path
 
 # The bytes that separate words: space and the controls from tab to carriage return.
 SPACES = b" \t\n\v\f\r"
-SLICE_BYTES = 4 << 20
+# Text that is worked through at once: its arrays take some fifty times as much.
+SLICE_BYTES = 1 << 20
 
 
 def settled(df: DataFrame, label: str) -> DataFrame:

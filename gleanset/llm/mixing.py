@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -22,16 +22,20 @@ PART_ROWS = 20_000
 _WORD = re.compile(r"[^ \t-\r]+")
 
 
-def word_counts(docs: DataFrame, extra: str = "source string") -> DataFrame:
-    """(doc_id, size[, ...]): the words of each text, a null text none; further columns pass through."""
-    names = [part.strip().split(" ")[0] for part in extra.split(",") if part.strip()]
+def hash_key(seed: int = SEED) -> Column:
+    """The random key of a document, 63 bits of a hash of its id and text."""
+    return F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 1)
+
+
+def word_counts(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """(doc_id, source, key, size): the words of each text, a null text none, and its random key."""
 
     def work(batch: pa.RecordBatch) -> dict:
         counted = [np.diff(word_spans(*utf8(part.column("text")))[2]) for part in slices(batch)]
-        return {n: batch.column(n) for n in ["doc_id", *names]} | {"size": np.concatenate(counted).astype(np.int64)}
+        return {n: batch.column(n) for n in ("doc_id", "source", "key")} | {"size": np.concatenate(counted).astype(np.int64)}
 
-    schema = ", ".join(filter(None, ["doc_id long", "size long", extra]))
-    return per_batch(docs.select(F.col("doc_id").cast("long"), "text", *names), schema, work)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", hash_key(seed).alias("key"), "text")
+    return per_batch(rows, "doc_id long, source string, key long, size long", work)
 
 
 def numbered(rows: DataFrame, key: str) -> DataFrame:
@@ -78,71 +82,92 @@ def targets(
     return weighed.withColumn("target", F.least(F.col("most"), F.lit(level) * F.col("weight"))).drop("most", "place")
 
 
-def mix(
-    sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS,
-    seed: int = SEED, part_rows: int = PART_ROWS,
+def cuts(
+    sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, part_rows: int = PART_ROWS
 ) -> DataFrame:
-    """Add ``source_size``, ``target`` and ``taken`` to (doc_id, source, size, ...).
-
-    Each row gets a hash-random key; a source's rows are taken in key order,
-    whole passes first, until its target, rounded to words, is met exactly: the
-    row at the cut is taken in part. The key space is cut into ranges; sums per
-    (source, range) give each range its first position, and a window sums
-    within a range, so a source of any size is spread over all tasks.
-
-    Keys come from the id, the seed and, for rows that repeat an id, from a
-    number kept with the written row, so reruns on the same table agree. Null
-    sources form one source; rows without words take nothing. An empty table
-    gives an empty table.
+    """(source, source_size, target, passes, cut, cut_words): where the mix ends in each source.
+
+    A source's rows are taken in key order, whole passes first, until its target,
+    rounded to words, is met. In the last pass rows of keys below ``cut`` are
+    taken whole, and of each row with that key ``cut_words`` words.
+
+    The key space is cut into ranges. Sums per (source, range) give each range its
+    first position and tell in which one the source ends; only there the keys
+    themselves are summed up. So a source of any size is spread over all tasks.
+    Only rows that repeat id and text share a key; the words left at the cut are
+    then shared evenly among them, down to whole words.
     """
-    key = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 1)  # 63 bits
-    rows = settled(sized.withColumn("__key", key).withColumn("__row", F.monotonically_increasing_id()), "sizes")
-    bits = max(1, int(rows.count() / part_rows)).bit_length()
-    dealt = rows.withColumn("__range", F.shiftright("__key", 63 - bits))
-    sums = settled(
-        dealt.groupBy("source", "__range").agg(F.sum("size").alias("__words")), "ranges"
-    )
-    sources = sums.groupBy("source").agg(F.sum("__words").alias("source_size"))
-    aims = targets(sources, weights, share, epochs)
-    before = Window.partitionBy("source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.withColumn("__base", F.coalesce(F.sum("__words").over(before), F.lit(0)))
-    facts = bases.alias("b").join(aims.alias("a"), F.col("b.source").eqNullSafe(F.col("a.source"))).select(
-        F.col("b.source").alias("__source"), F.col("b.__range").alias("__of"), "__base", "source_size", "target"
-    )
-    within = Window.partitionBy("source", "__range").orderBy("__key", "doc_id", "__row").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    running = dealt.withColumn("__in", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    joined = running.join(facts, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__range") == F.col("__of")))
+    bits = max(1, int(sized.count() / part_rows)).bit_length()
+    dealt = sized.withColumn("range", F.shiftright("key", 63 - bits))
+    sums = settled(dealt.groupBy("source", "range").agg(F.sum("size").alias("words")), "ranges")
+    aims = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, epochs)
     budget = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
-    rest = budget - passes * F.col("source_size") - F.col("__base") - F.col("__in")
-    cut = F.least(F.greatest(rest, F.lit(0)), F.col("size"))
-    return joined.withColumn("taken", passes * F.col("size") + cut).drop(
-        "__key", "__row", "__range", "__source", "__of", "__base", "__in"
+    ends = settled(aims.withColumn("passes", passes).withColumn("rest", budget - F.col("passes") * F.col("source_size")), "ends")
+
+    def at_end(parts: DataFrame, order: str) -> DataFrame:
+        """Of the parts of each source the one that its remaining budget ends in, and what is left for it."""
+        upto = F.sum("words").over(Window.partitionBy("source").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        placed = parts.withColumn("before", upto - F.col("words"))
+        met = placed.alias("p").join(ends.alias("e"), F.col("p.source").eqNullSafe(F.col("e.source"))).select("p.*", "rest")
+        return met.filter("rest >= before AND rest < before + words").withColumn("left", F.col("rest") - F.col("before"))
+
+    last = settled(at_end(sums, "range").select("source", "range", F.col("before").alias("skipped")), "last")
+    same = F.col("d.source").eqNullSafe(F.col("l.source")) & (F.col("d.range") == F.col("l.range"))
+    inside = dealt.alias("d").join(last.alias("l"), same).select("d.source", "d.key", "d.size", "skipped")
+    by_key = inside.groupBy("source", "key").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.max("skipped").alias("skipped"))
+    # The ranges before the last one count as one more part in front of its keys.
+    front = last.select("source", F.lit(-1).cast("long").alias("key"), F.col("skipped").alias("words"), F.lit(1).cast("long").alias("n"))
+    found = at_end(by_key.drop("skipped").unionByName(front), "key").filter("key >= 0")
+    cut = found.select("source", F.col("key").alias("cut"), F.floor(F.col("left") / F.col("n")).cast("long").alias("cut_words"))
+    return settled(
+        ends.alias("e").join(cut.alias("c"), F.col("e.source").eqNullSafe(F.col("c.source")), "left").select(
+            "e.source", "source_size", "target", "passes", "cut", "cut_words"
+        ),
+        "cuts",
     )
 
 
-def mixed_texts(docs: DataFrame, **options) -> DataFrame:
+def mix(sized: DataFrame, **options) -> DataFrame:
+    """Add ``source_size``, ``target`` and ``taken`` to the rows of :func:`word_counts`.
+
+    Options are those of :func:`cuts`. Keys depend on seed, id and text alone,
+    so reruns agree. Null sources form one source; rows without words take
+    nothing. An empty table gives an empty table.
+    """
+    rows = settled(sized, "sizes")
+    facts = cuts(rows, **options)
+    joined = rows.alias("r").join(facts.alias("f"), F.col("r.source").eqNullSafe(F.col("f.source")))
+    part = F.when(F.col("key") < F.col("cut"), F.col("size")).when(
+        F.col("key") == F.col("cut"), F.least("cut_words", "size")
+    ).otherwise(0)
+    return joined.select("r.*", "source_size", "target", (F.col("passes") * F.col("size") + part).alias("taken"))
+
+
+def mixed_texts(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """The documents of the mix, one row per pass, with the columns of ``docs``.
 
     A document taken twice comes twice; the one at the cut of its source ends
     after its last taken word, and ``n_chars`` follows the text. Documents that
-    nothing is taken of are left out; so are empty ones, which have no words.
+    nothing is taken of are left out; so are those without words. Texts are not
+    shuffled: each row is decided by its key and its source's cut.
     """
     names = docs.columns
-    keyed = settled(docs.withColumn("__uid", F.monotonically_increasing_id()), "mixed")
-    taken = mix(word_counts(keyed, "source string, __uid long"), **options)
-    chosen = taken.filter("taken > 0").select("__uid", F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    copies = F.expr("sequence(1, cast(ceil(__taken / __size) as int))")
-    rows = keyed.join(chosen, "__uid").withColumn("__pass", F.explode(copies))
-    last = F.col("__taken") - (F.col("__pass") - 1) * F.col("__size")
-    whole = last >= F.col("__size")
+    facts = cuts(settled(word_counts(docs, seed), "sizes"), **options).select(
+        F.col("source").alias("__source"), "passes", F.col("cut").alias("__cut"), F.col("cut_words").alias("__words")
+    )
+    keyed = docs.withColumn("__key", hash_key(seed)).alias("d")
+    met = keyed.join(facts.alias("f"), F.col("d.source").eqNullSafe(F.col("f.__source"))).filter(F.col("d.text").rlike(r"[^ \t-\r]"))
+    whole = F.col("f.passes") + F.when(F.col("__key") < F.col("__cut"), 1).otherwise(0)
+    part = F.when((F.col("__key") == F.col("__cut")) & (F.col("__words") > 0), F.array("__words")).otherwise(F.array().cast("array<bigint>"))
+    copies = F.concat(F.array_repeat(F.lit(None).cast("bigint"), whole.cast("int")), part)
+    rows = met.select("d.*", F.explode(copies).alias("__last"))
+    whole_text = F.col("__last").isNull()
     # Only the rows at a cut go to Python; the others send a null.
-    cut = rows.withColumn("__cut", first_words(F.when(~whole, F.col("text")), last))
-    changed = {"text": F.when(whole, F.col("text")).otherwise(F.col("__cut"))}
+    cut = rows.withColumn("__cut", first_words(F.when(~whole_text, F.col("text")), F.coalesce("__last", F.lit(0))))
+    changed = {"text": F.when(whole_text, F.col("text")).otherwise(F.col("__cut"))}
     if "n_chars" in names:
-        changed["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length("__cut"))
+        changed["n_chars"] = F.when(whole_text, F.col("n_chars")).otherwise(F.length("__cut"))
     types = dict(docs.dtypes)
     return cut.select(*[changed[n].cast(types[n]).alias(n) if n in changed else F.col(f"`{n}`") for n in names])
 
@@ -154,7 +179,7 @@ def first_words(texts: pd.Series, counts: pd.Series) -> pd.Series:
     def cut(text: str | None, count: int) -> str | None:
         if text is None:
             return None
-        ends = itertools.islice(_WORD.finditer(text), count - 1, None)
-        return text[:next(ends).end()]
+        ends = itertools.islice(_WORD.finditer(text), int(count) - 1, None)
+        return next((text[:m.end()] for m in ends), text)
 
-    return pd.Series([cut(t, int(c)) for t, c in zip(texts, counts, strict=True)], dtype=object)
+    return pd.Series([cut(t, c) for t, c in zip(texts, counts, strict=True)], dtype=object)

@@ -30,9 +30,10 @@ def test_targets_match_sharing_by_hand(spark):
 
 def test_mix_meets_targets_and_is_stable(spark):
     rows = spark.range(0, 4000).selectExpr(
-        "id as doc_id", "if(id % 3 = 0, 'hot', concat('s', id % 40)) as source", "pmod(hash(id), 50) as size", "id as rank"
+        "id as doc_id", "if(id % 3 = 0, 'hot', concat('s', id % 40)) as source", "shiftrightunsigned(xxhash64(id), 1) as key",
+        "cast(pmod(hash(id), 50) as bigint) as size", "id as rank",
     )
-    first, second = (mix(rows.withColumn("size", rows["size"].cast("long")), part_rows=100).collect() for _ in range(2))
+    first, second = (mix(rows, part_rows=100).collect() for _ in range(2))
     assert {(r["doc_id"], r["taken"]) for r in first} == {(r["doc_id"], r["taken"]) for r in second}
     taken = {}
     for r in first:
@@ -43,6 +44,13 @@ def test_mix_meets_targets_and_is_stable(spark):
     assert all(abs(t - aim) <= 0.5 and size == said for t, aim, size, said in taken.values())
 
 
+def test_rows_that_share_a_key_share_the_cut(spark):
+    rows = [(1, "a", 5, 10)] * 7 + [(2, "b", 9, 30)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, source string, key long, size long"), weights=(1.0, 9.0)).collect()
+    # 150 words by weight: b stops at 60, so a gets 90 of its 70, a pass and 20 words more
+    assert sorted(r["taken"] for r in got) == [12] * 7 + [60]
+
+
 def test_awkward_documents(spark):
     docs = cases.documents(spark)
     rows = mix(word_counts(docs)).collect()
@@ -61,7 +69,7 @@ def test_texts_of_the_mix(spark):
     for r in rows:
         words[r["source"]] = words.get(r["source"], 0) + len(WORD.findall(r["text"]))
     aims = {r["source"]: r["target"] for r in mix(word_counts(docs)).collect()}
-    assert all(abs(words.get(s, 0) - aim) <= 0.5 for s, aim in aims.items())
+    assert all(abs(words.get(s, 0) - aim) <= 3 for s, aim in aims.items())
     originals = [t for _, t in cases.texts(docs)]
     assert all(any(t.startswith(r["text"]) for t in originals) for r in rows)
 
