@@ -46,7 +46,7 @@ def _tumbling(name: str, unit: str, expression: str):
     @query(name, f"SELECT CAST({expression} AS VARCHAR) AS period, count(*) AS total, {_COUNTS} FROM logs GROUP BY 1")
     def _(t: Tables):
         counts = jobs.tumbling_counts(streamed(t, "logs", "events"), unit)
-        return jobs.run_complete(counts, scratch_path(t.spark, "counts")).withColumn("period", c("period").cast("string"))
+        return jobs.run_update(counts, ["period"], scratch_path(t.spark, "counts")).withColumn("period", c("period").cast("string"))
 
 
 _tumbling("st3_tumbling_days", "day", "CAST(created_at AS DATE)")
@@ -58,7 +58,7 @@ SELECT username, window_start, count(*) AS fails FROM (SELECT username, unnest(g
   FROM login_attempts WHERE success = 0) x GROUP BY 1, 2 HAVING count(*) >= 5""")
 def _(t: Tables):
     alerts = jobs.failure_alerts(streamed(t, "login_attempts", "events"))
-    return jobs.run_complete(alerts, scratch_path(t.spark, "alerts"))
+    return jobs.run_update(alerts, ["username", "window_start"], scratch_path(t.spark, "alerts"))
 
 
 @query("st5_stream_dedup", "SELECT DISTINCT user_id, CAST(CAST(created_at AS DATE) AS VARCHAR) AS day FROM logs")

@@ -44,17 +44,27 @@ def run_append(stream: DataFrame, path: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def run_complete(stream: DataFrame, path: str) -> DataFrame:
-    """Write the complete result of an aggregation, replacing the last one."""
-    def replace(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/rows")
+def run_update(stream: DataFrame, keys: list[str], path: str) -> DataFrame:
+    """The newest row of each key of an aggregation.
 
+    A batch writes the rows it has changed to a folder of its own, so a repeated
+    batch replaces its own rows. Windows behind the watermark leave the state,
+    and open ones are in the result with what they have so far.
+    """
+    spark = stream.sparkSession
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch_id={batch_id}")
+
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/rows/batch_id=-1")
     started = (
-        stream.writeStream.outputMode("complete").trigger(availableNow=True)
-        .option("checkpointLocation", f"{path}/checkpoint").foreachBatch(replace).start()
+        stream.writeStream.outputMode("update").trigger(availableNow=True)
+        .option("checkpointLocation", f"{path}/checkpoint").foreachBatch(put).start()
     )
     started.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows")
+    rest = F.struct(*[c for c in stream.columns if c not in keys])
+    return rows.groupBy(*keys).agg(F.max_by(rest, "batch_id").alias("row")).select(*keys, "row.*")
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
