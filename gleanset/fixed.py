@@ -135,54 +135,6 @@ MASTER_LABELS = {
 SYSTEM_COLUMNS = ("id", "file_id", "custom_fields", "created_at", "updated_at", "imported_by")
 NULL_WORDS = ("nan", "nat", "null")
 
-# header alias -> (layer, target); custom targets name a registry field
-SEED_ALIASES = {
-    "First Name": ("master", "first_name"),
-    "Last Name": ("master", "last_name"),
-    "FirstName": ("master", "first_name"),
-    "LastName": ("master", "last_name"),
-    "First_Name": ("master", "first_name"),
-    "Last_Name": ("master", "last_name"),
-    "Full Name": ("master", "full_name"),
-    "Name": ("master", "full_name"),
-    "Email Address": ("custom", "email_address"),
-    "E-mail": ("custom", "email_address"),
-    "Primary Phone Number": ("custom", "primary_phone_number"),
-    "Contact Number": ("custom", "primary_phone_number"),
-    "Mobile No": ("custom", "primary_phone_number"),
-    "Mobile Number": ("custom", "primary_phone_number"),
-    "Alternate Phone Number": ("custom", "alternate_phone_number"),
-    "Company Name": ("custom", "company_name"),
-    "Company": ("custom", "company_name"),
-    "Organization": ("custom", "company_name"),
-    "Job Title": ("custom", "job_title"),
-    "Department": ("custom", "department"),
-    "Website URL": ("custom", "website_url"),
-    "Website": ("custom", "website_url"),
-    "Address Line 1": ("custom", "address_line_1"),
-    "Address Line 2": ("custom", "address_line_2"),
-    "City": ("custom", "city"),
-    "State / Province": ("custom", "state_province"),
-    "State Name": ("custom", "state_province"),
-    "State": ("custom", "state_province"),
-    "Postal / ZIP Code": ("custom", "postal_zip_code"),
-    "ZIP Code": ("custom", "postal_zip_code"),
-    "Postal Code": ("custom", "postal_zip_code"),
-    "Country": ("custom", "country"),
-    "Country Name": ("custom", "country"),
-    "LinkedIn Profile URL": ("custom", "linkedin_profile_url"),
-    "LinkedIn": ("custom", "linkedin_profile_url"),
-    "Industry": ("custom", "industry"),
-    "Lead Source": ("custom", "lead_source"),
-    "Record Status": ("custom", "record_status"),
-    "Date of Birth": ("custom", "date_of_birth"),
-    "DOB": ("custom", "date_of_birth"),
-    "Gender": ("custom", "gender"),
-    "Company Size": ("custom", "company_size"),
-    "Annual Revenue": ("custom", "annual_revenue"),
-    "Imported By": ("master", "imported_by"),
-}
-
 # ── Record search ───────────────────────────────────────────────────────────
 SEARCH_COLUMNS = [
     "first_name", "last_name", "email_address", "primary_phone_number", "company_name",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gleanset import fixed
 from gleanset.functions.scalars import (
-    column_label, field_label, first_name, header_name, json_map, last_name, normal_header, no_null_words,
+    column_label, field_label, first_name, header_name, last_name, normal_header, no_null_words,
 )
 from gleanset.functions.text import empty, filled, missing, strip
 from gleanset.operators.skew import lookup
@@ -191,11 +191,6 @@ def custom_value(field_id: str, fields: str = "custom_fields") -> Column:
     return F.try_element_at(F.col(fields), F.lit(field_id))
 
 
-def read_custom(df: DataFrame, name: str = "custom_fields") -> DataFrame:
-    """Stored JSON text as a map; broken text gives the empty map."""
-    return df.withColumn(name, json_map(F.col(name)))
-
-
 def resolve_custom_keys(fields: Column, names: dict[str, str], unknown: str | None = None) -> Column:
     """Field ids as display names; unknown ids stay or take ``unknown.format(id)``."""
     known = literal_map(names)
@@ -265,11 +260,6 @@ def demote(df: DataFrame, column: str, field_id: str, fields: str = "custom_fiel
     return df.withColumn(fields, F.when(empty(cell), F.col(fields)).otherwise(moved)).drop(column)
 
 
-def demoted_field(field_id: int, column: str) -> tuple[int, str, str]:
-    """Registry entry of a demoted column."""
-    return field_id, field_label(column), column
-
-
 def delete_custom(df: DataFrame, field_id: str, fields: str = "custom_fields") -> DataFrame:
     return df.withColumn(fields, _or_null(F.map_filter(F.col(fields), lambda k, v: k != field_id)))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,9 +117,12 @@ def csv_rows(df: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def client_export(df: DataFrame, approved: RecordQuery, request: RecordQuery, row_limit: int) -> DataFrame:
-    """A key's approved filters AND the request's; the key caps the rows."""
+    """A key's approved filters AND the request's; the key caps the rows.
+
+    A client searches fewer columns than a user does.
+    """
     allowed = df.filter(approved.predicate(df))
-    return request.export(allowed, row_limit)
+    return replace(request, search_columns=tuple(fixed.CLIENT_SEARCH_COLUMNS)).export(allowed, row_limit)
 
 
 def delete_matching(df: DataFrame, query: RecordQuery) -> tuple[DataFrame, DataFrame]:
@@ -161,3 +164,20 @@ def filtered_export(
 ) -> DataFrame:
     """Requested columns of the matching rows."""
     return export_projection(query.matching(df), wanted, names)
+
+
+def export_within_quota(
+    df: DataFrame, query: RecordQuery, wanted: list[str], names: dict[str, str],
+    user_id: int, limits: DataFrame, usage: DataFrame, day: str,
+) -> tuple[DataFrame, DataFrame]:
+    """A user's filtered export and the usage row to book for it.
+
+    Both are empty if the matching rows would exceed what is left of the user's
+    limit of the day, or if the user has no limit.
+    """
+    asked = quota_decision(limits.filter(F.col("id") == user_id), usage, day, query.matching(df))
+    allowed = asked.agg(F.coalesce(F.max("allowed"), F.lit(False))).scalar()
+    booked = asked.filter("allowed").select(
+        F.col("id").alias("user_id"), F.lit(day).cast("date").alias("export_date"), F.col("requested").alias("rows_count")
+    )
+    return filtered_export(df.filter(allowed), query, wanted, names), booked

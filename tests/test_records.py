@@ -64,6 +64,23 @@ def test_unknown_sort_column_falls_back_to_id(table):
     assert [r["id"] for r in RecordQuery(sort_by="password").rows(table).collect()] == [4, 3, 2, 1]
 
 
+def test_export_within_quota_books_what_it_takes(spark, table):
+    limits = spark.createDataFrame([(7, "user", 3), (8, "user", 100)], "id int, role string, active_limit bigint")
+    usage = spark.createDataFrame([(7, "2024-01-10", 1), (7, "2024-01-09", 99)], "user_id int, export_date string, rows_count bigint").withColumn(
+        "export_date", F.col("export_date").cast("date"))
+    def ask(user):
+        return plan.export_within_quota(table, RecordQuery(), ["master:first_name"], {}, user, limits, usage, "2024-01-10")
+    rows, booked = ask(8)
+    assert rows.count() == 4 and [(r["user_id"], r["rows_count"]) for r in booked.collect()] == [(8, 4)]
+    for user in (7, 9):
+        rows, booked = ask(user)
+        assert rows.count() == 0 and booked.count() == 0
+
+
+def test_clients_search_seven_columns(table):
+    assert ids(plan.client_export(table, RecordQuery(), RecordQuery(search="nobody"), 10)) == []
+
+
 def test_client_cannot_widen_approved_filters(table):
     approved = RecordQuery(fields={"email": "x.com"})
     assert ids(plan.client_export(table, approved, RecordQuery(fields={"email": "y.org"}), 10)) == []
