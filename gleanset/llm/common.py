@@ -113,10 +113,29 @@ def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64(sums + lengths.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
-def null_safe(left: Column, right: Column) -> Column:
-    return left.eqNullSafe(right)
+# Bits of the filter of ids: with it a broadcast has 131,072 rows at most, whatever the number of ids.
+FILTER_BITS = 23
 
 
-def by_code_point(column: str) -> Column:
-    """Sort order of a text column by code point, null last."""
-    return F.col(column).asc_nulls_last()
+def possible(rows: DataFrame, ids: DataFrame, key: str, name: str) -> DataFrame:
+    """Add ``name``: false where ``key`` is surely not among the ids, so that such rows need no shuffle.
+
+    One bit for each id's hash in a filter of fixed size, kept as words of 64
+    bits. With very many ids it says "possible" more often; what is possible has
+    to be joined with the ids in any case.
+    """
+    def place(column: str) -> str:
+        return f"pmod(xxhash64(`{column}`), {1 << FILTER_BITS}L)"
+
+    def word(column: str) -> Column:
+        return F.expr(f"{place(column)} >> 6")
+
+    def bit(column: str) -> Column:
+        return F.expr(f"shiftleft(1L, cast({place(column)} & 63 as int))")
+
+    words = ids.select(word(key).alias("__word"), bit(key).alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    marked = rows.withColumns({"__at": word(key), "__own": bit(key)}).alias("r").join(
+        F.broadcast(words).alias("w"), F.col("r.__at") == F.col("w.__word"), "left"
+    )
+    hit = F.coalesce(F.col("__bits").bitwiseAND(F.col("__own")) != 0, F.lit(False))
+    return marked.select(*[F.col(f"r.`{c}`") for c in rows.columns], hit.alias(name))

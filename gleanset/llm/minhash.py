@@ -24,7 +24,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanset.llm.common import mix64, per_batch, settled, slices, utf8, word_hashes, word_spans
+from gleanset.llm.common import mix64, per_batch, possible, settled, slices, utf8, word_hashes, word_spans
 
 WORDS = 5
 PERCENT = 85
@@ -262,7 +262,9 @@ def links(docs: DataFrame, dealt: DataFrame, words: int = WORDS, percent: int =
         if (out := found(held)) is not None:
             yield out
 
-    texts = _read(docs).join(dealt, F.col("doc_id") == F.col("node")).select("node", "root", "groups", "text")
+    # Texts of documents in no candidate class are not shuffled.
+    asked = possible(_read(docs), dealt.select(F.col("node").alias("doc_id")), "doc_id", "asked").filter("asked")
+    texts = asked.join(dealt, F.col("doc_id") == F.col("node")).select("node", "root", "groups", "text")
     sets = per_batch(texts, "root long, i long, j long, node long, shingles binary", collect)
     ready = sets.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
     return ready.mapInArrow(compare, "a long, b long").filter("a != b")
@@ -296,7 +298,7 @@ def near_duplicates(
     shared = settled(keyed.join(hubs.select("key", "hub"), "key"), "bands")
     classes = components(shared.filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
     nodes = classes.join(reps.groupBy("node").agg(F.max("n_shingles").alias("n_shingles")), "node")
-    dealt = tiles(nodes, shared.select("node", "key"), tile, max(1, tile // 2048))
+    dealt = settled(tiles(nodes, shared.select("node", "key"), tile, max(1, tile // 2048)), "dealt")
     members = settled(
         sketched.join(reps.select("digest", "node"), "digest", "left").select(
             "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")
