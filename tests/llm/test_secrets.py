@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -88,3 +89,17 @@ def test_scan_of_awkward_documents(spark):
 
 def test_empty_table(spark):
     assert scan(cases.empty(spark)).count() == 0 and redact(cases.empty(spark)).count() == 0
+
+
+def drawn(alphabet, length, n=1500):
+    pick = random.Random(f"{alphabet}{length}")
+    return ["".join(pick.choices(alphabet, k=length)) for _ in range(n)]
+
+
+def test_recall_by_alphabet_and_length():
+    """Nineteen of twenty keys are found in each alphabet at every length, nearly all from 24 characters on."""
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for alphabet in (low + digits, up + digits, up + "234567", low + "234567", low + up + digits, low + up + digits + "+/", low + up + digits + "_-"):
+        for length in (20, 24, 32, 40):
+            found = sum(bool(find_secrets(key)) for key in drawn(alphabet, length))
+            assert found >= (0.95 if length == 20 else 0.98) * 1500, (alphabet, length, found)
