@@ -41,16 +41,37 @@ CLASSES = (
     ("lower+digits", frozenset(LOWER + DIGITS), 3.4),
     ("upper+digits", frozenset(UPPER + DIGITS), 3.4),
     ("letters", frozenset(LOWER + UPPER), 3.55),
+    ("base62", frozenset(UPPER + LOWER + DIGITS), 3.6),
     ("base64", frozenset(UPPER + LOWER + DIGITS + "+/_=-"), 3.6),
 )
-# Strings that look random and are not secret.
+# Strings that look random and are not secret, where they stand apart from letters and digits.
 ALLOWED = (
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # identifiers in the usual grouping
-    r"[A-Za-z]+(?:[_/-][A-Za-z]+)*",  # words and paths of words
-    r"(?:(?:[A-Za-z]{1,12}[0-9]{0,4}|[0-9]{1,4})[_/-])+[A-Za-z]{0,12}[0-9]{0,4}",  # numbered names and paths
-    r"(.)\1*",  # rulers
     r"sha(?:1|256|384|512)-[A-Za-z0-9+/]+=*",  # checksums that are meant to be read
 )
+# Bits that a letter (column) costs after another (row) in words: counted over English, with common German, French and
+# Spanish words. Drawn evenly it costs 4.7.
+PAIRS = (
+    "95449455577443959343468879 37672888369376479456398968 49684892495588389674589989 37762687399475489446486879 "
+    "57447666498442867235567588 48773488399467378463498977 48782865495574589356389997 27872877396665389464597978 "
+    "56354547998453476543869796 27673777576777367757377777 46662655466465566546565666 36852777297368377854489969 "
+    "36872899396746439867596989 49534636496786489842669987 76448466697442659244476889 38773396598488349254598969 "
+    "66666666666665666556166666 36552757495755478534487978 48372766397668448842597969 38682795398587469345476965 "
+    "55463566679452759344969879 38891889399878389888898999 36663665266665466456566666 35454566466556636653666556 "
+    "35455666566554436544665666 37662676377566567666375766"
+).split()
+# Bits of a step between kinds of characters in names made of words and numbers, before the bits of the character itself.
+# What separates parts says nothing, nor do digits after digits: random keys come in groups and with numbers, too.
+STEPS = {
+    "lower": {"lower": 0.3, "upper": 3.0, "digit": 3.5},
+    "upper": {"lower": 0.5, "upper": 0.5, "digit": 3.5},
+    "digit": {"lower": 3.0, "upper": 3.0},
+}
+ALONE = {"lower": 4.5, "upper": 4.5, "digit": math.log2(10)}
+# Bits of a character drawn evenly from the letters and digits of each class.
+DRAWN = {name: math.log2(sum(c.isalnum() for c in letters)) for name, letters, _ in CLASSES}
+# With its separators taken out, a name of short parts has few pairs to tell by: so many bits must speak against words.
+GROUPED = 10.0
 
 Span = tuple[str, int, int]
 
@@ -65,7 +86,22 @@ def _patterns() -> dict[str, re.Pattern]:
 
 @lru_cache(maxsize=8)
 def _allow(allowed: tuple[str, ...]) -> re.Pattern:
-    return re.compile("|".join(f"(?:{p})" for p in _renumbered(allowed)))
+    inner = "|".join(f"(?:{p})" for p in _renumbered(allowed)) or "(?!)"
+    return re.compile(f"(?<![A-Za-z0-9])(?:{inner})(?![A-Za-z0-9])")
+
+
+def _kind(c: str) -> str:
+    return "lower" if c in LOWER else "upper" if c in UPPER else "digit" if c in DIGITS else ""
+
+
+@lru_cache(maxsize=8192)
+def word_step(a: str, b: str) -> float | None:
+    """Bits that ``b`` costs after ``a`` where words and numbers are written; none between parts and inside numbers."""
+    first, second = _kind(a), _kind(b)
+    if not first or not second or first == second == "digit":
+        return None
+    inside = (first, second) in (("lower", "lower"), ("upper", "upper"), ("upper", "lower"))
+    return STEPS[first][second] + (int(PAIRS[ord(a.lower()) - 97][ord(b.lower()) - 97]) if inside else ALONE[second])
 
 
 def _renumbered(allowed: tuple[str, ...]) -> list[str]:
@@ -90,9 +126,14 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def random_runs(text: str, window: int = WINDOW) -> list[tuple[int, int]]:
+def random_runs(text: str, window: int = WINDOW, parts: set[int] | None = None) -> list[tuple[int, int]]:
     """Stretches covered by windows whose entropy reaches the bound of their narrowest class.
 
+    With ``parts``, the places where a new part begins (``GROUPED`` holds if
+    there are any), a window does not count if it is at least as likely to be
+    made of words and numbers as to be drawn evenly from its class. Only pairs of characters inside the window bear on
+    that, so its verdict does not depend on the rest.
+
     With counts c of the characters in a window of w, the entropy is
     log2(w) - sum(c * log2(c)) / w. Moving on by one character changes two
     counts, so each step costs the same whatever the window.
@@ -105,6 +146,11 @@ def random_runs(text: str, window: int = WINDOW) -> list[tuple[int, int]]:
     for row, (_, letters, _) in zip(outside, CLASSES, strict=True):
         for i, c in enumerate(text):
             row[i + 1] = row[i] + (c not in letters)
+    least = GROUPED if parts else 0.0
+    told, pairs = [0.0] * n, [0] * n
+    for i in range(1, n if parts is not None else 0):
+        step = None if i in parts else word_step(text[i - 1], text[i])
+        told[i], pairs[i] = told[i - 1] + (step or 0.0), pairs[i - 1] + (step is not None)
     counts: dict[str, int] = {}
     total, runs = 0.0, []
     for end in range(n):
@@ -115,8 +161,8 @@ def random_runs(text: str, window: int = WINDOW) -> list[tuple[int, int]]:
         if start < 0:
             continue
         entropy = math.log2(window) - total / window
-        bound = next((b for row, (_, _, b) in zip(outside, CLASSES, strict=True) if row[end + 1] == row[start]), math.inf)
-        if entropy >= bound:
+        name, _, bound = next((c for row, c in zip(outside, CLASSES, strict=True) if row[end + 1] == row[start]), ("", "", math.inf))
+        if entropy >= bound and (parts is None or told[end] - told[start] > (pairs[end] - pairs[start]) * DRAWN[name] + least):
             if runs and start <= runs[-1][1]:
                 runs[-1][1] = end + 1
             else:
@@ -127,16 +173,33 @@ def random_runs(text: str, window: int = WINDOW) -> list[tuple[int, int]]:
     return [(a, b) for a, b in runs]
 
 
+def drawn_runs(text: str, window: int = WINDOW) -> list[tuple[int, int]]:
+    """Random stretches of a candidate that are not words, as it stands and with its separators taken out."""
+    runs = random_runs(text, window, set())
+    parts = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9]+", text)]
+    if len(parts) > 1:
+        places = [i for a, b in parts for i in range(a, b)]
+        begins = {at for at in range(1, len(places)) if places[at] > places[at - 1] + 1}
+        runs += [(places[a], places[b - 1] + 1) for a, b in random_runs("".join(text[i] for i in places), window, begins)]
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(runs):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def entropy_spans(text: str, known: list[Span], window: int = WINDOW, allowed: tuple[str, ...] = ALLOWED) -> list[Span]:
-    """Random stretches of candidate strings outside the known spans and the allow-list."""
+    """Random stretches of candidate strings between the known spans and what is on the allow-list."""
     out = []
     for m in _patterns()["candidate"].finditer(text):
-        if _allow(allowed).fullmatch(m[0]):
-            continue
-        for start, end in random_runs(m[0], window):
-            start, end = start + m.start(), end + m.start()
-            if not any(start < k[2] and k[1] < end for k in known):
-                out.append(("entropy", start, end))
+        gaps = [(g.start() + m.start(), g.end() + m.start()) for g in _allow(allowed).finditer(m[0])]
+        gaps += [(k[1], k[2]) for k in known if k[1] < m.end() and m.start() < k[2]]
+        at = m.start()
+        for start, end in [*sorted(gaps), (m.end(), m.end())]:
+            out += [("entropy", a + at, b + at) for a, b in drawn_runs(text[at:start], window)] if at < start else []
+            at = max(at, end)
     return out
 
 

@@ -103,3 +103,32 @@ def test_recall_by_alphabet_and_length():
         for length in (20, 24, 32, 40):
             found = sum(bool(find_secrets(key)) for key in drawn(alphabet, length))
             assert found >= (0.95 if length == 20 else 0.98) * 1500, (alphabet, length, found)
+
+
+def test_random_letters_and_grouped_keys_are_no_words():
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for alphabet in (low, up, low + up):
+        for length in (20, 32):
+            found = sum(bool(find_secrets(key)) for key in drawn(alphabet, length))
+            assert found >= 0.95 * 1500, (alphabet, length, found)
+    pick = random.Random(5)
+    for groups, letters, numbers, alphabet in ((5, 4, 0, up), (4, 4, 4, up), (4, 6, 2, low), (5, 5, 0, up + digits), (4, 6, 0, low + up + digits)):
+        keys = ["-".join("".join(pick.choices(alphabet, k=letters) + pick.choices(digits, k=numbers)) for _ in range(groups)) for _ in range(500)]
+        found = sum(bool(find_secrets(key)) for key in keys)
+        assert found >= 0.95 * 500, (groups, letters, numbers, found)
+
+
+def test_words_and_names_are_left():
+    for harmless in (
+        "internationalisation", "Geschwindigkeitsbegrenzung", "Kraftfahrzeughaftpflichtversicherung", "anticonstitutionnellement",
+        "desproporcionadamente", "TheQuickBrownFoxJumpsOverTheLazyDog", "SPECULATIVE_EXECUTION_ENABLED", "applyInPandasWithStateAndTimeout",
+        "libgstreamer1plugins0base12dev", "user_2024_01_15_backup_final_v2", "order-2024-000123456789", "docs/2024-01-15T10-22-33/report",
+        "objects/123e4567-e89b-12d3-a456-426614174000/view", "page-1/2/3/4/5/6/7/8/9/10/11",
+    ):
+        assert find_secrets(harmless) == [], harmless
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(PARTS, st.text(alphabet="abcxyzQRT0189-_/", max_size=25)), max_size=12).map("".join))
+def test_nothing_random_is_left_by_redaction(text):
+    assert not any(kind == "entropy" for kind, _, _ in find_secrets(redacted(text, find_secrets(text))))
