@@ -125,7 +125,8 @@ def possible(rows: DataFrame, ids: DataFrame, key: str, name: str) -> DataFrame:
     to be joined with the ids in any case.
     """
     def place(column: str) -> str:
-        return f"pmod(xxhash64(`{column}`), {1 << FILTER_BITS}L)"
+        # Hashes differ between integer types; ids come as long.
+        return f"pmod(xxhash64(cast(`{column}` as long)), {1 << FILTER_BITS}L)"
 
     def word(column: str) -> Column:
         return F.expr(f"{place(column)} >> 6")

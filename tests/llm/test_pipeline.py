@@ -81,3 +81,9 @@ def test_near_copies_from_four_fifths_on_leave(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r["doc_id"] for r in pipeline.distinct(spark, docs, SF).collect()}
     assert kept == set(sets) - near
+
+
+def test_ids_of_another_integer_type(spark):
+    texts = [" ".join(f"{k % 5}w{i}" for i in range(60)) for k in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert sorted(r["doc_id"] for r in pipeline.distinct(spark, docs, SF).collect()) == [0, 1, 2, 3, 4]
