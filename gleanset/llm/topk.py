@@ -149,7 +149,7 @@ class Search:
         alive = np.flatnonzero(self.lengths * lengths.max() + SLACK >= self.bar)
         if not len(alive):
             return
-        q, c = self._survivors(alive, turned, lengths)
+        q, c = self._survivors(alive, ids, turned, lengths)
         other = self.ids[q] != ids[c]
         q, c = q[other], c[other]
         score = np.empty(len(q), np.int64)
@@ -159,13 +159,14 @@ class Search:
         self.summed += len(q)
         self._merge(q, score, ids[c])
 
-    def _survivors(self, alive: np.ndarray, turned: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _survivors(self, alive: np.ndarray, ids: np.ndarray, turned: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs whose bound reaches the bar, coordinates by coordinates."""
         bar = self.bar[alive, None] - SLACK
         if np.isneginf(bar).any():
-            # No bar yet: the exact scores of this block give one.
+            # No bar yet: the exact scores of this block give one. Rows with the query's own id are no candidates.
             full = np.rint(self.turned[alive] @ turned.T)
-            keep = min(self.top + 1, full.shape[1])
+            full[self.ids[alive, None] == ids[None, :]] = -np.inf
+            keep = min(self.top, full.shape[1])
             bar = np.maximum(bar, np.partition(full, -keep, axis=1)[:, -keep, None] - SLACK)
         done, sums, mask = 0, 0.0, None
         for cut, rest in zip(self.cuts, self.rests, strict=True):

@@ -52,3 +52,16 @@ def test_bounds_skip_most_products():
     for at in range(0, 4000, 500):
         search.feed(np.arange(at, at + 500), vectors[at:at + 500])
     assert search.summed < 0.1 * 20 * 4000
+
+
+def test_own_rows_take_no_places_in_the_first_bar():
+    """A queried id with many vectors, all longer than the others: its own rows fill the top of the block."""
+    random = np.random.default_rng(6)
+    own = np.full((12, 8), 900) + random.integers(0, 50, (12, 8))
+    others = random.integers(-300, 300, (40, 8))
+    cells = np.concatenate((own, others)).astype(np.int64)
+    ids = np.concatenate((np.full(12, 50), np.arange(100, 140)))
+    search = Search(np.array([50]), cells[:1], np.eye(8), 5)
+    search.feed(ids, cells)
+    best = sorted((-int(cells[0] @ v), int(i)) for i, v in zip(ids, cells, strict=True) if i != 50)[:5]
+    assert list(zip((-search.score).tolist(), search.found.tolist(), strict=True)) == best
