@@ -29,7 +29,7 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 # Character classes, narrowest first, with the bits per character from which a window counts as random. Each bound is
-# the quantile that about 1 % of windows drawn evenly from the class stay below (300,000 drawn for each size). Digits
+# one that at most 1 % of windows drawn evenly from the class stay below (300,000 drawn for each size). Digits
 # alone are counters and dates: never random.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CLASSES = (
