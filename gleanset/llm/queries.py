@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gleanset.llm.common import read_table
 from gleanset.llm.cotraining import scored, train
 from gleanset.llm.language import identify, language_models
+from gleanset.llm.manifest import audit, manifest
 from gleanset.llm.minhash import near_duplicates
 from gleanset.llm.mixing import mix, word_counts
 from gleanset.llm.packing import pack, pieces
@@ -111,6 +112,63 @@ def prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return within_budget(table, TOKEN_LIMIT)
 
 
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(manifest(read_table(spark, sf_dir, "documents")))
+
+
+# Bytes are taken one by one for the CRC: each is mixed in, then eight shifts follow (entries of -1).
+MERKLE_MANIFEST_SQL = r"""
+    WITH RECURSIVE fields AS (
+        SELECT doc_id, coalesce('+' || lang, '') AS g, text,
+            coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-')
+            || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-')
+            || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS head,
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered,
+            list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+                lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+                lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END) AS crc
+        FROM documents
+    ), leaves AS (
+        SELECT doc_id, g, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+            CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN sha256(head || coalesce(octet_length(encode(lowered)) || ':' || lowered, '-')) END AS forged
+        FROM fields
+    ), placed AS (
+        SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM leaves
+    ), nodes AS (
+        SELECT g, 0 AS level, pos, n, leaf AS hash FROM placed
+        UNION ALL
+        SELECT g, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(hash, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY g, level, n, pos // 8
+    ), subroots AS (
+        SELECT g, level, hash, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1
+    ), uppers AS (
+        SELECT 0 AS level, pos, n, hash FROM subroots
+        UNION ALL
+        SELECT level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(hash, '' ORDER BY pos)) FROM uppers WHERE n > 1 GROUP BY level, n, pos // 8
+    ), runs AS (
+        SELECT g, level, pos // 8 AS run, list(hash ORDER BY pos) AS members, false AS upper FROM nodes WHERE n > 1 GROUP BY ALL
+        UNION ALL SELECT '', level, pos // 8, list(hash ORDER BY pos), true FROM uppers WHERE n > 1 GROUP BY ALL
+    ), folds AS (
+        SELECT p.doc_id, p.leaf, p.g AS own, s.level AS height, s.pos AS place, p.g, false AS upper, 0 AS level, p.pos, p.n,
+            coalesce(p.forged, p.leaf) AS node, '' AS proof
+        FROM placed p JOIN subroots s ON p.g = s.g
+        UNION ALL
+        SELECT f.doc_id, f.leaf, f.own, f.height, f.place,
+            CASE WHEN f.n = 1 THEN '' ELSE f.g END, f.upper OR f.n = 1,
+            CASE WHEN f.n = 1 THEN 0 ELSE f.level + 1 END, CASE WHEN f.n = 1 THEN f.place ELSE f.pos // 8 END,
+            CASE WHEN f.n = 1 THEN (SELECT count(*) FROM subroots) ELSE (f.n + 7) // 8 END,
+            CASE WHEN f.n = 1 THEN f.node
+                ELSE sha256(array_to_string(r.members[:f.pos % 8], '') || f.node || array_to_string(r.members[f.pos % 8 + 2:], '')) END,
+            CASE WHEN f.n = 1 THEN f.proof
+                ELSE f.proof || array_to_string(r.members[:f.pos % 8], '') || array_to_string(r.members[f.pos % 8 + 2:], '') END
+        FROM folds f LEFT JOIN runs r ON f.n > 1 AND f.g = r.g AND f.upper = r.upper AND f.level = r.level AND f.pos // 8 = r.run
+        WHERE f.n > 1 OR NOT f.upper
+    )
+    SELECT f.doc_id, f.leaf, s.hash AS subroot, u.hash AS root, sha256(f.proof) AS proof_sha256, f.node AS folded_root, f.node = u.hash AS verified
+    FROM folds f JOIN subroots s ON f.own = s.g JOIN (SELECT hash FROM uppers WHERE n = 1) u ON true
+    WHERE f.upper AND f.n = 1
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": best_fit_packing,
     "op2_co_training": co_training,
@@ -122,9 +180,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_entropy_secrets": entropy_secrets,
     "op9_evidence_fusion": evidence_fusion,
     "op10_prefix_token_counts": prefix_token_counts,
+    "op11_merkle_manifest": merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
     "op5_circulant_minhash": CIRCULANT_MINHASH_SQL,
     "op6_norm_sorted_search": NORM_SORTED_SEARCH_SQL,
+    "op11_merkle_manifest": MERKLE_MANIFEST_SQL,
 }
