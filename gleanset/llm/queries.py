@@ -20,6 +20,7 @@ from gleanset.llm.secrets import scan
 from gleanset.llm.token_counts import prefix_table, within_budget
 from gleanset.llm.token_files import read_documents, write_files
 from gleanset.llm.topk import top_inner_products
+from gleanset.llm.whitening import whitened
 from gleanset.session import scratch_path
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -169,6 +170,10 @@ MERKLE_MANIFEST_SQL = r"""
 """
 
 
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": best_fit_packing,
     "op2_co_training": co_training,
@@ -181,6 +186,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_evidence_fusion": evidence_fusion,
     "op10_prefix_token_counts": prefix_token_counts,
     "op11_merkle_manifest": merkle_manifest,
+    "op13_embedding_whitening": embedding_whitening,
 }
 
 ORACLES: dict[str, str] = {
