@@ -20,6 +20,7 @@ from gleanset.llm.secrets import scan
 from gleanset.llm.token_counts import prefix_table, within_budget
 from gleanset.llm.token_files import read_documents, write_files
 from gleanset.llm.topk import top_inner_products
+from gleanset.llm.trie_join import similar_classes
 from gleanset.llm.whitening import whitened
 from gleanset.session import scratch_path
 
@@ -94,6 +95,29 @@ CIRCULANT_MINHASH_SQL = r"""
 """
 
 
+PREFIX_TREE_JOIN_SQL = r"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+        FROM documents
+    ), sets AS (
+        SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
+            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+        FROM words
+    ), cells AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+    pairs AS (
+        SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS shared
+        FROM cells a JOIN cells b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+    ), linked AS (SELECT x, y FROM pairs WHERE 100 * shared >= 85 * (nx + ny - shared)),
+    edges AS (SELECT x, y FROM linked UNION ALL SELECT y, x FROM linked),
+    reached AS (
+        SELECT doc_id, doc_id AS other FROM sets
+        UNION SELECT r.doc_id, e.y FROM reached r JOIN edges e ON e.x = r.other
+    ), least AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+    SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets JOIN least USING (doc_id)
+"""
+
+
 def bit_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "planes")
     write_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY), folder)
@@ -170,6 +194,10 @@ MERKLE_MANIFEST_SQL = r"""
 """
 
 
+def prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_classes(read_table(spark, sf_dir, "documents"))
+
+
 def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(read_table(spark, sf_dir, "embeddings"))
 
@@ -186,6 +214,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_evidence_fusion": evidence_fusion,
     "op10_prefix_token_counts": prefix_token_counts,
     "op11_merkle_manifest": merkle_manifest,
+    "op12_prefix_tree_join": prefix_tree_join,
     "op13_embedding_whitening": embedding_whitening,
 }
 
@@ -193,4 +222,5 @@ ORACLES: dict[str, str] = {
     "op5_circulant_minhash": CIRCULANT_MINHASH_SQL,
     "op6_norm_sorted_search": NORM_SORTED_SEARCH_SQL,
     "op11_merkle_manifest": MERKLE_MANIFEST_SQL,
+    "op12_prefix_tree_join": PREFIX_TREE_JOIN_SQL,
 }
