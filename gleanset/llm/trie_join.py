@@ -3,7 +3,10 @@
 All shingles have one global order, rarest first. It comes from counts over all
 documents in hashed buckets, a table of fixed size; within a bucket the hash
 decides. Two sets that are similar enough share a shingle among their first
-ones (the prefix filter), so documents that share none never meet.
+ones (the prefix filter), so documents that share none never meet. Of those that
+do, pairs that cannot be similar by their sizes and by the parities of their
+shingles in 512 buckets part again: every difference of the sets flips one bit at
+most, so as many bits differ as shingles do, or fewer.
 
 Documents that meet, directly or through others, are a class. A class of bounded
 weight is compared in one task. A larger one is first drawn together: every
@@ -39,6 +42,12 @@ ORDER_BITS = 18
 TILE = 1 << 20
 # What a set counts besides its shingles, so that a task compares some 2048 sets at most.
 ENTRY = TILE // 2048
+# Words of 64 bits in the parities of a set.
+PARITY = 8
+# Keys with more nodes than this keep them all together.
+MEMBERS = 4096
+# Keys of up to this many nodes are worked through side by side.
+SIDE = 12
 # With no more sets than this left, overlaps are taken set by set.
 FEW = 4
 
@@ -75,23 +84,114 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1 if size else 0
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITY buckets of shingles whether an odd number of them is in it, as words of 64 bits."""
+    bucket = (shingles >> np.uint64(64 - 6) | (shingles >> np.uint64(ORDER_BITS) & np.uint64(PARITY - 1)) << np.uint64(6)).astype(np.int64)
+    return np.packbits((np.bincount(bucket, minlength=64 * PARITY) & 1).astype(np.uint8)).view(np.uint64)
+
+
 def sketches(docs: DataFrame, place: Broadcast, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, digest, keys): the set size, a 128-bit digest of the set and its prefix."""
+    """(doc_id, n_shingles, digest, parity, keys): the set size, a 128-bit digest of the set, its parities and its prefix."""
 
     def work(batch: pa.RecordBatch) -> dict:
-        counts, digests, keys = [], [], []
+        counts, digests, odd, keys = [], [], [], []
         for part in slices(batch):
             for shingles in shingle_sets(part.column("text"), words):
                 counts.append(len(shingles))
                 digests.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
+                odd.append(parities(shingles).tobytes())
                 keys.append(ordered(shingles, place.value)[:prefix_length(len(shingles), percent)].view(np.int64))
         ends = np.cumsum([0] + [len(k) for k in keys])
         return {
             "doc_id": batch.column("doc_id"), "n_shingles": pa.array(counts, pa.int64()), "digest": pa.array(digests, pa.binary()),
-            "keys": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys))),
+            "parity": pa.array(odd, pa.binary()), "keys": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys))),
         }
 
-    return per_batch(_read(docs), "doc_id long, n_shingles long, digest binary, keys array<long>", work)
+    return per_batch(_read(docs), "doc_id long, n_shingles long, digest binary, parity binary, keys array<long>", work)
+
+
+def able(sizes: tuple, bits: tuple, percent: int) -> np.ndarray:
+    """Whether pairs may be similar: linked sets differ in (100 - percent) of 100 + percent parts of their sizes at most."""
+    (m, n), (x, y) = sizes, bits
+    differ = np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+    return ((100 + percent) * np.maximum(differ, np.abs(m - n)) <= (100 - percent) * (m + n)) & (m > 0) & (n > 0)
+
+
+def together(sizes: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
+    """For one key the first node of everyone's group: those that pairs of able nodes connect."""
+    first = np.arange(len(sizes))
+    left = np.arange(len(sizes))
+    while len(left):
+        root, reach, left = left[0], [left[0]], left[1:]
+        while reach and len(left):
+            at = reach.pop()
+            near = able((sizes[at], sizes[left]), (bits[at], bits[left]), percent)
+            first[left[near]] = root
+            reach += left[near].tolist()
+            left = left[~near]
+    return first
+
+
+def side_by_side(sizes: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
+    """As :func:`together` for many keys with equally many nodes each: arrays of keys by nodes."""
+    keys, d = sizes.shape
+    near = np.zeros((keys, d, d), bool)
+    for i in range(d):
+        near[:, i, i] = True
+        for j in range(i + 1, d):
+            near[:, i, j] = near[:, j, i] = able((sizes[:, i], sizes[:, j]), (bits[:, i], bits[:, j]), percent)
+    first = np.broadcast_to(np.arange(d), (keys, d))
+    while True:
+        least = np.where(near, first[:, None, :], d).min(axis=2)
+        if (least == first).all():
+            return first
+        first = least
+
+
+def parted(shared: DataFrame, sets: DataFrame, percent: int, most: int = MEMBERS) -> DataFrame:
+    """(node, key, hub): the nodes of each key in groups that able pairs connect, each a key of its own.
+
+    ``shared`` is (node, key, hub, members), ``sets`` (node, n_shingles, parity).
+    A key of more than ``most`` nodes stays one group, so no task holds more of
+    them at once. A node with several sets is compared by all of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def groups(key: np.ndarray, node: np.ndarray, size: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+            begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            often = np.diff(np.concatenate((begin, [len(key)])))
+            hub = np.empty(len(key), np.int64)
+            for d in np.unique(often):
+                at = begin[often == d]
+                if d <= SIDE:
+                    for low in range(0, len(at), 1 << 14):
+                        rows = at[low:low + (1 << 14), None] + np.arange(d)
+                        hub[rows] = np.take_along_axis(node[rows], side_by_side(size[rows], bits[rows], percent), axis=1)
+                else:
+                    for low in at:
+                        own = slice(low, low + d)
+                        hub[own] = node[own][together(size[own], bits[own], percent)]
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(key), pa.array(hub)], names=["node", "key", "hub"])
+
+        held = None
+        for batch in batches:
+            key, node, size = (batch.column(n).to_numpy() for n in ("key", "node", "n_shingles"))
+            bits = np.frombuffer(b"".join(batch.column("parity").to_pylist()), np.uint64).reshape(-1, PARITY)
+            own = (key, node, size, bits)
+            if held is not None:
+                own = tuple(np.concatenate(pair) for pair in zip(held, own, strict=True))
+            # The last key may go on in the next batch.
+            cut = int(np.searchsorted(own[0], own[0][-1])) if len(own[0]) else 0
+            if cut:
+                yield groups(*[c[:cut] for c in own])
+            held = tuple(c[cut:] for c in own)
+        if held is not None and len(held[0]):
+            yield groups(*held)
+
+    some = shared.filter(F.col("members") <= most).join(sets, "node").select("key", "node", "n_shingles", "parity")
+    found = some.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "node long, key long, hub long")
+    whole = shared.filter(F.col("members") > most).select("node", "key", "hub")
+    return found.withColumn("key", F.xxhash64("key", "hub")).union(whole)
 
 
 def _read(docs: DataFrame) -> DataFrame:
@@ -276,14 +376,19 @@ def similar_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     sketched = settled(sketches(docs, place, words, percent), "sketches")
     known = sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = settled(
-        known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n_shingles")),
+        known.groupBy("digest").agg(
+            F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("keys", "parity", "n_shingles")]
+        ),
         "sets",
     )
-    keyed = reps.select("node", (F.col("n_shingles") + entry).alias("weight"), F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub != last")
-    shared = settled(keyed.join(hubs.select("key", "hub"), "key"), "shared")
-    classes = settled(components(shared.filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))), "classes")
-    weighed = classes.join(reps.groupBy("node").agg(F.sum(F.col("n_shingles") + entry).alias("weight")), "node")
+    keyed = reps.select("node", F.explode("keys").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("members"))
+    meeting = settled(keyed.join(hubs.filter("hub != last").drop("last"), "key").distinct(), "meeting")
+    groups = settled(parted(meeting, reps.select("node", "n_shingles", "parity"), percent), "groups")
+    pairs = groups.filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    classes = settled(components(pairs), "classes")
+    weights = reps.groupBy("node").agg(F.sum(F.col("n_shingles") + entry).alias("weight"))
+    weighed = classes.join(weights, "node")
     sums = settled(weighed.groupBy("root").agg(F.sum("weight").alias("total")), "weights")
     large = sums.filter(F.col("total") > tile).select("root")
     whole = classes.join(sums.filter(F.col("total") <= tile).select("root"), "root").select(
@@ -292,7 +397,7 @@ def similar_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     if large.isEmpty():
         edges = settled(compared(docs, settled(whole, "dealt"), place, words, percent), "links")
     else:
-        inside = settled(shared.join(classes.join(large, "root"), "node"), "inside")
+        inside = settled(groups.join(weighed.join(large, "root"), "node").distinct(), "inside")
         first = settled(compared(docs, settled(whole.union(stars(inside, tile)), "dealt"), place, words, percent), "links")
         drawn = settled(components(first.join(inside.select(F.col("node").alias("a")).distinct(), "a", "left_semi")), "drawn")
         named = inside.join(drawn.select("node", F.col("root").alias("c")), "node", "left").withColumn("component", F.coalesce("c", "node"))

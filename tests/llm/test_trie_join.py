@@ -3,7 +3,10 @@ import random
 import numpy as np
 import pytest
 
-from gleanset.llm.trie_join import ORDER_BITS, Trie, ordered, prefix_length, similar_classes, tile_pairs
+from gleanset.llm import trie_join
+from gleanset.llm.trie_join import (
+    ORDER_BITS, Trie, able, ordered, parities, prefix_length, side_by_side, similar_classes, tile_pairs, together,
+)
 from tests.llm import cases
 from tests.llm.test_minhash import brute_force as at_words
 from tests.llm.test_minhash import copies, shingles
@@ -49,6 +52,14 @@ def test_groups_of_near_copies(spark, tile):
     compare(spark, [(i + 1, t, "x", "y") for i, t in enumerate(texts)], tile=tile)
 
 
+def test_keys_of_very_many_documents_stay_whole(spark, monkeypatch):
+    """With the bound of a key at three nodes, most keys skip the parities; tiles are small as well."""
+    plain = trie_join.parted
+    monkeypatch.setattr(trie_join, "parted", lambda shared, sets, percent: plain(shared, sets, percent, 3))
+    texts = [t for seed, n in ((1, 40), (2, 9), (3, 1)) for t in copies(seed, n, 120, 4)]
+    compare(spark, [(i + 1, t, "x", "y") for i, t in enumerate(texts)], tile=3000)
+
+
 @pytest.mark.parametrize("tile", [1 << 20, 4000])
 def test_chains_and_borders(spark, tile):
     """Each text differs from the next by about the bound, so components are chains and pairs fall on both sides of it."""
@@ -129,3 +140,18 @@ def test_tiles_of_one_component_do_not_meet(spark):
     met = {(r["i"], r["j"]) for r in dealt}
     assert len(met) <= 20 and {r["node"] for r in dealt} == {r[0] for r in rows}
     assert all(any(r["node"] == 500 for r in dealt if (r["i"], r["j"]) == pair) for pair in met)
+
+
+def test_parities_keep_all_similar_pairs():
+    pick = np.random.default_rng(3)
+    base = np.unique(pick.integers(0, 2**63, 300, dtype=np.uint64))
+    sets = [base[pick.random(len(base)) > share] for share in (0, 0.02, 0.05, 0.1, 0.14, 0.2, 0.4)]
+    sets += [np.unique(pick.integers(0, 2**63, n, dtype=np.uint64)) for n in (1, 2, 40, 260, 300)]
+    sizes, bits = np.array([len(s) for s in sets]), np.stack([parities(s) for s in sets])
+    for i, x in enumerate(sets):
+        got = able((sizes[i], sizes), (bits[i], bits), 85)
+        for j, y in enumerate(sets):
+            assert got[j] or 185 * len(np.intersect1d(x, y)) < 85 * (len(x) + len(y))
+    assert able((sizes[0], sizes), (bits[0], bits), 85)[-5:].sum() == 0
+    assert together(sizes, bits, 85).tolist() == side_by_side(sizes[None, :], bits[None, :], 85)[0].tolist()
+    assert side_by_side(np.tile(sizes, (3, 1)), np.tile(bits, (3, 1, 1)), 85).shape == (3, len(sets))
