@@ -16,21 +16,39 @@ from gleanset.sources import readers, writers
 c = F.col
 
 
-@query("s1_csv_source", "SELECT CAST(record_id AS VARCHAR) AS record_id, nullif(full_name, '') AS full_name, nullif(revenue, '') AS revenue, segment FROM contacts")
+_BROKEN_SQL = "CASE WHEN record_id % 3 = 0 THEN replace(full_name, ' ', chr(10)) ELSE nullif(full_name, '') END"
+
+
+def _with_breaks(rows):
+    """A third of the names run over several lines."""
+    broken = F.replace(c("full_name"), F.lit(" "), F.lit("\n"))
+    return rows.withColumn("full_name", F.when(c("record_id") % 3 == 0, broken).otherwise(c("full_name")))
+
+
+def _write_cells(rows, path: str, sep: str) -> None:
+    rows.write.mode("append").option("header", True).option("sep", sep).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False).csv(path)
+
+
+@query("s1_csv_source", f"SELECT CAST(record_id AS VARCHAR) AS record_id, {_BROKEN_SQL} AS full_name, nullif(revenue, '') AS revenue, segment FROM contacts")
 def _(t: Tables):
-    """Semicolon files with quoted commas; the delimiter is found by looking."""
+    """Comma and semicolon files in one folder, with delimiters and line breaks in cells."""
     path = scratch_path(t.spark, "csv")
-    rows = t.contacts.select("record_id", "full_name", "revenue", "segment")
-    rows.write.option("header", True).option("sep", ";").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    rows = _with_breaks(t.contacts.select("record_id", "full_name", "revenue", "segment"))
+    _write_cells(rows.filter("record_id % 2 = 0"), path, ";")
+    _write_cells(rows.filter("record_id % 2 = 1").select("segment", "revenue", "full_name", "record_id"), path, ",")
     return readers.read_csv(t.spark, path)
 
 
-@query("s2_sheet_folder", "SELECT segment AS sheet, 'book_2024_' || left(translate(segment, ':\\/?*[]', '_______'), 20) AS sheet_label, count(*) AS n FROM contacts GROUP BY segment")
+@query("s2_sheet_folder", f"""SELECT segment AS sheet, 'book_2024_' || left(translate(segment, ':\\/?*[]', '_______'), 20) AS sheet_label, count(*) AS n,
+  count_if(contains({_BROKEN_SQL}, chr(10))) AS broken FROM contacts GROUP BY segment""")
 def _(t: Tables):
     path = scratch_path(t.spark, "sheets")
-    t.contacts.select("record_id", "email", c("segment").alias("sheet")).write.partitionBy("sheet").parquet(path)
-    rows = readers.read_sheets(t.spark, path, "parquet", "book/2024")
-    return rows.groupBy("sheet", "sheet_label").agg(F.count(F.lit(1)).alias("n"))
+    rows = _with_breaks(t.contacts.select("record_id", "full_name", c("segment").alias("sheet")))
+    rows.write.partitionBy("sheet").option("header", True).option("escape", '"').csv(path)
+    rows = readers.read_sheets(t.spark, path, "csv", "book/2024")
+    broken = F.count_if(F.contains("full_name", F.lit("\n")))
+    return rows.groupBy("sheet", "sheet_label").agg(F.count(F.lit(1)).alias("n"), broken.alias("broken"))
 
 
 @query("s2b_sheet_labels", """

@@ -8,25 +8,21 @@ from pyspark.sql import types as T
 
 from gleanset.functions.scalars import sheet_label
 from gleanset.session import settle
+from gleanset.sources.delimited import read_files, survey
 
-DELIMITERS = [",", ";", "\t", "|"]
-
-
-def sniff_delimiter(spark: SparkSession, path: str) -> str:
-    """The delimiter that occurs most in the first line, comma among equals."""
-    first = spark.read.text(path).limit(1).collect()
-    line = first[0][0] if first else ""
-    return max(DELIMITERS, key=line.count)
-
-
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, source: str | None = None) -> DataFrame:
     """All columns as text: rules work on text and types are semantic.
 
-    Quoted cells may hold line breaks, so a file is one task. For large files
-    known to have one row per line, ``multi_line=False`` lets Spark split them.
+    Every file below ``path`` has its own delimiter, unless one is given, and
+    header; columns of different files meet by name. Quoted cells may hold line
+    breaks and delimiters, and large files are read by many tasks all the same
+    (``sources/delimited.py``). Empty files and blank lines are passed over, cells
+    missing at the end of a row are NULL, cells beyond the header are left out.
+    ``source`` names a column with the file's path. Without a file that has a
+    header there are no columns.
     """
-    sep = delimiter or sniff_delimiter(spark, path)
-    return spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", multi_line).csv(path)
+    files = survey(spark, path, delimiter)
+    return read_files(spark, files, source) if files else spark.createDataFrame([], T.StructType([]))
 
 
 def with_row_id(df: DataFrame, name: str = "__row_id") -> DataFrame:
@@ -34,19 +30,33 @@ def with_row_id(df: DataFrame, name: str = "__row_id") -> DataFrame:
     return settle(df.withColumn(name, F.monotonically_increasing_id()))
 
 
-def file_name() -> Column:
-    """Base name of the file a row came from, without its ending."""
-    return F.regexp_replace(F.col("_metadata.file_name"), r"\.[A-Za-z]+$", "")
+def sheet_of(path: Column) -> Column:
+    """The sheet of a part: the NAME of its folder ``sheet=NAME``, else its file name without the ending."""
+
+    def decoded(text: Column) -> Column:
+        return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+    # Paths are encoded once as URIs, and names of folders once more.
+    folder = decoded(F.regexp_extract(path, r"/sheet=([^/]+)/[^/]+$", 1))
+    name = decoded(F.regexp_extract(path, "[^/]+$", 0))
+    return F.when(folder != "", decoded(folder)).otherwise(F.regexp_replace(name, r"\.[A-Za-z]+$", ""))
 
 
 def read_sheets(spark: SparkSession, path: str, form: str, book: str = "book") -> DataFrame:
     """A folder of parts as one workbook: every row knows its sheet; empty parts vanish.
 
-    Sheets are sub-folders named ``sheet=NAME``.
+    Sheets are sub-folders named ``sheet=NAME``, or files, each named as its
+    sheet. Cells of CSV sheets may hold line breaks.
     """
-    reader = spark.read.option("header", True) if form == "csv" else spark.read
-    rows = reader.format(form).load(path)
-    return rows.withColumn("sheet_label", sheet_label(F.lit(book), F.col("sheet").cast("string")))
+    if form == "csv":
+        rows = read_csv(spark, path, source="__path")
+        if not rows.columns:
+            return spark.createDataFrame([], "sheet string, sheet_label string")
+    else:
+        rows = spark.read.format(form).load(path)
+        rows = rows.select(*[c for c in rows.columns if c != "sheet"], F.col("_metadata.file_path").alias("__path"))
+    named = rows.withColumn("sheet", sheet_of(F.col("__path"))).drop("__path")
+    return named.withColumn("sheet_label", sheet_label(F.lit(book), F.col("sheet")))
 
 
 def read_json_records(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
