@@ -11,7 +11,7 @@ from gleanset.catalog.records import _INGEST_MAP, _MAP_SQL, _TABLE
 from gleanset.fixtures import stream_view
 from gleanset.operators.rules import Rule
 from gleanset.session import scratch_path
-from gleanset.streaming import jobs
+from gleanset.streaming import jobs, ordered
 
 c = F.col
 
@@ -54,11 +54,14 @@ _tumbling("st3b_tumbling_weeks", "week", "CAST(date_trunc('week', created_at) AS
 
 
 @query("st4_failure_alerts", """
-SELECT username, window_start, count(*) AS fails FROM (SELECT username, unnest(generate_series(date_trunc('minute', attempted_at) - INTERVAL '9' MINUTE, date_trunc('minute', attempted_at), INTERVAL '1' MINUTE)) AS window_start
-  FROM login_attempts WHERE success = 0) x GROUP BY 1, 2 HAVING count(*) >= 5""")
+SELECT username, attempted_at, max(fifth) AS fifth_last FROM (
+  SELECT username, attempted_at, lag(attempted_at, 4) OVER (PARTITION BY username ORDER BY attempted_at) AS fifth FROM login_attempts WHERE success = 0) x
+GROUP BY username, attempted_at HAVING max(fifth) > attempted_at - INTERVAL '600' SECOND""")
 def _(t: Tables):
+    """Exact trailing ten minutes; failures of the last hour come from the state."""
     alerts = jobs.failure_alerts(streamed(t, "login_attempts", "events"))
-    return jobs.run_update(alerts, ["username", "window_start"], scratch_path(t.spark, "alerts"))
+    found = jobs.run_to_end(alerts, scratch_path(t.spark, "alerts"), ordered.open_failures)
+    return found.select("username", *[c(n).cast("timestamp_ntz").alias(n) for n in ("attempted_at", "fifth_last")])
 
 
 @query("st5_stream_dedup", "SELECT DISTINCT user_id, CAST(CAST(created_at AS DATE) AS VARCHAR) AS day FROM logs")
@@ -80,10 +83,12 @@ walk AS (SELECT id, user_id, day, n, place, n <= 120 AS accepted, CASE WHEN n <=
 SELECT id, user_id, CAST(day AS VARCHAR) AS day, n, accepted FROM walk"""
 
 
-@query("st6_quota_stream", _WALK_SQL.replace("ORDER BY id)", "ORDER BY created_at, id)") + " WHERE day + INTERVAL '1' DAY <= (SELECT date_trunc('millisecond', max(created_at)) - INTERVAL '1' HOUR FROM logs WHERE action LIKE 'Exported%')")
+@query("st6_quota_stream", _WALK_SQL.replace("ORDER BY id)", "ORDER BY created_at, id)"))
 def _(t: Tables):
-    """Days that the watermark has passed; the open ones are the batch twin's."""
-    return jobs.run_append(jobs.quota_stream(_requests(streamed(t, "logs", "events"))), scratch_path(t.spark, "quota"))
+    """Closed days as the stream decides them, the last ones at the end of the input."""
+    root = scratch_path(t.spark, "quota")
+    jobs.quota_stream(_requests(streamed(t, "logs", "events")), root).awaitTermination()
+    return jobs.quota_verdicts(t.spark, root, ended=True)
 
 
 @query("st6b_quota_in_order", _WALK_SQL)
@@ -110,11 +115,15 @@ def _(t: Tables):
 WITH ordered AS (SELECT user_id, created_at, CASE WHEN created_at - lag(created_at) OVER (PARTITION BY user_id ORDER BY created_at) < INTERVAL '30' MINUTE THEN 0 ELSE 1 END AS opens FROM logs),
 numbered AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY created_at) AS nr FROM ordered),
 closed AS (SELECT user_id, nr, min(created_at) AS session_start, max(created_at) + INTERVAL '30' MINUTE AS session_end, count(*) AS events FROM numbered GROUP BY user_id, nr)
-SELECT user_id, session_start, session_end, events FROM closed WHERE session_end <= (SELECT date_trunc('millisecond', max(created_at)) - INTERVAL '1' HOUR FROM logs)""")
+SELECT user_id, session_start, session_end, events FROM closed""")
 def _(t: Tables):
-    return jobs.run_append(jobs.sessions(streamed(t, "logs", "events")), scratch_path(t.spark, "sessions"))
+    """Sessions that a pause has closed, and those open at the end."""
+    found = jobs.run_to_end(jobs.sessions(streamed(t, "logs", "events")), scratch_path(t.spark, "sessions"), ordered.open_sessions)
+    return found.select("user_id", c("start").cast("timestamp_ntz").alias("session_start"), c("end").cast("timestamp_ntz").alias("session_end"), "events")
 
 
 @query("st9_notice_stream", _NOTICE_SQL + _ORPHAN_SQL)
 def _(t: Tables):
-    return jobs.run_append(jobs.notice_stream(streamed(t, "logs", "events"), t.users), scratch_path(t.spark, "notices"))
+    root = scratch_path(t.spark, "notices")
+    jobs.notice_stream(streamed(t, "logs", "events"), lambda: t.users, root).awaitTermination()
+    return t.spark.read.parquet(f"{root}/notices").drop("batch_id")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from gleanset.functions.scalars import notice_kind, notice_text
 from gleanset.operators.skew import lookup
 
-MAX_ADMINS = 1_000
+# Slices in which actions meet the admins; each admin is copied this often.
+ADMIN_SLICES = 64
 
 def with_username(rows: DataFrame, users: DataFrame, key: str, row_id: str, name: str = "username") -> DataFrame:
     """Inner join of rows to their user; a very active user is spread over tasks."""
@@ -66,28 +67,24 @@ def permissions_per_role(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("role").agg(F.array_join(F.array_sort(F.collect_set("permission")), ", ").alias("permissions"))
 
 
-def admin_ids(users: DataFrame) -> list[int]:
-    """Ids of the admins; a short list by role, checked before it is used."""
-    found = [r[0] for r in users.filter("role = 'admin'").select("id").limit(MAX_ADMINS + 1).collect()]
-    if len(found) > MAX_ADMINS:
-        raise ValueError(f"more than {MAX_ADMINS} admins")
-    return sorted(found)
-
-
 def notifications(logs: DataFrame, users: DataFrame) -> DataFrame:
     """Notices of export, import and clean actions.
 
     They go to the actor's manager, or to every other admin if there is none.
+    Actions without a manager meet the admins in slices, so neither side is
+    gathered in one place, however many admins there are.
     """
     acts = logs.withColumn("action_type", notice_kind(F.col("action"))).filter("action_type is not null")
     actor = users.select(F.col("id").alias("user_id"), "username", "manager_id", F.lit(True).alias("__known"))
     sent = lookup(acts, actor, ["user_id"]).filter("__known").withColumn(
         "message", notice_text(F.col("username"), F.col("action")))
     managed = sent.filter("manager_id is not null").withColumn("recipient_id", F.col("manager_id").cast("bigint"))
-    others = F.array_except(F.array(*map(F.lit, admin_ids(users))).cast("array<bigint>"), F.array(F.col("user_id").cast("bigint")))
-    orphans = sent.filter("manager_id is null").withColumn("recipient_id", F.explode(others))
+    every = F.explode(F.sequence(F.lit(0), F.lit(ADMIN_SLICES - 1)))
+    admins = users.filter("role = 'admin'").select(F.col("id").cast("bigint").alias("recipient_id"), every.alias("__slice"))
+    orphans = sent.filter("manager_id is null").withColumn("__slice", F.pmod(F.xxhash64("id"), F.lit(ADMIN_SLICES)).cast("int"))
+    told = orphans.join(admins, "__slice").filter(F.col("recipient_id") != F.col("user_id"))
     columns = ["id", "recipient_id", F.col("user_id").alias("sender_id"), "message", "action_type"]
-    return managed.select(*columns).unionByName(orphans.select(*columns))
+    return managed.select(*columns).unionByName(told.select(*columns))
 
 
 def inbox(requests: DataFrame, key_requests: DataFrame, notices: DataFrame) -> DataFrame:

@@ -6,23 +6,22 @@ hour behind the newest are dropped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from gleanset import fixed
 from gleanset.operators.access import notifications
 from gleanset.operators.activity import category_counts
 from gleanset.operators.rules import Rule
+from gleanset.operators.skew import attach
 from gleanset.plans.cleaning import clean_values, flag_missing, validate_rows
 from gleanset.plans.ingest import ingest
+from gleanset.streaming.ordered import Failures, Stays, in_order
 
 LATENESS = "1 hour"
 SESSION_GAP = "30 minutes"
-STALE_MINUTES = 5
 
 
 def event_time(rows: DataFrame, column: str, lateness: str = LATENESS) -> DataFrame:
@@ -44,6 +43,12 @@ def run_append(stream: DataFrame, path: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
+def run_to_end(stream: DataFrame, path: str, left: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """:func:`run_append`, with what the state still holds at the end of the input: ``left`` reads it from the checkpoint."""
+    done = run_append(stream, path)
+    return done.unionByName(left(stream.sparkSession, f"{path}/checkpoint"))
+
+
 def run_update(stream: DataFrame, keys: list[str], path: str) -> DataFrame:
     """The newest row of each key of an aggregation.
 
@@ -122,12 +127,9 @@ def tumbling_counts(logs: DataFrame, unit: str) -> DataFrame:
 
 
 def failure_alerts(attempts: DataFrame) -> DataFrame:
-    """Ten-minute windows, each minute, with five failures or more."""
+    """(username, attempted_at, fifth_last) of every moment of a failure whose trailing ten minutes hold five or more."""
     failed = event_time(attempts.filter("success = 0"), "attempted_at")
-    counted = failed.groupBy("username", F.window("attempted_at", "10 minutes", "1 minute").alias("w")).agg(
-        F.count(F.lit(1)).alias("fails"))
-    return counted.filter(F.col("fails") >= fixed.LOGIN_FAILURES).select(
-        "username", _naive("w.start").alias("window_start"), "fails")
+    return in_order(failed.select("username", F.col("attempted_at").alias("at"), F.lit("").alias("what")), "username", Failures())
 
 
 def first_seen(rows: DataFrame, keys: list[str], column: str, lateness: str = LATENESS) -> DataFrame:
@@ -144,39 +146,98 @@ def sessions(logs: DataFrame, gap: str = SESSION_GAP) -> DataFrame:
     logs.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     grouped = event_time(logs, "created_at").groupBy("user_id", F.session_window("created_at", gap).alias("s"))
     return grouped.agg(F.count(F.lit(1)).alias("events")).select(
-        "user_id", _naive("s.start").alias("session_start"), _naive("s.end").alias("session_end"), "events")
+        "user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "events")
+
+
+def notice_stream(logs: DataFrame, read_users: Callable[[], DataFrame], root: str):
+    """Notices of the activity stream to managers, or to the admins; returns the started query.
+
+    Users are read anew for every batch, so an admin added since the start is
+    told, too. A batch owns the folder of its id below ``root/notices``.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        notifications(batch, read_users()).write.mode("overwrite").parquet(f"{root}/notices/batch_id={batch_id}")
+
+    return (
+        logs.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{root}/checkpoint")
+        .foreachBatch(handle).start()
+    )
+
+
+VERDICT = "id long, user_id long, day string, n long, accepted boolean"
+REQUEST = "id long, user_id long, at timestamp, n long, active_limit long"
 
 
-def notice_stream(logs: DataFrame, users: DataFrame) -> DataFrame:
-    """Notices of the activity stream to managers, or to the admins, through the stored user table."""
-    return notifications(logs, users)
+def decided(requests: DataFrame) -> DataFrame:
+    """(id, user_id, day, n, accepted): accept while used + n <= limit, in the order of (at, id) within a user's day.
 
+    Days whose sum is within the limit are accepted as they are, without an
+    order; the others pass through :func:`quota_in_order`. A refused request
+    does not count.
+    """
+    keys = ["user_id", "day"]
+    sums = requests.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__rows"),
+        ((F.sum("n") <= F.min("active_limit")) & (F.min("n") >= 0)).alias("__fits"),
+    )
+    met = attach(requests, sums, keys, "__rows", "id")
+    whole = met.filter("__fits").select("id", *keys, "n", F.lit(True).alias("accepted"))
+    rest = met.filter("__fits IS NOT TRUE").select("id", *keys, "at", "n", "active_limit")
+    return whole.unionByName(quota_in_order(rest, ["at", "id"]))
 
-def quota_stream(requests: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Accept an export while used + rows <= limit, in the order of (at, id) within a user's day.
 
-    ``requests`` has id, user_id, at, n and active_limit. A day is decided as a
-    whole once the watermark has passed its end, so verdicts do not depend on
-    files, batches or partitions; then its state goes. A refused request does
-    not count.
+def quota_stream(requests: DataFrame, root: str, lateness: str = LATENESS):
+    """Decide export requests of closed days; returns the started query.
+
+    ``requests`` has id, user_id, at, n and active_limit. Tables below ``root``
+    are the state: a batch writes its requests by day, and verdicts of the days
+    that the watermark (the newest time less ``lateness``) has passed with it.
+    Requests of a day that was closed before go to ``late``. Every batch owns
+    the folders of its id, so a repeated one replaces its own rows. What a day
+    says does not depend on files, batches or partitions.
     """
-    asked = F.struct("at", "id", "n", "active_limit")
-    days = event_time(requests, "at", lateness).groupBy("user_id", F.window("at", "1 day").alias("w")).agg(
-        F.array_sort(F.collect_list(asked)).alias("asked"))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<id:bigint,n:bigint,accepted:boolean>>").alias("done"))
+    spark = requests.sparkSession
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select("id", "user_id", F.col("at").cast("timestamp").alias("at"), "n", "active_limit").withColumn("day", F.to_date("at").cast("string"))
+        kept = rows.persist()
+        kept.agg(F.max("at").alias("newest")).write.mode("overwrite").parquet(f"{root}/marks/batch_id={batch_id}")
+        before, now = _closed_before(spark, root, batch_id, lateness), _closed_before(spark, root, batch_id + 1, lateness)
+        kept.filter(F.col("day") < before).write.mode("overwrite").parquet(f"{root}/late/batch_id={batch_id}")
+        kept.filter(F.col("day") >= before).write.mode("overwrite").partitionBy("day").parquet(f"{root}/requests/batch_id={batch_id}")
+        closing = _stored(spark, root).filter((F.col("batch_id") <= batch_id) & (F.col("day") >= before) & (F.col("day") < now))
+        decided(closing).write.mode("overwrite").parquet(f"{root}/verdicts/batch_id={batch_id}")
+        kept.unpersist()
+
+    return (
+        requests.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{root}/checkpoint")
+        .foreachBatch(handle).start()
+    )
+
+
+def _stored(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(f"{REQUEST}, batch_id long, day string").option("basePath", f"{root}/requests").parquet(f"{root}/requests")
+
+
+def _closed_before(spark: SparkSession, root: str, batch_id: int, lateness: str) -> str:
+    """The first day that is still open before a batch: the day of the watermark that earlier batches have set."""
+    marks = spark.read.schema("newest timestamp, batch_id long").parquet(f"{root}/marks").filter(F.col("batch_id") < batch_id)
+    open_ = F.to_date(F.max("newest") - F.expr(f"INTERVAL {lateness}"))
+    return marks.agg(F.coalesce(open_.cast("string"), F.lit(""))).first()[0]
 
-    def decide(state, x):
-        fits = state["used"] + x["n"] <= x["active_limit"]
-        verdict = F.struct(x["id"].alias("id"), x["n"].alias("n"), fits.alias("accepted"))
-        return F.struct((state["used"] + F.when(fits, x["n"]).otherwise(0)).alias("used"), F.concat(state["done"], F.array(verdict)).alias("done"))
 
-    decided = F.aggregate("asked", start, decide, lambda state: state["done"])
-    return days.select("user_id", F.to_date("w.start").cast("string").alias("day"), F.explode(decided).alias("v")).select(
-        "v.id", "user_id", "day", "v.n", "v.accepted")
+def quota_verdicts(spark: SparkSession, root: str, lateness: str = LATENESS, ended: bool = False) -> DataFrame:
+    """Verdicts of a :func:`quota_stream`; with ``ended`` also those of the days that were open when the input ended."""
+    done = spark.read.schema(f"{VERDICT}, batch_id long").parquet(f"{root}/verdicts").drop("batch_id")
+    if not ended:
+        return done
+    first = _closed_before(spark, root, 1 << 62, lateness)
+    return done.unionByName(decided(_stored(spark, root).filter(F.col("day") >= first)))
 
 
 def quota_in_order(requests: DataFrame, order: list[str]) -> DataFrame:
-    """Batch form of :func:`quota_stream`, in the given order within a user's day.
+    """Accept while used + n <= limit, in the given order within a user's day.
 
     A user's day is one sorted run inside a partition; batches pass through
     one after the other and only the running total is kept.
@@ -203,41 +264,8 @@ def stale_uploads(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
 
     ``events`` has id, status and at. The stay begins with the first processing
     event and ends with the next other status by event time; further processing
-    events do not move it, and events older than the newest seen are passed
-    over. What is open fires when the watermark passes the five minutes. State
-    goes once the watermark is past the newest event and no timer is left.
+    events do not move it. What is open fires when the watermark passes the five
+    minutes. An upload that left processing has no state.
     """
-    limit = STALE_MINUTES * 60_000_000
-
-    def watch(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, since, newest, fired = state.get if state.exists else (None, 0, -1, False)
-        found = []
-        if state.hasTimedOut:
-            if status == "processing" and not fired:
-                found, fired = [since], True
-        else:
-            seen = pd.concat(chunks)
-            micros = (seen["at"] - pd.Timestamp(0)) // pd.Timedelta(microseconds=1)
-            for at, said in sorted(zip(micros.tolist(), seen["status"].tolist())):
-                if at < newest:
-                    continue
-                if said != status:
-                    if status == "processing" and not fired and at - since >= limit:
-                        found.append(since)
-                    status, since, fired = said, at, False
-                newest = at
-        watermark = state.getCurrentWatermarkMs()
-        due = (since + limit if status == "processing" and not fired else newest) // 1000
-        if state.hasTimedOut and due <= watermark:
-            state.remove()
-        else:
-            state.update((status, since, newest, fired))
-            # a timer may not lie behind the watermark
-            state.setTimeoutTimestamp(max(due, watermark + 1))
-        if found:
-            yield pd.DataFrame({"id": key[0], "status": "failed", "processing_since": pd.to_datetime(pd.Series(found), unit="us")})
-
-    watched = event_time(events, "at", lateness)
-    return watched.groupBy("id").applyInPandasWithState(
-        watch, "id long, status string, processing_since timestamp", "status string, since long, newest long, fired boolean", "append",
-        GroupStateTimeout.EventTimeTimeout)
+    timed = event_time(events, "at", lateness)
+    return in_order(timed.select("id", "at", F.col("status").alias("what")), "id", Stays())

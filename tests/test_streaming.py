@@ -1,13 +1,16 @@
 import datetime as dt
+import random
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
+from gleanset.operators.activity import rolling_failures
 from gleanset.operators.rules import Rule
 from gleanset.plans import cleaning as plan
 from gleanset.sources import readers, writers
 from gleanset.streaming import jobs
+from gleanset.streaming.ordered import open_failures, open_sessions
 
 START = dt.datetime(2024, 1, 1, 12, 0)
 
@@ -55,20 +58,128 @@ def test_first_seen_across_batches(spark, folder):
     assert {(r["k"], r["n"]) for r in got.collect()} == {("a", 1), ("b", 3)}
 
 
-def test_quota_stream_does_not_depend_on_files_and_partitions(spark, folder):
-    schema = "id bigint, user_id bigint, at timestamp_ntz, n bigint, active_limit bigint"
+QUOTA = "id bigint, user_id bigint, at timestamp_ntz, n bigint, active_limit bigint"
+
+
+def test_quota_stream_does_not_depend_on_files_and_batches(spark, folder):
     sizes = [60, 50, 50, 30, 40, 30, 1, 20]
     asks = [(i, i % 2, START + dt.timedelta(minutes=i), n, 100) for i, n in enumerate(sizes)]
-    for name, rows in (("a", asks[4:6]), ("b", [asks[1], asks[7], asks[0]]), ("c", [asks[6], asks[3], asks[2]])):
-        drop(spark, rows, schema, folder, name)
-    drop(spark, [(99, 9, START + dt.timedelta(days=3), 1, 1)], schema, folder, "d")
-    drop(spark, [(100, 9, START + dt.timedelta(days=4), 1, 1)], schema, folder, "e")
-    got = {r["id"]: r["accepted"] for r in jobs.run_append(jobs.quota_stream(stream(spark, schema, folder)), f"{folder}-out").collect()}
-    got.pop(99, None)
-    batch = spark.createDataFrame(asks, schema).withColumn("day", F.to_date("at").cast("string"))
-    assert got == {r["id"]: r["accepted"] for r in jobs.quota_in_order(batch.drop("at"), ["id"]).collect()}
+    asks += [(50 + i, 7, START + dt.timedelta(days=1, minutes=i), 1, 1000) for i in range(40)]
+    batch = spark.createDataFrame(asks, QUOTA).withColumn("day", F.to_date("at").cast("string"))
+    expected = rows_of(jobs.quota_in_order(batch.drop("at"), ["id"]))
+    for seed, parts in ((1, 1), (2, 3), (3, 5)):
+        mixed = asks.copy()
+        random.Random(seed).shuffle(mixed)
+        # Days one after the other, so that no request is late; within a day in any order.
+        mixed.sort(key=lambda r: r[2].date())
+        cut = -(-len(mixed) // parts)
+        for k in range(parts):
+            drop(spark, mixed[k * cut:(k + 1) * cut], QUOTA, f"{folder}-{parts}", f"in{k}")
+        root = f"{folder}-{parts}-state"
+        jobs.quota_stream(stream(spark, QUOTA, f"{folder}-{parts}"), root).awaitTermination()
+        assert rows_of(jobs.quota_verdicts(spark, root, ended=True)) == expected
+        closed = {r["day"] for r in jobs.quota_verdicts(spark, root).collect()}
+        assert closed == {"2024-01-01"}
     # user 0 asks 60, 50, 40, 1 and user 1 asks 50, 30, 30, 20 of 100
-    assert [i for i, ok in sorted(got.items()) if not ok] == [2, 5, 6]
+    assert [r[0] for r in expected if not r[-1]] == [2, 5, 6]
+
+
+def test_late_requests_are_kept_apart(spark, folder):
+    for name, rows in (
+        ("a", [(1, 1, START, 5, 10)]), ("b", [(2, 1, START + dt.timedelta(days=2), 5, 10)]),
+        ("c", [(3, 1, START, 5, 10), (4, 1, START + dt.timedelta(days=2), 6, 10)]),
+    ):
+        drop(spark, rows, QUOTA, folder, name)
+    jobs.quota_stream(stream(spark, QUOTA, folder), f"{folder}-state").awaitTermination()
+    got = {r["id"]: r["accepted"] for r in jobs.quota_verdicts(spark, f"{folder}-state", ended=True).collect()}
+    assert got == {1: True, 2: True, 4: False}
+    assert [r["id"] for r in spark.read.parquet(f"{folder}-state/late").collect()] == [3]
+
+
+def test_days_within_the_limit_need_no_order(spark):
+    rows = [(i, 1, START, 1, 5000) for i in range(3000)] + [(9000 + i, 2, START + dt.timedelta(seconds=i), 2, 5) for i in range(4)]
+    frame = spark.createDataFrame(rows, QUOTA).withColumn("day", F.to_date("at").cast("string"))
+    got = {r["id"]: r["accepted"] for r in jobs.decided(frame).collect()}
+    assert all(got[i] for i in range(3000)) and [got[9000 + i] for i in range(4)] == [True, True, False, False]
+
+
+def test_admins_added_after_the_start_are_told(spark, folder):
+    schema = "id bigint, user_id bigint, action string"
+    users = [(1, "ann", "user", None), (2, "root", "admin", None)]
+    known = "id bigint, username string, role string, manager_id bigint"
+    spark.createDataFrame(users, known).write.parquet(f"{folder}-users")
+    for k in range(2):
+        drop(spark, [(10 + k, 1, "Exported 5 records")], schema, folder, f"in{k}")
+    seen = []
+
+    def read():
+        if len(seen) == 1:
+            spark.createDataFrame([(3, "new", "admin", None)], known).write.mode("append").parquet(f"{folder}-users")
+        seen.append(1)
+        return spark.read.schema(known).parquet(f"{folder}-users")
+
+    jobs.notice_stream(stream(spark, schema, folder), read, f"{folder}-out").awaitTermination()
+    rows = spark.read.parquet(f"{folder}-out/notices").collect()
+    assert sorted((r["id"], r["recipient_id"]) for r in rows) == [(10, 2), (11, 2), (11, 3)]
+
+
+def in_batches(spark, folder, rows, schema, parts, last, build):
+    """Rows of a stream that gets ``rows`` shuffled in ``parts`` batches, then the rows of ``last`` one by one."""
+    root = f"{folder}-{parts}"
+    mixed = rows.copy()
+    random.Random(parts).shuffle(mixed)
+    for k in range(parts):
+        drop(spark, mixed[k::parts], schema, root, f"in{k}")
+    for k, row in enumerate(last):
+        drop(spark, [row], schema, root, f"z{k}")
+    return build(stream(spark, schema, root), f"{root}-out")
+
+
+def test_stays_do_not_depend_on_batches(spark, folder):
+    """The order of the finding that led here, and random events within the lateness: one batch and five shuffled ones agree."""
+    schema = "id bigint, status string, at timestamp_ntz"
+    minutes = lambda n: START + dt.timedelta(minutes=n)
+    rows = [(1, "processing", minutes(0)), (1, "completed", minutes(2)), (1, "processing", minutes(10)), (1, "completed", minutes(11))]
+    pick = random.Random(5)
+    rows += [(2 + pick.randrange(6), pick.choice(["processing", "completed", "failed"]), minutes(pick.randrange(55))) for _ in range(120)]
+    expected = set()
+    for upload in range(1, 8):
+        since = None
+        for at, status in [*sorted((r[2], r[1]) for r in rows if r[0] == upload), (minutes(240), "end")]:
+            if since is not None and at - since >= dt.timedelta(minutes=5) and (upload, since) not in expected:
+                expected.add((upload, since))
+            since = None if status != "processing" else since or at
+    last = [(99, "completed", minutes(300))]
+    for parts in (1, 5):
+        got = in_batches(spark, folder, rows, schema, parts, last, lambda s, out: jobs.run_append(jobs.stale_uploads(s), out)).collect()
+        assert {(r["id"], r["processing_since"].replace(tzinfo=None)) for r in got} == expected and len(got) == len(expected)
+    assert not any(i == 1 for i, _ in expected)
+
+
+def test_bursts_across_minutes_equal_the_batch_rule(spark, folder):
+    schema = "username string, attempted_at timestamp_ntz, success int"
+    pick = random.Random(8)
+    rows = [(f"u{pick.randrange(3)}", START + dt.timedelta(seconds=pick.randrange(3300)), pick.choice([0, 0, 1])) for _ in range(150)]
+    rows += [("burst", START + dt.timedelta(seconds=595 + 2 * k, microseconds=k), 0) for k in range(5)]
+    rows += [("same", START, 0)] * 5 + [("edge", START + dt.timedelta(seconds=150 * k), 0) for k in range(5)]
+    batch = rolling_failures(spark.createDataFrame(rows, schema)).filter("fails >= 5").collect()
+    expected = {(r["username"], r["attempted_at"]) for r in batch}
+    assert ("burst", START + dt.timedelta(seconds=603, microseconds=4)) in expected and ("same", START) in expected
+    assert not any(u == "edge" for u, _ in expected)
+    for parts, last in ((1, []), (5, []), (3, [("x", START + dt.timedelta(hours=5), 0)])):
+        def build(s, out):
+            return jobs.run_to_end(jobs.failure_alerts(s), out, open_failures)
+
+        got = in_batches(spark, f"{folder}{len(last)}", rows, schema, parts, last, build).collect()
+        assert {(r["username"], r["attempted_at"].replace(tzinfo=None)) for r in got} == expected and len(got) == len(expected)
+
+
+def test_sessions_open_at_the_end_come_out(spark, folder):
+    schema = "user_id bigint, created_at timestamp_ntz"
+    minutes = lambda n: START + dt.timedelta(minutes=n)
+    drop(spark, [(1, minutes(0)), (1, minutes(20)), (1, minutes(200)), (2, minutes(190))], schema, folder, "a")
+    got = jobs.run_to_end(jobs.sessions(stream(spark, schema, folder)), f"{folder}-out", open_sessions).collect()
+    assert sorted((r["user_id"], r["events"]) for r in got) == [(1, 1), (1, 2), (2, 1)]
 
 
 def test_stale_upload_fires_once_the_watermark_passes(spark, folder):
