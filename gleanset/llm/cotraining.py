@@ -81,15 +81,26 @@ def page_cells(part: pa.RecordBatch) -> np.ndarray:
     return BUCKETS + np.stack(values, axis=1) + VALUES * np.arange(len(values))
 
 
-def view_scores(part: pa.RecordBatch, model: Model) -> tuple[np.ndarray, np.ndarray]:
+class Features(NamedTuple):
+    """Of some rows: the n-grams' buckets with the offsets of rows in them, and the page cells. Worked out once for a slice."""
+
+    buckets: np.ndarray
+    offsets: np.ndarray
+    cells: np.ndarray
+
+
+def features(part: pa.RecordBatch) -> Features:
+    return Features(*gram_buckets(*utf8(part.column("text"))), page_cells(part))
+
+
+def view_scores(seen: Features, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Raw score of each view: the mean ratio of the n-grams, the sum of the page features."""
-    buckets, offsets = gram_buckets(*utf8(part.column("text")))
-    text = row_means(model.text.ratios[buckets], offsets) / UNIT
-    return text, model.page.ratios[page_cells(part) - BUCKETS].sum(axis=1) / UNIT
+    text = row_means(model.text.ratios[seen.buckets], seen.offsets) / UNIT
+    return text, model.page.ratios[seen.cells - BUCKETS].sum(axis=1) / UNIT
 
 
-def log_odds(part: pa.RecordBatch, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    text, page = view_scores(part, model)
+def log_odds(seen: Features, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    text, page = view_scores(seen, model)
     return model.text.slope * text + model.text.offset, model.page.slope * page + model.page.offset
 
 
@@ -100,19 +111,18 @@ def _counts(rows: DataFrame, model: Model | None) -> np.ndarray:
         counts = np.zeros((2, CELLS), np.int64)
         for batch in batches:
             for part in slices(batch):
+                seen = features(part)
                 own = part.column("label").fill_null(-1).to_numpy().astype(np.int64)
                 for_text, for_page = own.copy(), own.copy()
                 if model is not None:
-                    text, page = log_odds(part, model)
+                    text, page = log_odds(seen, model)
                     free = own == -1
                     for_text[free] = np.where(np.abs(page) >= SURE, page > 0, -1)[free]
                     for_page[free] = np.where(np.abs(text) >= SURE, text > 0, -1)[free]
-                buckets, offsets = gram_buckets(*utf8(part.column("text")))
-                labels = np.repeat(for_text, np.diff(offsets))
-                cells = page_cells(part)
+                labels = np.repeat(for_text, np.diff(seen.offsets))
                 for k in (0, 1):
-                    counts[k, :BUCKETS] += np.bincount(buckets[labels == k], minlength=BUCKETS)
-                    counts[k] += np.bincount(cells[for_page == k].ravel(), minlength=CELLS)
+                    counts[k, :BUCKETS] += np.bincount(seen.buckets[labels == k], minlength=BUCKETS)
+                    counts[k] += np.bincount(seen.cells[for_page == k].ravel(), minlength=CELLS)
         label, cell = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays(
             [pa.array(label.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(counts[label, cell])], names=["label", "cell", "n"]
@@ -155,7 +165,7 @@ def _calibrate(held: DataFrame, model: Model) -> Model:
     """Fit both calibrations on the labelled rows held back."""
 
     def work(batch: pa.RecordBatch) -> dict:
-        text, page = map(np.concatenate, zip(*[view_scores(part, model) for part in slices(batch)], strict=True))
+        text, page = map(np.concatenate, zip(*[view_scores(features(part), model) for part in slices(batch)], strict=True))
         limit = lambda s: np.clip(np.floor(s * STEP), -4096, 4096).astype(np.int32)
         return {"label": batch.column("label"), "text": limit(text), "page": limit(page)}
 
@@ -213,7 +223,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
         if model is None:
             text = page = both = np.zeros(batch.num_rows)
         else:
-            text, page = map(np.concatenate, zip(*[log_odds(part, model) for part in slices(batch)], strict=True))
+            text, page = map(np.concatenate, zip(*[log_odds(features(part), model) for part in slices(batch)], strict=True))
             both = text + page - model.prior
         chance = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
         return {
