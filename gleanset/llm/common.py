@@ -17,12 +17,39 @@ SPACES = b" \t\n\v\f\r"
 SLICE_BYTES = 1 << 20
 
 
+# Bytes of an Arrow batch on its way to Python: buffers on both sides follow it, and texts come ten thousand to a batch by default.
+ARROW_BYTES = 2 << 20
+# What a module keeps in a worker between tasks, and how to let go of it.
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def held(name: str, clear: Callable[[], None]) -> None:
+    """Say that a module keeps much in a worker, so that tasks of other operators can release it."""
+    _HELD[name] = clear
+
+
+def release(keeps: tuple[str, ...] = ()) -> None:
+    """Let go of what modules other than ``keeps`` hold in this worker."""
+    for name, clear in _HELD.items():
+        if name not in keeps:
+            clear()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of the session have at most ``ARROW_BYTES``, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, str(1 << 30))
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def settled(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
     Later jobs read the written rows, so a lost executor costs a re-read and
     never another evaluation with other row ids.
     """
+    small_batches(df.sparkSession)
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -32,11 +59,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def per_batch(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dict | None]) -> DataFrame:
-    """Map every Arrow batch of ``df`` to the columns that ``work`` returns."""
+def per_batch(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dict | None], keeps: tuple[str, ...] = ()) -> DataFrame:
+    """Map every Arrow batch of ``df`` to the columns that ``work`` returns.
+
+    What modules other than ``keeps`` hold in the worker is released first.
+    """
+    small_batches(df.sparkSession)
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(keeps)
         for batch in batches:
             if batch.num_rows:
                 out = work(batch)

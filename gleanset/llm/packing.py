@@ -71,7 +71,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
             "ids": pa.array(parts, pa.binary()),
         }
 
-    return per_batch(docs.select("doc_id", "text"), schema, work)
+    return per_batch(docs.select("doc_id", "text"), schema, work, keeps=("tokens",))
 
 
 class Run(NamedTuple):

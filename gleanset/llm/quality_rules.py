@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanset.llm.common import mix64, per_batch, slices, utf8, word_hashes, word_spans
+from gleanset.llm.common import mix64, per_batch, release, slices, small_batches, utf8, word_hashes, word_spans
 from gleanset.llm.grams import BUCKETS, gram_buckets, gram_counts, labelled_sample, row_means
 
 SYMBOLS = b"#*$%&|<>"
@@ -191,7 +191,10 @@ def measured(docs: DataFrame, rules: Rules, extra: tuple[str, ...] = ()) -> Data
 def passing(docs: DataFrame, rules: Rules) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns as they are."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
+        release()
         for batch in batches:
             kept = np.concatenate([_judged(part, rules)["kept"] for part in slices(batch)]) if batch.num_rows else []
             yield batch.filter(pa.array(kept, pa.bool_()))

@@ -15,7 +15,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gleanset.llm.common import per_batch
+from gleanset.llm.common import per_batch, release, small_batches
 
 # Shapes with the least length of what they find (fixed by the contract of the operator).
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -263,8 +263,10 @@ def redact(docs: DataFrame, window: int = WINDOW, allowed: tuple[str, ...] = ALL
     fields = docs.schema.fields
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     names = [f.name for f in fields]
+    small_batches(docs.sparkSession)
 
     def run(batches):
+        release()
         for batch in batches:
             texts, lengths = [], []
             for row, value in enumerate(batch.column("text")):

@@ -41,7 +41,7 @@ def prefix_table(docs: DataFrame, path: str) -> DataFrame:
             n: pa.array(v, types.get(n, pa.int64())) for n, v in out.items()
         }
 
-    return per_batch(docs.select("doc_id", "text"), TABLE, work)
+    return per_batch(docs.select("doc_id", "text"), TABLE, work, keeps=("tokens",))
 
 
 def stored_counts(width: int, changes: bytes) -> np.ndarray:
@@ -70,7 +70,7 @@ def within_budget(table: DataFrame, limit: int) -> DataFrame:
             "fitting_chars": pa.array(fitting, pa.int64()),
         }
 
-    return per_batch(table, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fitting_chars long", work)
+    return per_batch(table, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fitting_chars long", work, keeps=("tokens",))
 
 
 def tokens_of_prefix(table: DataFrame, chars: int) -> DataFrame:
@@ -83,4 +83,4 @@ def tokens_of_prefix(table: DataFrame, chars: int) -> DataFrame:
             found.append(int(counts[-1]) if len(counts) else 0)
         return {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(found, pa.int64())}
 
-    return per_batch(table, "doc_id long, n_tokens long", work)
+    return per_batch(table, "doc_id long, n_tokens long", work, keeps=("tokens",))

@@ -21,6 +21,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from gleanset.llm.common import held
+
 # Splitting patterns of the two vocabularies (fixed values of the file formats).
 BYTE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -365,3 +367,11 @@ def prefix_counts(path: str) -> PrefixCounts:
         if not _drops_spaces(json.load(file)):
             raise ValueError("prefix counts need a vocabulary whose words stand alone")
     return PrefixCounts(path)
+
+
+def _release() -> None:
+    vocabulary.cache_clear()
+    prefix_counts.cache_clear()
+
+
+held("tokens", _release)

@@ -19,7 +19,7 @@ def shingles(text, words=5):
     return frozenset(tuple(own[i:i + words]) for i in range(len(own) - words + 1))
 
 
-def brute_force(texts):
+def brute_force(texts, percent=85):
     """Component of each document by comparing every pair of rows; rows with one id are one document."""
     sets = [(d, shingles(t)) for d, t in texts if d is not None]
     root = {d: d for d, _ in sets}
@@ -32,7 +32,7 @@ def brute_force(texts):
     for i, (a, x) in enumerate(sets):
         for b, y in sets[:i]:
             shared = len(x & y)
-            if x and y and 100 * shared >= 85 * (len(x) + len(y) - shared):
+            if x and y and 100 * shared >= percent * (len(x) + len(y) - shared):
                 low, high = sorted((find(a), find(b)))
                 root[high] = low
     return {d: find(d) for d in root}

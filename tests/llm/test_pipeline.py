@@ -34,7 +34,7 @@ def test_stages_hand_on_documents(spark, tmp_path):
         if number == 0:
             assert all(len(WORD.findall(r["text"])) >= 50 for r in after)
         if number == 1:
-            roots = brute_force(list(before.items()))
+            roots = brute_force(list(before.items()), percent=80)
             assert sorted(r["doc_id"] for r in after) == sorted(d for d, root in roots.items() if d == root)
         if number == 2:
             assert len(after) == len(before) and not any(find_secrets(r["text"]) for r in after)
@@ -64,7 +64,8 @@ def test_awkward_documents(spark, labels_only, number):
         assert out.columns == docs.columns, name
     if number == 1:
         ids = Counter(r["doc_id"] for r in rows)
-        assert set(ids.values()) == {1} and None in ids and 7 not in ids and {1, 2, 3, 4, 5, 6, 8, 9} <= set(ids)
+        # Two texts have the id 2; of 1, its repetitions and 7, which are equal, one stays.
+        assert ids == Counter([1, 2, 2, 3, 4, 5, 6, 8, 9, 10, None])
     assert stage(spark, cases.empty(spark), labels_only).count() == 0
 
 
@@ -87,3 +88,11 @@ def test_ids_of_another_integer_type(spark):
     texts = [" ".join(f"{k % 5}w{i}" for i in range(60)) for k in range(20)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     assert sorted(r["doc_id"] for r in pipeline.distinct(spark, docs, SF).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_rows_are_judged_by_their_own_texts(spark):
+    """Different texts under one id stay, exact copies without an id leave but for one."""
+    a, b, c = (cases.prose(s, 90) for s in (31, 32, 33))
+    docs = spark.createDataFrame([(4, a), (4, b), (None, c), (None, c), (3, a), (9, c)], "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in pipeline.distinct(spark, docs, SF).collect()]
+    assert sorted(kept, key=str) == sorted([(3, a), (4, b), (9, c)], key=str)
