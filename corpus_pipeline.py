@@ -31,24 +31,20 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one of least id.
 
-    Of rows that repeat the id of a kept document one stays, the first by hash
-    and order of its text. Rows without an id cannot be named in a group and stay.
+    Rows are judged by their own text under a number given once, so rows without
+    an id and different texts under one id stay. Of equal ids the first row stays.
     """
-    verdicts = settled(near_duplicates(docs, **NEAR), "verdicts")
-    ids = settled(
-        verdicts.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_and("kept").alias("k"), F.count(F.lit(1)).alias("n")), "ids"
-    )
-    # Rows that are neither removed nor repeated stay where they are; only the others meet their verdict.
-    marked = possible(docs, ids.filter("NOT k OR n > 1").select("doc_id"), "doc_id", "__open")
-    kept = marked.filter("NOT __open OR doc_id IS NULL").drop("__open")
-    met = marked.filter("__open AND doc_id IS NOT NULL").drop("__open")
-    kept = kept.unionByName(met.join(ids.filter("k AND n = 1").select("doc_id"), "doc_id", "left_semi"))
-    several = ids.filter("k AND n > 1").select("doc_id")
-    if not several.isEmpty():
-        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-        order = F.struct(F.xxhash64("text"), F.col("text"))
-        repeated = met.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, order).alias("__row"))
-        kept = kept.unionByName(repeated.select("__row.*"))
+    rows = settled(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), **NEAR)
+    verdicts = settled(found.select(F.col("doc_id").alias("__row"), "component_id", "kept"), "verdicts")
+    groups = verdicts.filter("NOT kept").select("component_id").distinct()
+    members = settled(verdicts.join(groups, "component_id", "left_semi").join(rows.select("__row", "doc_id"), "__row"), "members")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row"))
+    stays = members.groupBy("component_id").agg(F.min_by("__row", order).alias("__row"))
+    leaves = settled(members.join(stays, "__row", "left_anti").select("__row"), "leaves")
+    # Rows that surely stay are not shuffled; only the others meet the rows that leave.
+    marked = possible(rows, leaves, "__row", "__open")
+    kept = marked.filter("NOT __open").unionByName(marked.filter("__open").join(leaves, "__row", "left_anti").select(*marked.columns))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
