@@ -5,7 +5,7 @@ documents in hashed buckets, a table of fixed size; within a bucket the hash
 decides. Two sets that are similar enough share a shingle among their first
 ones (the prefix filter), so documents that share none never meet. Of those that
 do, pairs that cannot be similar by their sizes and by the parities of their
-shingles in 512 buckets part again: every difference of the sets flips one bit at
+shingles in buckets part again: every difference of the sets flips one bit at
 most, so as many bits differ as shingles do, or fewer.
 
 Documents that meet, directly or through others, are a class. A class of bounded
@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanset.llm.common import per_batch, possible, settled, slices
+from gleanset.llm.common import mix64, per_batch, possible, settled, slices
 from gleanset.llm.minhash import components, shingle_sets
 
 WORDS = 4
@@ -42,8 +42,13 @@ ORDER_BITS = 18
 TILE = 1 << 20
 # What a set counts besides its shingles, so that a task compares some 2048 sets at most.
 ENTRY = TILE // 2048
-# Words of 64 bits in the parities of a set.
-PARITY = 8
+# Sets of more shingles than this give keys at a rate that falls with their size, some 200 in all.
+SAMPLED = 1200
+# From this size on (sets similar to sampled ones are larger) prefixes are longer by a share of the set, so that many of their shingles agree.
+LONGER = 1000
+SHARE = 3
+# Words of 64 bits in the parities of a set: one bit for two shingles, between these bounds.
+LEAST_PARITY, MOST_PARITY = 8, 512
 # Keys with more nodes than this keep them all together.
 MEMBERS = 4096
 # Keys of up to this many nodes are worked through side by side.
@@ -84,10 +89,31 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1 if size else 0
 
 
+def prefix(values: np.ndarray, percent: int) -> np.ndarray:
+    """The keys of an ordered set: its first shingles, of large sets a part of them.
+
+    With a prefix longer by l, similar sets have l shingles of it in common. A
+    large set keeps those whose hash is below a bound that falls with its size;
+    of 30 and more in common at that rate, none is below the bound of both with
+    a probability of e^-30, which is that of equal hashes.
+    """
+    n = len(values)
+    if n < LONGER:
+        return values[:prefix_length(n, percent)]
+    first = values[:prefix_length(n, percent) + -(-SHARE * n // 100)]
+    return first if n <= SAMPLED else first[mix64(first) < np.uint64((SAMPLED << 64) // n)]
+
+
 def parities(shingles: np.ndarray) -> np.ndarray:
-    """For each of 64 * PARITY buckets of shingles whether an odd number of them is in it, as words of 64 bits."""
-    bucket = (shingles >> np.uint64(64 - 6) | (shingles >> np.uint64(ORDER_BITS) & np.uint64(PARITY - 1)) << np.uint64(6)).astype(np.int64)
-    return np.packbits((np.bincount(bucket, minlength=64 * PARITY) & 1).astype(np.uint8)).view(np.uint64)
+    """Whether an odd number of shingles is in each bucket, as words of 64 bits; a power of two of them, by the size of the set.
+
+    Halves of the words xor-ed are the parities in half as many buckets.
+    """
+    words = LEAST_PARITY
+    while words < MOST_PARITY and 128 * words < len(shingles):
+        words *= 2
+    bucket = (shingles >> np.uint64(ORDER_BITS) & np.uint64(64 * words - 1)).astype(np.int64)
+    return np.packbits((np.bincount(bucket, minlength=64 * words) & 1).astype(np.uint8)).view(np.uint64)
 
 
 def sketches(docs: DataFrame, place: Broadcast, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -100,7 +126,7 @@ def sketches(docs: DataFrame, place: Broadcast, words: int = WORDS, percent: int
                 counts.append(len(shingles))
                 digests.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
                 odd.append(parities(shingles).tobytes())
-                keys.append(ordered(shingles, place.value)[:prefix_length(len(shingles), percent)].view(np.int64))
+                keys.append(prefix(ordered(shingles, place.value), percent).view(np.int64))
         ends = np.cumsum([0] + [len(k) for k in keys])
         return {
             "doc_id": batch.column("doc_id"), "n_shingles": pa.array(counts, pa.int64()), "digest": pa.array(digests, pa.binary()),
@@ -148,48 +174,64 @@ def side_by_side(sizes: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarra
         first = least
 
 
+def folded(bits: list[bytes], words: int) -> np.ndarray:
+    """Parities in ``words`` words each, of such with as many or more."""
+    out = np.empty((len(bits), words), np.uint64)
+    sizes = np.array([len(b) for b in bits])
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        own = np.frombuffer(b"".join([bits[i] for i in at]), np.uint64).reshape(len(at), -1, words)
+        out[at] = np.bitwise_xor.reduce(own, axis=1)
+    return out
+
+
 def parted(shared: DataFrame, sets: DataFrame, percent: int, most: int = MEMBERS) -> DataFrame:
     """(node, key, hub): the nodes of each key in groups that able pairs connect, each a key of its own.
 
     ``shared`` is (node, key, hub, members), ``sets`` (node, n_shingles, parity).
-    A key of more than ``most`` nodes stays one group, so no task holds more of
-    them at once. A node with several sets is compared by all of them.
+    Nodes of a key stand by size; a gap that no pair can bridge cuts them, and a
+    run is compared in the parities of its smallest set. A key of more than
+    ``most`` nodes stays one group, so no task holds more of them at once. A
+    node with several sets is compared by all of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups(key: np.ndarray, node: np.ndarray, size: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
-            begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        def groups(key: np.ndarray, node: np.ndarray, size: np.ndarray, bits: list[bytes]) -> pa.RecordBatch:
+            apart = (key[1:] != key[:-1]) | (100 * size[:-1] < percent * size[1:])
+            begin = np.flatnonzero(np.concatenate(([True], apart)))
             often = np.diff(np.concatenate((begin, [len(key)])))
-            hub = np.empty(len(key), np.int64)
-            for d in np.unique(often):
-                at = begin[often == d]
+            words = np.array([len(bits[i]) // 8 for i in begin])
+            hub = node.copy()
+            for d, width in {(d, w) for d, w in zip(often.tolist(), words.tolist(), strict=True) if d > 1}:
+                at = begin[(often == d) & (words == width)]
                 if d <= SIDE:
-                    for low in range(0, len(at), 1 << 14):
-                        rows = at[low:low + (1 << 14), None] + np.arange(d)
-                        hub[rows] = np.take_along_axis(node[rows], side_by_side(size[rows], bits[rows], percent), axis=1)
+                    for low in range(0, len(at), (1 << 17) // width):
+                        rows = at[low:low + (1 << 17) // width, None] + np.arange(d)
+                        own = folded([bits[i] for i in rows.ravel()], width).reshape(*rows.shape, width)
+                        hub[rows] = np.take_along_axis(node[rows], side_by_side(size[rows], own, percent), axis=1)
                 else:
                     for low in at:
-                        own = slice(low, low + d)
-                        hub[own] = node[own][together(size[own], bits[own], percent)]
+                        part = slice(low, low + d)
+                        hub[part] = node[part][together(size[part], folded(bits[part], width), percent)]
             return pa.RecordBatch.from_arrays([pa.array(node), pa.array(key), pa.array(hub)], names=["node", "key", "hub"])
 
         held = None
         for batch in batches:
             key, node, size = (batch.column(n).to_numpy() for n in ("key", "node", "n_shingles"))
-            bits = np.frombuffer(b"".join(batch.column("parity").to_pylist()), np.uint64).reshape(-1, PARITY)
-            own = (key, node, size, bits)
+            bits = batch.column("parity").to_pylist()
             if held is not None:
-                own = tuple(np.concatenate(pair) for pair in zip(held, own, strict=True))
+                key, node, size = (np.concatenate(pair) for pair in zip(held[:3], (key, node, size), strict=True))
+                bits = held[3] + bits
             # The last key may go on in the next batch.
-            cut = int(np.searchsorted(own[0], own[0][-1])) if len(own[0]) else 0
+            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
             if cut:
-                yield groups(*[c[:cut] for c in own])
-            held = tuple(c[cut:] for c in own)
+                yield groups(key[:cut], node[:cut], size[:cut], bits[:cut])
+            held = (key[cut:], node[cut:], size[cut:], bits[cut:])
         if held is not None and len(held[0]):
             yield groups(*held)
 
     some = shared.filter(F.col("members") <= most).join(sets, "node").select("key", "node", "n_shingles", "parity")
-    found = some.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "node long, key long, hub long")
+    found = some.repartition("key").sortWithinPartitions("key", "n_shingles", "node").mapInArrow(run, "node long, key long, hub long")
     whole = shared.filter(F.col("members") > most).select("node", "key", "hub")
     return found.withColumn("key", F.xxhash64("key", "hub")).union(whole)
 
@@ -364,7 +406,8 @@ def similar_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     Two documents are linked if 100 * shared shingles >= ``percent`` * all
     shingles of both; ``component_id`` is the least ``doc_id`` that links lead
-    to. Every linked pair shares a prefix shingle, so no link is lost. A null or
+    to. Every linked pair shares a key, sets of more than SAMPLED shingles but for
+    a chance of e^-30, so no link is lost. A null or
     wordless text has no shingles and no links; one with fewer words than a
     shingle has its whole sequence as the only one. Rows with one ``doc_id`` are
     one document: all their texts' links are its own. A row without ``doc_id``

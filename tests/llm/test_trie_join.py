@@ -5,7 +5,7 @@ import pytest
 
 from gleanset.llm import trie_join
 from gleanset.llm.trie_join import (
-    ORDER_BITS, Trie, able, ordered, parities, prefix_length, side_by_side, similar_classes, tile_pairs, together,
+    ORDER_BITS, SAMPLED, Trie, able, folded, ordered, parities, prefix, prefix_length, side_by_side, similar_classes, tile_pairs, together,
 )
 from tests.llm import cases
 from tests.llm.test_minhash import brute_force as at_words
@@ -147,7 +147,7 @@ def test_parities_keep_all_similar_pairs():
     base = np.unique(pick.integers(0, 2**63, 300, dtype=np.uint64))
     sets = [base[pick.random(len(base)) > share] for share in (0, 0.02, 0.05, 0.1, 0.14, 0.2, 0.4)]
     sets += [np.unique(pick.integers(0, 2**63, n, dtype=np.uint64)) for n in (1, 2, 40, 260, 300)]
-    sizes, bits = np.array([len(s) for s in sets]), np.stack([parities(s) for s in sets])
+    sizes, bits = np.array([len(s) for s in sets]), folded([parities(s).tobytes() for s in sets], 8)
     for i, x in enumerate(sets):
         got = able((sizes[i], sizes), (bits[i], bits), 85)
         for j, y in enumerate(sets):
@@ -155,3 +155,33 @@ def test_parities_keep_all_similar_pairs():
     assert able((sizes[0], sizes), (bits[0], bits), 85)[-5:].sum() == 0
     assert together(sizes, bits, 85).tolist() == side_by_side(sizes[None, :], bits[None, :], 85)[0].tolist()
     assert side_by_side(np.tile(sizes, (3, 1)), np.tile(bits, (3, 1, 1)), 85).shape == (3, len(sets))
+
+
+def test_parities_fold():
+    values = np.unique(np.random.default_rng(4).integers(0, 2**63, 9000, dtype=np.uint64))
+    large, small = parities(values), parities(values[:100])
+    assert len(large) == 128 and len(small) == 8
+    assert folded([large.tobytes(), small.tobytes()], 8)[0].tolist() == np.bitwise_xor.reduce(large.reshape(16, 8), axis=0).tolist()
+    bucket = (values >> np.uint64(ORDER_BITS) & np.uint64(511)).astype(np.int64)
+    odd = np.packbits((np.bincount(bucket, minlength=512) & 1).astype(np.uint8)).view(np.uint64)
+    assert folded([large.tobytes()], 8)[0].tolist() == odd.tolist()
+
+
+@pytest.mark.parametrize("n, m", [(1040, 1190), (1100, 1250), (2000, 2300), (20_000, 20_000)])
+def test_large_sets_share_keys(n, m):
+    """Two sets at the bound, all differences among the first shingles: still tens of keys in common, and few in all."""
+    pick = np.random.default_rng(n)
+    shared = -(-85 * (n + m) // 185)
+    base = np.sort(pick.integers(2**62, 2**63, shared, dtype=np.uint64))
+    x = np.concatenate((np.sort(pick.integers(0, 2**62, n - shared, dtype=np.uint64)), base))
+    y = np.concatenate((np.sort(pick.integers(0, 2**62, m - shared, dtype=np.uint64)), base))
+    a, b = prefix(x, 85), prefix(y, 85)
+    assert len(np.intersect1d(a, b)) >= 15 and max(len(a), len(b)) < 0.25 * SAMPLED
+
+
+def test_long_documents(spark):
+    """Copies of texts beyond the bound of sampling, and texts that share a passage with them only."""
+    base = [f"w{i}" for i in range(3000)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:-200])), (3, " ".join(base[1500:] + [f"x{i}" for i in range(1500)]))]
+    rows += [(4, " ".join([f"v{i}" if i % 97 == 0 else w for i, w in enumerate(base)])), (5, " ".join(base[2000:2100] + [f"y{i}" for i in range(2500)]))]
+    compare(spark, [(*r, "", "") for r in rows])
