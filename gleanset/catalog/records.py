@@ -195,12 +195,60 @@ def _(t: Tables):
     return _ingest(t).accepted.select("record_id", "file_id", *_TABLE, hybrid.custom_value("2").alias("phone"))
 
 
-@query("m3_unmapped_ingestion", _INGEST_SQL + "SELECT file_id, count(*) AS total_rows, count(*) AS rows_imported, 0 AS rows_rejected FROM judged GROUP BY file_id")
+# A file's total is what was read, with the rows that have no value.
+_READ_SQL = "(SELECT record_id, record_id % 3 AS file_id FROM contacts) r LEFT JOIN judged j USING (record_id)"
+
+
+@query("m3_unmapped_ingestion", _INGEST_SQL + f"SELECT r.file_id, count(*) AS total_rows, count(j.record_id) AS rows_imported, 0 AS rows_rejected FROM {_READ_SQL} GROUP BY r.file_id")
 def _(t: Tables):
     done = ingestion.ingest(_incoming(t), _INGEST_MAP, _stored(t), _TABLE, "record_id", dedupe=False)
     return done.ledger.select("file_id", "total_rows", "rows_imported", "rows_rejected")
 
 
+def _sparse(t: Tables):
+    """Incoming rows of which every seventh has no value in a mapped column."""
+    gone = c("record_id") % 7 == 0
+    return _incoming(t).withColumns({n: F.when(~gone, c(n)) for n in ("full_name", "email", "phone")}).withColumnRenamed("website", "Loyalty-Tier")
+
+
+_SPARSE_SQL = rf"""
+WITH {_MAP_SQL},
+incoming AS (SELECT m.*, concat_ws('|', coalesce(phone, ''), lower(coalesce(email_address, '')), lower(coalesce(first_name, '')), lower(coalesce(last_name, ''))) AS k FROM mapped m
+  WHERE coalesce(phone, email_address, first_name, last_name) IS NOT NULL AND record_id % 7 <> 0),
+judged AS (SELECT i.record_id, row_number() OVER (PARTITION BY k ORDER BY record_id) = 1 AS imported FROM incoming i)
+"""
+
+
+@query("m2b_ledger_of_sparse_files", _SPARSE_SQL + """
+SELECT c.record_id % 3 AS file_id, count(*) AS total_rows, count(*) FILTER (WHERE imported) AS rows_imported, count(*) FILTER (WHERE NOT imported) AS rows_rejected, 'completed' AS status
+FROM contacts c LEFT JOIN judged USING (record_id) GROUP BY 1""")
+def _(t: Tables):
+    """Rows without a value are read, but neither imported nor refused."""
+    none = _stored(t).limit(0)
+    return ingestion.ingest(_sparse(t), _INGEST_MAP, none, _TABLE, "record_id").ledger
+
+
+_NEW_FIELDS = """
+fresh AS (SELECT norm, field_name, CAST(4 + row_number() OVER (ORDER BY substr(md5(norm), 1, 3), norm) AS BIGINT) AS id FROM (VALUES {0}) AS x(norm, field_name))"""
+
+
+@query("m2c_registry_after_ingestion", "WITH " + _NEW_FIELDS.format("('segment', 'segment'), ('revenue', 'revenue')") + """,
+imported AS (SELECT least(count(*), 1) AS n FROM contacts WHERE record_id % 7 <> 0 AND coalesce(full_name, email, phone) IS NOT NULL)
+SELECT CAST(id AS BIGINT) AS id, field_name, normalized_name, is_active, CASE WHEN id IN (1, 2) THEN n ELSE 0 END AS uses FROM field_registry, imported
+UNION ALL SELECT id, field_name, norm, 1, 1 + n FROM fresh, imported""")
+def _(t: Tables):
+    """Two headers become fields, one finds its field by the normalised name; each custom target counts as a use."""
+    mapping = {**_INGEST_MAP, "segment": "create_new", "revenue": "create_new", "Loyalty-Tier": "create_new", "no_such_header": "ignore"}
+    return ingestion.ingest_mapped(_sparse(t), mapping, t.field_registry, _stored(t), _TABLE, "record_id").registry
+
+
+@query("m3b_unmapped_file", "WITH " + _NEW_FIELDS.format(", ".join(f"('{n}', '{n}')" for n in ("full_name", "email", "phone", "website", "revenue", "joined"))) + """
+SELECT CAST(id AS BIGINT) AS id, field_name, normalized_name, is_active, CASE WHEN id = 2 THEN 1 ELSE 0 END AS uses FROM field_registry UNION ALL SELECT id, field_name, norm, 1, 1 FROM fresh""")
+def _(t: Tables):
+    """Headers of a file without a mapping: one is an alias, the others become fields."""
+    return ingestion.ingest_unmapped(_incoming(t), t.field_aliases, t.field_registry, _TABLE, "record_id").registry
+
+
 @query("j5_duplicates_of_stored", _INGEST_SQL + "SELECT record_id, is_duplicate FROM judged")
 def _(t: Tables):
     mapped = hybrid.map_rows(t.contacts, _INGEST_MAP, _TABLE, ["record_id"])
@@ -214,14 +262,14 @@ def _(t: Tables):
     return ingestion.first_in_batch(keyed, "k", "record_id").select("record_id")
 
 
-@query("s5_ledger", _INGEST_SQL + """
-SELECT file_id, count(*) AS total_rows, count(*) FILTER (WHERE NOT is_duplicate) AS rows_imported, count(*) FILTER (WHERE is_duplicate) AS rows_rejected, 'completed' AS status FROM judged GROUP BY file_id""")
+@query("s5_ledger", _INGEST_SQL + f"""
+SELECT r.file_id, count(*) AS total_rows, count(*) FILTER (WHERE NOT is_duplicate) AS rows_imported, count(*) FILTER (WHERE is_duplicate) AS rows_rejected, 'completed' AS status FROM {_READ_SQL} GROUP BY r.file_id""")
 def _(t: Tables):
     return _ingest(t).ledger
 
 
-@query("s5b_ledger_totals", _INGEST_SQL + """
-SELECT count(DISTINCT file_id) AS files, count(*) AS total_rows, count(*) FILTER (WHERE NOT is_duplicate) AS rows_imported, count(*) FILTER (WHERE is_duplicate) AS rows_rejected FROM judged""")
+@query("s5b_ledger_totals", _INGEST_SQL + f"""
+SELECT count(DISTINCT r.file_id) AS files, count(*) AS total_rows, count(*) FILTER (WHERE NOT is_duplicate) AS rows_imported, count(*) FILTER (WHERE is_duplicate) AS rows_rejected FROM {_READ_SQL}""")
 def _(t: Tables):
     return ingestion.ledger_totals(_ingest(t).ledger)
 

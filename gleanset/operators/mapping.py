@@ -129,13 +129,17 @@ def resolve_headers(
         resolved.filter("not is_new and target like 'custom:%'")
         .groupBy(F.substring_index("target", ":", -1).cast("bigint").alias("id")).agg(F.count(F.lit(1)).alias("uses"))
     )
-    grown = registry.withColumn("id", F.col("id").cast("bigint")).join(used, "id", "left").select(
-        "id", "field_name", "normalized_name", "is_active", F.coalesce("uses", F.lit(0)).cast("bigint").alias("uses")
-    ).unionByName(
-        fresh.select(F.col("new_id").alias("id"), "field_name", F.col("norm").alias("normalized_name"),
-                     F.lit(1).alias("is_active"), F.lit(1).cast("bigint").alias("uses"))
+    return resolved, grown_registry(registry, fresh, used)
+
+
+def grown_registry(registry: DataFrame, fresh: DataFrame, used: DataFrame) -> DataFrame:
+    """The registry with ``fresh`` fields (norm, field_name, new_id), each used once, and the uses of ``used`` (id, uses) added."""
+    rows = registry.select(F.col("id").cast("bigint").alias("id"), "field_name", "normalized_name", "is_active").unionByName(
+        fresh.select(F.col("new_id").alias("id"), "field_name", F.col("norm").alias("normalized_name"), F.lit(1).alias("is_active"))
     )
-    return resolved, grown
+    first = fresh.select(F.col("new_id").alias("id"), F.lit(1).cast("bigint").alias("uses"))
+    uses = used.select("id", "uses").unionByName(first).groupBy("id").agg(F.sum("uses").alias("uses"))
+    return rows.join(uses, "id", "left").withColumn("uses", F.coalesce("uses", F.lit(0)).cast("bigint"))
 
 
 # ── Projection onto the hybrid table ────────────────────────────────────────
@@ -146,8 +150,9 @@ def map_rows(
     carry: list[str],
     null_words: bool = True,
     keep_blank: bool = True,
+    mark: str | None = None,
 ) -> DataFrame:
-    """Rows as fixed columns plus ``custom_fields``; rows without a value go.
+    """Rows as fixed columns plus ``custom_fields``; rows without a value go, or stay with ``mark`` set if it names a column.
 
     ``mapping`` sends a header to ``master:column`` or ``custom:id``; a full
     name goes to first and last name unless the table has that column. With
@@ -174,16 +179,14 @@ def map_rows(
                 fields[part] = F.coalesce(cell, fields[part]) if part in fields else cell
         elif name in columns:
             fields[name] = F.coalesce(value, fields[name]) if name in fields else value
-    if not values:
-        return df.limit(0).select(*carry, *[F.lit(None).cast("string").alias(n) for n in columns],
-                                  F.create_map().cast("map<string,string>").alias("custom_fields"))
+    none = F.coalesce(*values).isNull() if values else F.lit(True)
     pairs = F.map_from_arrays(F.array(*[F.lit(k) for k in customs]), F.array(*customs.values())) if customs \
         else F.create_map().cast("map<string,string>")
     kept = F.map_filter(pairs, lambda k, v: v.isNotNull())
-    return df.filter(F.coalesce(*values).isNotNull()).select(
+    return (df if mark else df.filter(~none)).select(
         *carry,
         *[fields.get(n, F.lit(None).cast("string")).alias(n) for n in columns],
-        F.when(F.size(kept) > 0, kept).alias("custom_fields"),
+        F.when(F.size(kept) > 0, kept).alias("custom_fields"), *([none.alias(mark)] if mark else []),
     )
 
 

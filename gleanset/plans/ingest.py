@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanset.functions.scalars import json_map, map_json
+from gleanset.functions.scalars import json_map, map_json, normal_header
 from gleanset.functions.text import strip
-from gleanset.operators.mapping import custom_value, map_rows
+from gleanset.operators.mapping import custom_value, grown_registry, map_rows, numbered, resolve_headers
 
 
 @dataclass(frozen=True)
 class Ingested:
-    """Rows to append, rows refused as duplicates, and the ledger row."""
+    """Rows to append, rows refused as duplicates, the ledger row, and the registry if fields were resolved."""
 
     accepted: DataFrame
     rejected: DataFrame
     ledger: DataFrame
+    registry: DataFrame | None = None
 
 
 def key_parts(mapping: dict[str, str], columns: list[str]) -> list[Column]:
@@ -45,15 +46,17 @@ def first_in_batch(rows: DataFrame, key: str, row_id: str) -> DataFrame:
 
 
 def split_duplicates(
-    rows: DataFrame, stored: DataFrame, mapping: dict[str, str], columns: list[str], row_id: str
+    rows: DataFrame, stored: DataFrame, mapping: dict[str, str], columns: list[str], row_id: str, empty: str | None = None
 ) -> DataFrame:
     """Rows with ``is_duplicate``: a repeat in the batch or already stored.
 
-    Keys are reduced to one row each before they meet the stored keys, and the
+    Rows that ``empty`` marks have no key: they are no one's repeat, and first
+    of none. Keys are reduced to one row each before they meet the stored keys, and the
     verdict returns by unique row id, so a key of any weight stays harmless.
     """
     key = duplicate_key(mapping, columns)
-    firsts = first_in_batch(rows.select(row_id, key.alias("__key")), "__key", row_id)
+    keyed = rows.filter(~F.col(empty)) if empty else rows
+    firsts = first_in_batch(keyed.select(row_id, key.alias("__key")), "__key", row_id)
     known = stored.select(key.alias("__key")).distinct()
     fresh = firsts.join(known, "__key", "left_anti").select(row_id, F.lit(True).alias("__fresh"))
     return rows.join(fresh, row_id, "left").withColumn("is_duplicate", F.col("__fresh").isNull()).drop("__fresh")
@@ -72,12 +75,12 @@ def read_rejects(rejects: DataFrame, columns: list[str]) -> DataFrame:
     return rejects.select(*kept, F.from_json("row_data", schema).alias("r")).filter("r is not null").select(*kept, "r.*")
 
 
-def ledger_rows(rows: DataFrame, by: list[str], imported: str = "imported") -> DataFrame:
-    """Rows read, imported and rejected per file and sheet."""
+def ledger_rows(rows: DataFrame, by: list[str], imported: str = "imported", rejected: str = "rejected") -> DataFrame:
+    """Rows read, imported and rejected per file and sheet; rows without a value are read only."""
     return rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_rows"),
         F.count_if(F.col(imported)).alias("rows_imported"),
-        F.count_if(~F.col(imported)).alias("rows_rejected"),
+        F.count_if(F.col(rejected)).alias("rows_rejected"),
     ).withColumn("status", F.lit("completed"))
 
 
@@ -97,17 +100,59 @@ def ingest(
     ``mapping`` holds final targets (``master:x``, ``custom:id``); unmapped
     ingestion passes what header resolution found and ``dedupe=False``.
     """
-    mapped = map_rows(df, mapping, columns, [row_id, file_id]).withColumn("imported_by", F.lit(user))
+    mapped = map_rows(df, mapping, columns, [row_id, file_id], mark="__empty").withColumn("imported_by", F.lit(user))
     if file_id != "file_id":
         mapped = mapped.withColumnRenamed(file_id, "file_id")
     if dedupe:
-        judged = split_duplicates(mapped, stored, mapping, columns, row_id)
+        judged = split_duplicates(mapped, stored, mapping, columns, row_id, "__empty")
     else:
         judged = mapped.withColumn("is_duplicate", F.lit(False))
-    accepted = judged.filter("not is_duplicate").drop("is_duplicate")
-    rejected = rejected_json(judged.filter("is_duplicate"), columns)
-    ledger = ledger_rows(judged.withColumn("imported", ~F.col("is_duplicate")), ["file_id"])
-    return Ingested(accepted, rejected, ledger)
+    named = judged.withColumns({"imported": ~F.col("__empty") & ~F.col("is_duplicate"), "rejected": ~F.col("__empty") & F.col("is_duplicate")})
+    plain = [c for c in mapped.columns if c != "__empty"]
+    return Ingested(
+        named.filter("imported").select(*plain), rejected_json(named.filter("rejected"), columns), ledger_rows(named, ["file_id"])
+    )
+
+
+def ingest_mapped(
+    df: DataFrame, mapping: dict[str, str], registry: DataFrame, stored: DataFrame, columns: list[str], row_id: str,
+    file_id: str = "file_id", user: str = "import",
+) -> Ingested:
+    """A file with a mapping that a user has confirmed, as one job: new fields, rows, rejects, ledger and usage counts.
+
+    Headers sent to ``create_new`` take the field with their normalised name, or
+    a new one with the next number. If any row is imported, every header of a
+    custom field counts as a use; a new field starts with one.
+    """
+    spark = df.sparkSession
+    wanted = [(h, i) for i, (h, t) in enumerate(mapping.items()) if t == "create_new"]
+    headers = spark.createDataFrame(wanted, "header string, place int").withColumn("norm", normal_header(F.col("header")))
+    known = registry.groupBy(F.col("normalized_name").alias("norm")).agg(F.min(F.col("id").cast("bigint")).alias("known"))
+    met = headers.join(known, "norm", "left")
+    unknown = met.filter("known IS NULL").groupBy("norm").agg(F.min_by("header", "place").alias("field_name"))
+    top = registry.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint")).scalar()
+    fresh = numbered(unknown, "norm", top, "new_id")
+    # One number for each header of the file reaches the driver: targets are part of the plan.
+    ids = met.join(fresh.select("norm", "new_id"), "norm", "left").select("header", F.coalesce("known", "new_id").alias("id")).collect()
+    targets = final_mapping(mapping, {r["header"]: r["id"] for r in ids})
+    done = ingest(df, targets, stored, columns, row_id, file_id, user)
+    customs = [(int(t.removeprefix("custom:")),) for t in targets.values() if t.startswith("custom:")]
+    imported = done.accepted.select(F.lit(1).alias("one")).limit(1).agg(F.count("one")).scalar()
+    used = spark.createDataFrame(customs, "id long").groupBy("id").agg(F.count(F.lit(1)).alias("n")).select("id", (F.col("n") * imported).alias("uses"))
+    return replace(done, registry=grown_registry(registry, fresh, used))
+
+
+def ingest_unmapped(
+    df: DataFrame, aliases: DataFrame, registry: DataFrame, columns: list[str], row_id: str, file_id: str = "file_id", user: str = "import",
+) -> Ingested:
+    """A file without a mapping as one job: headers find master columns, aliases and fields, or become fields; nothing is refused."""
+    spark = df.sparkSession
+    named = [(h,) for h in df.columns if h not in (row_id, file_id)]
+    resolved, grown = resolve_headers(spark.createDataFrame(named, "header string"), aliases, registry)
+    targets = {r["header"]: r["target"] for r in resolved.select("header", "target").collect()}
+    ordered = {h: targets[h] for (h,) in named if h in targets}
+    none = spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns) + ", custom_fields map<string,string>")
+    return replace(ingest(df, ordered, none, columns, row_id, file_id, user, dedupe=False), registry=grown)
 
 
 def to_stored(rows: DataFrame) -> DataFrame:

@@ -161,10 +161,40 @@ def test_ingest_refuses_repeats_and_stored_rows(spark):
     assert [r["rid"] for r in done.accepted.orderBy("rid").collect()] == [1, 5]
     wide = ingest.read_rejects(done.rejected, ["first_name"])
     assert rows_of(wide.select("file_id", "first_name", mapping.custom_value("2"))) == [(1, "ann", "A@X"), (2, "Bob", "b@x")]
-    assert {r["file_id"]: (r["total_rows"], r["rows_imported"], r["rows_rejected"]) for r in done.ledger.collect()} == {1: (2, 1, 1), 2: (2, 1, 1)}
+    assert {r["file_id"]: (r["total_rows"], r["rows_imported"], r["rows_rejected"]) for r in done.ledger.collect()} == {1: (2, 1, 1), 2: (3, 1, 1)}
     assert ingest.ingest(df, target, stored, ["first_name"], "rid", dedupe=False).accepted.count() == 4
 
 
+def test_ingestion_makes_fields_and_counts_uses(spark):
+    registry = spark.createDataFrame([(3, "Tier", "tier", 1), (8, "Fax", "fax", 0)], "id int, field_name string, normalized_name string, is_active int")
+    df = spark.createDataFrame([(1, 1, "Ann", "gold", "x", "y"), (2, 1, None, None, None, None), (3, 1, "ann", "GOLD", "X", "Y")],
+                               "rid bigint, file_id bigint, name string, Tier string, `New one` string, `new-one` string")
+    stored = spark.createDataFrame([], "first_name string, custom_fields map<string,string>")
+    target = {"name": "master:first_name", "Tier": "create_new", "New one": "create_new", "new-one": "create_new", "gone": "ignore"}
+    done = ingest.ingest_mapped(df, target, registry, stored, ["first_name"], "rid")
+    # Both headers of one name are one field; the later one's value counts.
+    assert [(r["rid"], r["custom_fields"]) for r in done.accepted.collect()] == [(1, {"3": "gold", "9": "y"})]
+    fields = {r["id"]: (r["field_name"], r["uses"]) for r in done.registry.collect()}
+    assert fields == {3: ("Tier", 1), 8: ("Fax", 0), 9: ("New one", 3)}
+    assert [tuple(r)[1:4] for r in done.ledger.collect()] == [(3, 1, 1)]
+    # Nothing is imported: new fields exist, no use is counted for them but their own.
+    none = ingest.ingest_mapped(df.filter("rid = 2"), target, registry, stored, ["first_name"], "rid")
+    assert {r["id"]: r["uses"] for r in none.registry.collect()} == {3: 0, 8: 0, 9: 1}
+    assert [tuple(r)[1:4] for r in none.ledger.collect()] == [(1, 0, 0)]
+
+
+def test_unmapped_ingestion_resolves_headers(spark):
+    registry = spark.createDataFrame([(3, "Tier", "tier", 1)], "id int, field_name string, normalized_name string, is_active int")
+    aliases = spark.createDataFrame([(1, "Mail", "master", "email_address"), (2, "Level", "custom", "3")], "id int, alias string, target_type string, target_identifier string")
+    df = spark.createDataFrame([(1, 1, "Ann", "a@x", "gold", "n"), (2, 1, "Ann", "a@x", "gold", "n"), (3, 1, None, None, None, None)],
+                               "rid bigint, file_id bigint, `First Name` string, mail string, level string, Extra string")
+    done = ingest.ingest_unmapped(df, aliases, registry, ["first_name", "email_address"], "rid")
+    assert [(r["rid"], r["first_name"], r["email_address"], r["custom_fields"]) for r in done.accepted.orderBy("rid").collect()] == [
+        (i, "Ann", "a@x", {"3": "gold", "4": "n"}) for i in (1, 2)]
+    assert {r["id"]: (r["field_name"], r["uses"]) for r in done.registry.collect()} == {3: ("Tier", 1), 4: ("Extra", 1)}
+    assert [tuple(r)[1:4] for r in done.ledger.collect()] == [(3, 2, 0)]
+
+
 def test_final_mapping():
     assert ingest.final_mapping({"a": "create_new", "b": "ignore", "c": "master:x", "d": "__discard__", "e": ""}, {"a": 9}) == {"a": "custom:9", "c": "master:x"}
 
