@@ -45,20 +45,29 @@ def first_in_batch(rows: DataFrame, key: str, row_id: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min(row_id).alias(row_id))
 
 
+def digest(key: Column) -> Column:
+    """A key in 16 bytes."""
+    return F.unhex(F.md5(key.cast("binary")))
+
+
 def split_duplicates(
     rows: DataFrame, stored: DataFrame, mapping: dict[str, str], columns: list[str], row_id: str, empty: str | None = None
 ) -> DataFrame:
     """Rows with ``is_duplicate``: a repeat in the batch or already stored.
 
-    Rows that ``empty`` marks have no key: they are no one's repeat, and first
-    of none. Keys are reduced to one row each before they meet the stored keys, and the
-    verdict returns by unique row id, so a key of any weight stays harmless.
+    ``stored`` has mapped rows, or the column ``digest`` of an index of their
+    keys. Rows that ``empty`` marks have no key: they are no one's repeat, and
+    first of none. Keys are reduced to one row each before they meet the stored
+    keys, and the verdict returns by unique row id, so a key of any weight stays
+    harmless. Only stored keys that the batch has are carried further, so a small
+    batch goes to the stored ones and not the reverse.
     """
     key = duplicate_key(mapping, columns)
     keyed = rows.filter(~F.col(empty)) if empty else rows
-    firsts = first_in_batch(keyed.select(row_id, key.alias("__key")), "__key", row_id)
-    known = stored.select(key.alias("__key")).distinct()
-    fresh = firsts.join(known, "__key", "left_anti").select(row_id, F.lit(True).alias("__fresh"))
+    firsts = first_in_batch(keyed.select(row_id, digest(key).alias("digest")), "digest", row_id)
+    known = stored.select("digest") if stored.columns == ["digest"] else stored.select(digest(key).alias("digest"))
+    hits = known.join(firsts.select("digest"), "digest", "left_semi").distinct()
+    fresh = firsts.join(hits, "digest", "left_anti").select(row_id, F.lit(True).alias("__fresh"))
     return rows.join(fresh, row_id, "left").withColumn("is_duplicate", F.col("__fresh").isNull()).drop("__fresh")
 
 

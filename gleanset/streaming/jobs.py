@@ -6,6 +6,7 @@ hour behind the newest are dropped.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,14 +15,17 @@ from pyspark.sql import functions as F
 
 from gleanset.operators.access import notifications
 from gleanset.operators.activity import category_counts
+from gleanset.operators.mapping import map_rows
 from gleanset.operators.rules import Rule
 from gleanset.operators.skew import attach
 from gleanset.plans.cleaning import clean_values, flag_missing, validate_rows
-from gleanset.plans.ingest import ingest
+from gleanset.plans.ingest import Ingested, digest, duplicate_key, ingest
 from gleanset.streaming.ordered import Failures, Stays, in_order
 
 LATENESS = "1 hour"
 SESSION_GAP = "30 minutes"
+# Folders of the index of stored keys.
+KEY_BUCKETS = 64
 
 
 def event_time(rows: DataFrame, column: str, lateness: str = LATENESS) -> DataFrame:
@@ -78,27 +82,71 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # ── Jobs ────────────────────────────────────────────────────────────────────
+def key_index(spark: SparkSession, root: str, mapping: dict[str, str], columns: list[str]) -> str:
+    """The folder of the digests of the master table's keys under this mapping: ``bucket=*/batch_id=*``.
+
+    Keys follow the mapped targets, so each set of targets has an index of its
+    own. A new one is made from the master rows, once; batches then add to it.
+    """
+    targets = ",".join([*sorted({t for t in mapping.values() if t and ":" in t}), *sorted(columns)])
+    path = f"{root}/keys/{hashlib.sha256(targets.encode()).hexdigest()[:16]}"
+    made = spark.createDataFrame([(path,)], "path string")
+    done = spark.read.schema("path string").option("recursiveFileLookup", True).parquet(f"{root}/indexes")
+    if done.join(made, "path", "left_semi").isEmpty():
+        stored = spark.read.schema(_known(columns)).parquet(f"{root}/master").filter(F.col("batch_id") >= 0)
+        _write_keys(stored.select("batch_id", digest(duplicate_key(mapping, columns)).alias("digest")), path)
+        made.write.mode("append").parquet(f"{root}/indexes")
+    return path
+
+
+def _known(columns: list[str]) -> str:
+    return ", ".join([*[f"`{c}` string" for c in columns], "custom_fields map<string,string>", "batch_id int"])
+
+
+def _write_keys(keys: DataFrame, path: str) -> None:
+    """Write (batch_id, digest), one file for each bucket of a batch; a batch replaces its own."""
+    bucket = F.pmod(F.xxhash64("digest"), F.lit(KEY_BUCKETS)).cast("int")
+    placed = keys.withColumn("bucket", bucket).repartition("bucket", "batch_id").sortWithinPartitions("bucket", "digest")
+    placed.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("batch_id", "bucket").parquet(path)
+
+
+def ingest_batch(
+    batch: DataFrame, batch_id: int, mapping: dict[str, str], columns: list[str], row_id: str, index: str, user: str = "stream"
+) -> Ingested:
+    """One batch against the key index: only the buckets that the batch's keys fall into are read, and no master row."""
+    spark = batch.sparkSession
+    mapped = map_rows(batch, mapping, columns, [])
+    bucket = F.pmod(F.xxhash64(digest(duplicate_key(mapping, columns))), F.lit(KEY_BUCKETS)).cast("int")
+    # At most KEY_BUCKETS numbers reach the driver.
+    buckets = [r[0] for r in mapped.select(bucket.alias("b")).distinct().collect()]
+    keys = spark.read.schema("digest binary, batch_id int, bucket int").parquet(index)
+    stored = keys.filter((F.col("batch_id") != batch_id) & F.col("bucket").isin(buckets)).select("digest")
+    return ingest(batch, mapping, stored, columns, row_id, user=user)
+
+
 def ingest_stream(
     files: DataFrame, mapping: dict[str, str], columns: list[str], row_id: str, root: str, user: str = "stream"
 ):
     """Map, dedupe and append every batch of new files; returns the started query.
 
-    Each batch owns the folder of its id in the master, reject and ledger
+    Each batch owns the folder of its id in the master, reject, ledger and key
     tables, so a repeated batch replaces its own rows and nothing else.
     """
     spark = files.sparkSession
-    known = ", ".join([*[f"`{c}` string" for c in columns], "custom_fields map<string,string>"])
+    spark.createDataFrame([], _known(columns).rsplit(",", 1)[0]).write.mode("overwrite").parquet(f"{root}/master/batch_id=-1")
+    spark.createDataFrame([], "path string").write.mode("append").parquet(f"{root}/indexes")
+    index = key_index(spark, root, mapping, columns)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         kept = batch.persist()
-        master = spark.read.schema(f"{known}, batch_id int").parquet(f"{root}/master")
-        stored = master.filter(F.col("batch_id") != batch_id).drop("batch_id")
-        done = ingest(kept, mapping, stored, columns, row_id, user=user)
+        done = ingest_batch(kept, batch_id, mapping, columns, row_id, index, user)
         for rows, table in ((done.accepted, "master"), (done.rejected, "rejected"), (done.ledger, "ledger")):
             rows.write.mode("overwrite").parquet(f"{root}/{table}/batch_id={batch_id}")
+        added = spark.read.schema(done.accepted.schema).parquet(f"{root}/master/batch_id={batch_id}")
+        keys = added.select(F.lit(batch_id).alias("batch_id"), digest(duplicate_key(mapping, columns)).alias("digest"))
+        _write_keys(keys, index)
         kept.unpersist()
 
-    spark.createDataFrame([], known).write.mode("overwrite").parquet(f"{root}/master/batch_id=-1")
     return (
         files.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{root}/checkpoint")
         .foreachBatch(handle).start()

@@ -217,6 +217,27 @@ def test_ingest_stream_survives_a_restart(spark, folder):
     assert sum(spark.read.parquet(f"{root}/ledger/batch_id={b}").agg(F.sum("rows_rejected")).collect()[0][0] for b in (0, 1)) == 2
 
 
+def test_batches_meet_the_key_index_and_no_master_row(spark, folder):
+    schema = "rid bigint, file_id string, mail string"
+    target, root = {"mail": "master:email"}, f"{folder}-root"
+    drop(spark, [(i, "a", f"m{i}@x") for i in range(50)], schema, folder, "a")
+    jobs.ingest_stream(stream(spark, schema, folder), target, ["email"], "rid", root).awaitTermination()
+    index = jobs.key_index(spark, root, target, ["email"])
+    batch = spark.createDataFrame([(90, "b", " M7@X "), (91, "b", "new@x"), (92, "b", None)], schema)
+    done = jobs.ingest_batch(batch, 1, target, ["email"], "rid", index)
+    read = done.accepted.inputFiles()
+    plan = done.accepted._jdf.queryExecution().executedPlan().toString()
+    assert read and all("/keys/" in f for f in read) and "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert [r["rid"] for r in done.accepted.collect()] == [91]
+    # A repeated batch does not meet its own keys.
+    again = jobs.ingest_batch(spark.createDataFrame([(1, "a", "m1@x")], schema), 0, target, ["email"], "rid", index)
+    assert again.accepted.count() == 1
+    # Under another mapping keys differ: their index is made from the master rows.
+    wider = jobs.key_index(spark, root, {**target, "tier": "custom:3"}, ["email"])
+    assert wider != index and spark.read.parquet(wider).count() == 50
+    assert jobs.key_index(spark, root, target, ["email"]) == index and spark.read.parquet(index).count() == 50
+
+
 def test_stream_cleaning_equals_batch(spark, folder):
     schema = "rid bigint, email string, name string"
     rows = [(1, " a@b.co ", "x"), (2, "bad", None), (3, None, "z")]
