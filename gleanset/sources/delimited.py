@@ -126,10 +126,10 @@ class File(NamedTuple):
     breaks: bool
     changes: tuple[tuple[int, bool], ...]
 
-    @property
-    def location(self) -> str:
-        """The path as a reader takes it: ``path`` is an encoded URI, and readers take some characters as patterns."""
-        return re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(self.path))
+
+def location(path: str) -> str:
+    """A file's path as a reader takes it: ``path`` is an encoded URI, and readers take some characters as patterns."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(path))
 
 
 def header_names(head: str, sep: str) -> tuple[str, ...]:
@@ -179,7 +179,7 @@ def survey(spark: SparkSession, path: str, delimiter: str | None = None) -> list
 
 def records(spark: SparkSession, files: list[File], sep: str) -> DataFrame:
     """(record, path) of files whose cells may hold line breaks, without their headers."""
-    paths = [f.location for f in files]
+    paths = [location(f.path) for f in files]
     changes = spark.sparkContext.broadcast({f.path: f.changes for f in files if f.changes})
     schema = "path string, start long, role int, header boolean, record string"
 
@@ -265,6 +265,6 @@ def read_files(spark: SparkSession, files: list[File], source: str | None = None
             rows = records(spark, own, sep).select(cells.alias("c"), "path").select("c.*", F.col("path").alias("__path"))
         else:
             reader = spark.read.schema(schema).option("header", True).option("sep", sep).option("escape", QUOTE)
-            rows = reader.csv([f.location for f in own]).select("*", F.col("_metadata.file_path").alias("__path"))
+            rows = reader.csv([location(f.path) for f in own]).select("*", F.col("_metadata.file_path").alias("__path"))
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     return out.withColumnRenamed("__path", source) if source else out.drop("__path")

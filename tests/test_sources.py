@@ -132,6 +132,24 @@ def test_json_forms(spark, tmp_path, text):
     assert {tuple(r) for r in rows} == {(1, "x"), (2, None)}
 
 
+def test_json_lines_are_read_in_ranges(spark, tmp_path, ranges_of):
+    """Files of lines, of arrays and of records side by side; lines are split, values of another type are NULL."""
+    (tmp_path / "lines [1].json").write_text("\r\n".join(f'{{"a": {i}, "b": "x}}{{"}}' for i in range(300)) + '\n\n{"a": "no number", "b": "y"}\n')
+    (tmp_path / "array.json").write_text('[{"a": 900},\n{"a": 901}]')
+    (tmp_path / "records.json").write_text('{"records": [{"a": 902}]}\n{"records": [{"a": 903}, {"a": 904}]}')
+    (tmp_path / "blank.json").write_text("\n \n")
+    ranges_of(500)
+    forms = readers.json_forms(spark, str(tmp_path))
+    assert len(forms[True]) == 2 and len(forms[False]) == 1
+    frame = readers.read_json_records(spark, str(tmp_path), "a bigint, b string")
+    assert frame.rdd.getNumPartitions() > 10
+    rows = [tuple(r) for r in frame.collect()]
+    assert sorted(rows, key=str) == sorted([(i, "x}{") for i in range(300)] + [(None, "y")] + [(i, None) for i in range(900, 905)], key=str)
+    (tmp_path / "later.json").write_text('{"a": 1}\n{"a": \n')
+    with pytest.raises(Exception, match="no JSON in later.json"):
+        readers.read_json_records(spark, str(tmp_path), "a bigint, b string").collect()
+
+
 def test_one_pretty_object_and_broken_text(spark, tmp_path):
     (tmp_path / "a.json").write_text('{\n  "a": 1,\n  "b": "x"\n}')
     assert [tuple(r) for r in readers.read_json_records(spark, str(tmp_path), "a bigint, b string").collect()] == [(1, "x")]
