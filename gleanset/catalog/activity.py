@@ -309,6 +309,27 @@ def _(t: Tables):
     return plan.quota_decision(_limits(t), _usage(t), "2024-01-10", matching)
 
 
+_ALLOWED_SQL = f"""
+WITH used AS (SELECT user_id, sum(rows_count) AS used FROM ({_USAGE_SQL}) x WHERE export_date = DATE '2024-01-10' GROUP BY 1), asked AS (SELECT count(*) AS n FROM records WHERE industry ILIKE '%b%'),
+verdict AS (SELECT l.id, n AS requested, coalesce(u.used, 0) + n <= l.active_limit AS allowed FROM ({_LIMIT_SQL}) l LEFT JOIN used u ON u.user_id = l.id, asked WHERE l.id = 17)
+"""
+
+
+def _export(t: Tables):
+    asked = plan.RecordQuery(fields={"industry": "b"})
+    return plan.export_within_quota(t.records, asked, ["master:id", "master:industry"], {}, 17, _limits(t), _usage(t), "2024-01-10")
+
+
+@query("m8b_export_within_quota", _ALLOWED_SQL + """SELECT id AS "Id", industry AS "Industry" FROM records WHERE industry ILIKE '%b%' AND (SELECT allowed FROM verdict)""")
+def _(t: Tables):
+    return _export(t)[0]
+
+
+@query("m8c_booked_usage", _ALLOWED_SQL + "SELECT id AS user_id, '2024-01-10' AS export_date, requested AS rows_count FROM verdict WHERE allowed")
+def _(t: Tables):
+    return _export(t)[1].withColumn("export_date", c("export_date").cast("string"))
+
+
 # ── Data health ─────────────────────────────────────────────────────────────
 _HEALTH_SQL = """
 WITH health AS (SELECT id, created_at, concat('f', CAST(id AS VARCHAR), '.xlsx') AS file_name, total_rows, valid_rows, round(valid_rows / total_rows * 100, 1) AS score,

@@ -116,6 +116,15 @@ def _(t: Tables):
     return hybrid.drop_column(rows, "gender" if "gender" in rows.columns else "job_title").select("id", "account_name", "middle_name", "country")
 
 
+@query("p13b_active_fields", f"""
+SELECT id, {_J1} AS "Loyalty Tier", json_extract_string(custom_fields, '$."3"') AS "E-mail Opt In", json_extract_string(custom_fields, '$."4"') AS "Fax" FROM records""")
+def _(t: Tables):
+    """Fields that are active once one is switched off and another on, as columns of the records."""
+    registry = hybrid.set_active(hybrid.set_active(t.field_registry, 2, False), 4, True)
+    names = hybrid.registry_names(registry, active_only=True)
+    return hybrid.flatten(records(t), ["id"], names, list(names), label=str)
+
+
 @query("p14_import_synonyms", """
 SELECT id, email_address, CASE WHEN id % 2 = 0 THEN nullif(first_name, '') ELSE NULL END AS first_name, nullif(state_province, '') AS state_province, coalesce(nullif(record_status, ''), 'active') AS record_status FROM records""")
 def _(t: Tables):

@@ -352,6 +352,41 @@ def _(t: Tables):
     return found.select(c("column").alias("col"), "semantic_type", "matched_by", "email_rate", "date_rate")
 
 
+_ALIASED = {"record_id": "text", "full_name": "text", "email": "email", "phone": "phone", "website": "url", "revenue": "text", "joined": "text", "segment": "text"}
+
+
+def _filled(rows, kinds: dict[str, str]):
+    """(col, kind, filled): the values that are there in each column, in one aggregate."""
+    counts = rows.agg(*[F.struct(F.lit(n).alias("col"), F.lit(k).alias("kind"), F.count(f"`{n}`").alias("filled")).alias(n) for n, k in kinds.items()])
+    return counts.select(F.inline(F.array(*[f"`{n}`" for n in kinds])))
+
+
+@query("t3_alias_types", " UNION ALL ".join(f"SELECT '{n}' AS col, '{k}' AS kind, count({n}) AS filled FROM contacts" for n, k in _ALIASED.items()))
+def _(t: Tables):
+    """Columns typed by their alias, text where none is known."""
+    return _filled(t.contacts, {n: typing.type_or_text(n) for n in t.contacts.columns})
+
+
+@query("t6_identifier_columns", " UNION ALL ".join(
+    f"SELECT '{n}' AS col, count(DISTINCT {n}) AS n_values FROM uploads" for n in ("id", "user_id")))
+def _(t: Tables):
+    """Identifier columns by the second detector, with their distinct values."""
+    found = typing.identifier_columns(t.uploads.columns)
+    counts = t.uploads.agg(*[F.count_distinct(n).alias(n) for n in found])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(n).alias("col"), F.col(n).alias("n_values")) for n in found])))
+
+
+_STORED_SQL = """SELECT '{0}' AS col, CASE WHEN typeof(any_value({0})) IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'numeric' WHEN typeof(any_value({0})) LIKE 'TIMESTAMP%' THEN 'date'
+  WHEN '{0}' LIKE '%phone%' THEN 'phone' WHEN '{0}' LIKE '%email%' THEN 'email' WHEN '{0}' LIKE '%url%' THEN 'url' ELSE 'text' END AS kind, count({0}) AS filled FROM records"""
+
+
+@query("t8_stored_types", " UNION ALL ".join(_STORED_SQL.format(n) for n in ("id", "email_address", "primary_phone_number", "job_title", "lead_source", "created_at")))
+def _(t: Tables):
+    """Columns of the stored table typed by their SQL type and name."""
+    rows = t.records.select("id", "email_address", "primary_phone_number", "job_title", "lead_source", "created_at")
+    return _filled(rows, {n: typing.stored_type(n, d) for n, d in rows.dtypes})
+
+
 _RULES_SQL = """(VALUES ('validate_email', 'email'), ('validate_email_domain', 'email'), ('validate_phone', 'phone'), ('validate_url', 'url'), ('validate_numeric', 'numeric'),
   ('validate_numeric_range', 'numeric'), ('validate_date', 'date'), ('validate_not_empty', '*'), ('trim_whitespace', '*'), ('clean_special_chars', '*'),
   ('handle_missing', '*'), ('normalize_currency', 'numeric'), ('drop_duplicates', '*'), ('duplicate_identifier', 'identifier')) AS r(rule, allowed)"""
