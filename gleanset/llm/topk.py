@@ -8,9 +8,11 @@ bounds each score (Cauchy-Schwarz); only pairs whose bound reaches the query's
 k-th best score so far are summed on, and once the lengths alone cannot reach it
 the query is done.
 
-Query blocks meet candidate blocks by a join on the number of the query block.
-Each task takes one query block and a share of the candidate blocks and sends on
-its k best per query.
+Every query block first meets the block of the longest candidates, which gives
+each query a bar. A candidate block is sent to a query block only if the product
+of its longest vector with a query's length reaches the query's bar, so what the
+bounds exclude by lengths alone is not copied. Each task takes one query block and
+a share of the candidate blocks and sends on its k best per query.
 """
 
 from __future__ import annotations
@@ -122,7 +124,9 @@ def blocks(vectors: DataFrame, size: int) -> DataFrame:
         if held:
             yield row()
 
+    # No more ranges than full blocks: short blocks would only make more of them.
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(parts, -(-vectors.count() // size)))
     order = [F.desc("norm"), F.asc("vec_id")]
     placed = vectors.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ready = placed.select(F.spark_partition_id().cast("long").alias("part"), "vec_id", "norm", "cells")
@@ -132,13 +136,13 @@ def blocks(vectors: DataFrame, size: int) -> DataFrame:
 class Search:
     """The k best of one block of queries, fed with candidate blocks by descending length."""
 
-    def __init__(self, ids: np.ndarray, cells: np.ndarray, axes: np.ndarray, top: int):
+    def __init__(self, ids: np.ndarray, cells: np.ndarray, axes: np.ndarray, top: int, bar: np.ndarray | None = None):
         self.ids, self.cells, self.axes, self.top = ids, cells, axes, top
         self.turned = cells.astype(np.float64) @ axes
         self.lengths = np.sqrt((self.turned**2).sum(axis=1))
         empty = np.empty(0, np.int64)
         self.query, self.score, self.found = empty, empty, empty
-        self.bar = np.full(len(ids), -np.inf)
+        self.bar = np.full(len(ids), -np.inf) if bar is None else bar.copy()
         self.cuts = sorted({max(1, axes.shape[1] // part) for part in STEPS})
         self.rests = [np.sqrt((self.turned[:, cut:] ** 2).sum(axis=1)) for cut in self.cuts]
         self.summed = 0
@@ -194,6 +198,44 @@ class Search:
         self.bar[full] = self.score[last[full]]
 
 
+def block_of(batch: pa.RecordBatch, row: int, dim: int, prefix: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """Ids and cells of one block, filled up to ``dim``."""
+    width = batch.column(prefix + "width")[row].as_py()
+    ids = np.frombuffer(batch.column(prefix + "ids")[row].as_py(), np.int64)
+    cells = np.zeros((len(ids), dim), np.int64)
+    cells[:, :width] = np.frombuffer(batch.column(prefix + "cells")[row].as_py(), np.int64).reshape(len(ids), width)
+    return ids, cells
+
+
+def first_bars(asked: DataFrame, longest: DataFrame, axes: np.ndarray, top: int) -> tuple[list[float], DataFrame]:
+    """From the products with the longest candidates: per query block the length that a candidate needs, and (qb, bars).
+
+    The bar of a query is its ``top``-th best score there, or minus infinity;
+    shorter candidates than the least quotient of bar and length of a block's
+    queries reach no bar. A query of length 0 takes any candidate.
+    """
+    dim = len(axes)
+
+    def work(batch: pa.RecordBatch) -> dict:
+        needs, bars = [], []
+        for row in range(batch.num_rows):
+            search = Search(*block_of(batch, row, dim), axes, top)
+            search.feed(*block_of(batch, row, dim, "long_"))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                need = np.where(search.lengths > SLACK, (search.bar - SLACK) / search.lengths, -np.inf)
+            # Lengths are rounded sums; a part in a million covers them.
+            least = float(need.min())
+            needs.append(least * (1 - 1e-6) if least > 0 else least * (1 + 1e-6))
+            bars.append(search.bar.tolist())
+        return {"qb": batch.column("qb"), "need": pa.array(needs, pa.float64()), "bars": pa.array(bars, pa.list_(pa.float64()))}
+
+    single = longest.select(F.lit(1).alias("__one"), *[F.col(c).alias(f"long_{c}") for c in ("width", "ids", "cells")])
+    met = asked.withColumn("__one", F.lit(1)).join(F.broadcast(single), "__one")
+    found = settled(per_batch(met.select("qb", "width", "ids", "cells", "long_width", "long_ids", "long_cells"), "qb int, need double, bars array<double>", work), "bars")
+    needs = [r["need"] for r in found.select("qb", "need").orderBy("qb").collect()]
+    return needs, found.select("qb", "bars")
+
+
 def top_inner_products(
     rows: DataFrame, is_query: Column, top: int = TOP, scale: int = SCALE, vec_id: str = "vec_id", vector: str = "embedding",
     block: int = BLOCK, queries: int = QUERIES, share: int = SHARE,
@@ -214,14 +256,19 @@ def top_inner_products(
     asked = settled(blocks(vectors.filter(is_query), queries), "queries")
     number = Window.orderBy("part", "number")
     order = asked.select("part", "number").withColumn("qb", F.row_number().over(number) - 1)
+    # One number for each query block reaches the driver.
     n_queries, n_blocks = asked.count(), candidates.count()
     shares = max(1, -(-n_blocks // share))
+    asked = settled(asked.join(order, ["part", "number"]), "asked")
+    longest = candidates.orderBy(F.desc("norm"), "part", "number").limit(1)
+    needs, bars = first_bars(asked, longest, axes, top)
     every = F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))
-    ask = asked.join(order, ["part", "number"]).withColumn("share", every)
-    queried = ask.select("qb", "share", F.lit(0).alias("kind"), "norm", "width", "ids", "cells")
-    meets = F.explode(F.sequence(F.lit(0), F.lit(max(0, n_queries - 1))))
-    dealt = candidates.withColumn("share", F.pmod(F.xxhash64("part", "number"), F.lit(shares)).cast("int")).withColumn("qb", meets)
-    fed = dealt.select("qb", "share", F.lit(1).alias("kind"), "norm", "width", "ids", "cells")
+    ask = asked.join(bars, "qb").withColumn("share", every)
+    queried = ask.select("qb", "share", F.lit(0).alias("kind"), "norm", "width", "ids", "cells", "bars")
+    near = F.posexplode(F.transform(F.lit(needs), lambda need: need <= F.col("norm")))
+    sent = candidates.select("*", near.alias("qb", "__near")).filter("__near")
+    dealt = sent.withColumn("share", F.pmod(F.xxhash64("part", "number"), F.lit(shares)).cast("int"))
+    fed = dealt.select("qb", "share", F.lit(1).alias("kind"), "norm", "width", "ids", "cells", F.lit(None).cast("array<double>").alias("bars"))
     ready = queried.union(fed).repartition("qb", "share").sortWithinPartitions("qb", "share", "kind", F.desc("norm"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,16 +282,14 @@ def top_inner_products(
 
         for batch in batches:
             for row in range(batch.num_rows):
-                qb, part, kind, width = (batch.column(n)[row].as_py() for n in ("qb", "share", "kind", "width"))
-                ids = np.frombuffer(batch.column("ids")[row].as_py(), np.int64)
-                cells = np.zeros((len(ids), dim), np.int64)
-                cells[:, :width] = np.frombuffer(batch.column("cells")[row].as_py(), np.int64).reshape(len(ids), width)
+                qb, part, kind = (batch.column(n)[row].as_py() for n in ("qb", "share", "kind"))
+                ids, cells = block_of(batch, row, dim)
                 if (qb, part) != at:
                     if search is not None:
                         yield out()
                     search, at = None, (qb, part)
                 if kind == 0:
-                    search = Search(ids, cells, axes, top)
+                    search = Search(ids, cells, axes, top, np.array(batch.column("bars")[row].as_py()))
                 elif search is not None:
                     search.feed(ids, cells)
         if search is not None:

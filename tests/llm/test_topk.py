@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gleanset.llm import topk
 from gleanset.llm.topk import Search, top_inner_products
 
 SCHEMA = "vec_id long, embedding array<float>, label string, score string, rank string"
@@ -54,6 +55,29 @@ def test_bounds_skip_most_products():
     assert search.summed < 0.1 * 20 * 4000
 
 
+@pytest.mark.parametrize("partitions", [4, 40])
+def test_blocks_do_not_follow_the_partitions(spark, partitions):
+    """However many partitions: full blocks, and short candidates are sent to no query block."""
+    random = np.random.default_rng(5)
+    rows = random.normal(size=(600, 8)) * np.where(np.arange(600) < 100, 4, 0.01)[:, None]
+    vectors = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(rows)]
+    frame = spark.createDataFrame([(i, v, "", "", "") for i, v in vectors], SCHEMA)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        made = topk.settled(topk.whole_vectors(frame), "vectors")
+        made_blocks = topk.settled(topk.blocks(made, 50), "blocks")
+        assert made_blocks.count() <= 2 * 12
+        asked = topk.blocks(made.filter("vec_id % 50 = 0 AND vec_id < 100"), 50).withColumn("qb", F.lit(0))
+        needs, bars = topk.first_bars(asked, made_blocks.orderBy(F.desc("norm")).limit(1), np.eye(8), 5)
+        near = made_blocks.filter(F.col("norm") >= needs[0]).count()
+        assert len(needs) == 1 and near < made_blocks.count() / 2
+        got = top_inner_products(frame, F.col("vec_id") % 50 == 0, block=50, queries=10)
+        assert {tuple(r) for r in got.collect()} == by_hand(vectors, lambda i: i % 50 == 0, 5)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_own_rows_take_no_places_in_the_first_bar():
     """A queried id with many vectors, all longer than the others: its own rows fill the top of the block."""
     random = np.random.default_rng(6)
