@@ -207,7 +207,6 @@ class PrefixCounts(_Pieced):
         self.unbroken = regex.compile(r"\S+").findall
         self.space = regex.compile(r"\s").match
         self.cut = regex.compile("|".join(map(regex.escape, self.special)) or "(?!)").finditer
-        self.pieces.most, self.words.most = PIECES // 2, WORDS // 2
 
     def _stays_inside(self, pair: tuple[str, str]) -> bool:
         """Whether two tokens inside a word are the encoding of their text; with an empty first one, a single token."""
