@@ -192,7 +192,7 @@ def read_documents(spark: SparkSession, folder: str, with_ids: bool = False) ->
         types = {"part": pa.int32(), "ids": pa.binary()}
         return {n: pa.array(v, types.get(n, pa.int64())) for n, v in out.items()}
 
-    read = per_batch(spark.read.parquet(folder), schema, work)
+    read = per_batch(spark.read.parquet(folder), schema, work, keeps=("tokens",))
     starts = chunk_index(spark, folder).select("part", "chunk", F.col("start").alias("__start"))
     placed = read.join(starts, ["part", "chunk"]).withColumn("start", F.col("__start") + F.col("at"))
     return placed.select("doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))

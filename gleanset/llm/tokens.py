@@ -147,10 +147,17 @@ class SpaceDropping(_Pieced):
 
 
 class SpaceLeading(_Pieced):
-    """Pieces with the space before them. A text may be cut before a space that a word follows at once."""
+    """Pieces with the space before them. A text may be cut before a space that a word follows at once.
+
+    Words keep their marks and their case, so there are more of them to keep.
+    """
 
     pattern = BYTE_PIECES
 
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.words.most = 2 * WORDS
+
     def _chunk(self, chunk: str) -> bytes:
         if not chunk:
             return b""
