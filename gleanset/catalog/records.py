@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from gleanset.catalog.base import Tables, query
 from gleanset.functions import scalars
 from gleanset.operators import completeness as complete, enrich as enriching, filters, mapping as hybrid
-from gleanset.plans import ingest as ingestion, records as plan
+from gleanset.plans import ingest as ingestion, paging, records as plan
 from gleanset.plans.records import RecordQuery
 
 c = F.col
@@ -389,6 +391,25 @@ def _(t: Tables):
     return RecordQuery(fields={"industry": "b"}, page=99_999).info(t.records)
 
 
+@query("l2c_page_after_key", """
+SELECT id, country, company_name FROM records WHERE country > 'NATION_2' OR (country = 'NATION_2' AND id > 10) ORDER BY country ASC, id ASC LIMIT 200""")
+def _(t: Tables):
+    """The page behind a row of which value and id are known."""
+    asked = RecordQuery(sort_by="country", ascending=True, per_page=200)
+    return paging.page_after(t.records, asked, paging.Cursor("NATION_2", 10)).select("id", "country", "company_name")
+
+
+@query("l2d_page_by_key", """
+SELECT id, job_title FROM (SELECT id, job_title, row_number() OVER (ORDER BY job_title DESC NULLS LAST, id) AS n, count(*) OVER () AS total FROM records WHERE industry ILIKE '%b%') x
+WHERE n > (total // 100) * 50 AND n <= (total // 100) * 50 + 50""")
+def _(t: Tables):
+    """The page in the middle of a search, whatever its length, through counted key ranges."""
+    asked = RecordQuery(fields={"industry": "b"}, sort_by="job_title", per_page=50)
+    index = paging.page_index(t.records, asked)
+    total = index.agg(F.sum("rows")).first()[0] or 0
+    return paging.page_at(t.records, replace(asked, page=total // 100 + 1), index).select("id", "job_title")
+
+
 @query("l3_preview", "SELECT record_id, coalesce(full_name, '') AS full_name, coalesce(email, '') AS email FROM contacts ORDER BY record_id LIMIT 15")
 def _(t: Tables):
     return plan.preview(t.contacts.select("record_id", "full_name", "email"), "record_id")

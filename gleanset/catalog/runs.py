@@ -183,14 +183,13 @@ SELECT segment AS sheet, count(*) AS total_rows, count(*) FILTER (WHERE NOT bad
   count(*) FILTER (WHERE NOT bad AND place > 1) AS duplicate_rows_removed FROM ranked GROUP BY ROLLUP (segment)""")
 def _(t: Tables):
     """One sheet per segment, with the rules saved for the fields their columns map to."""
-    contacts = t.contacts.select("record_id", "email", "phone", "website", "segment")
+    contacts = t.contacts.select("record_id", "email", "phone", "website", c("segment").alias("sheet"))
     # sheets of one workbook: a handful by nature
-    names = sorted(r["segment"] for r in contacts.select("segment").distinct().collect())
-    sheets = {n: contacts.filter(c("segment") == n).drop("segment") for n in names}
+    names = sorted(r["sheet"] for r in contacts.select("sheet").distinct().collect())
     mapping = {"email": "master:email_address", "phone": "custom:2", "website": "__discard__"}
     saved = {"master:email_address": [("trim_whitespace",), ("validate_email",)], "custom:2": [("drop_duplicates",)]}
-    runs = plan.clean_sheets(sheets, "record_id", {n: mapping for n in names}, saved, {"email": "email", "phone": "phone"})
-    return plan.sheet_totals(runs)
+    runs = plan.clean_workbook(contacts, "sheet", "record_id", {n: mapping for n in names}, saved, {"email": "email", "phone": "phone"})
+    return plan.workbook_totals(runs, "sheet")
 
 
 @query("a22_totals_over_sheets", """

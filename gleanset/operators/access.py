@@ -53,8 +53,27 @@ def visible_rows(
     """Rows of the users one viewer may see; an admin sees all of them."""
     if role == "admin":
         return rows
-    seen = visible_users(users).filter(F.col("viewer") == viewer).select(F.col("visible").alias(key), F.lit(True).alias("__seen"))
-    return lookup(rows, seen, [key]).filter("__seen").drop("__seen")
+    seen = seen_by(users, viewer)
+    return rows.join(seen, rows[key] == seen["id"], "left_semi")
+
+
+def seen_by(users: DataFrame, viewer: int) -> DataFrame:
+    """Ids of the users one viewer sees, as in :func:`visible_users`, from each user's two superiors."""
+    def superior(key: str, role: str, above: str) -> DataFrame:
+        return users.select(F.col("id").alias(key), F.col("role").alias(role), F.col("manager_id").alias(above))
+
+    own = users.select("id", "role", "manager_id")
+    first = lookup(own, superior("manager_id", "lead_role", "lead_manager"), ["manager_id"])
+    ranked = lookup(first, superior("lead_manager", "top_role", "top_manager"), ["lead_manager"])
+    direct = (F.col("manager_id") == viewer) & (
+        ((F.col("lead_role") == "manager") & (F.col("role") == "team_lead"))
+        | ((F.col("lead_role") == "team_lead") & (F.col("role") == "user"))
+    )
+    below = (
+        (F.col("lead_manager") == viewer) & (F.col("top_role") == "manager")
+        & (F.col("lead_role") == "team_lead") & (F.col("role") == "user")
+    )
+    return ranked.filter((F.col("id") == viewer) | direct | below).select("id")
 
 
 def role_permissions(roles: DataFrame, grants: DataFrame, permissions: DataFrame) -> DataFrame:

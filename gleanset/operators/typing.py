@@ -74,22 +74,25 @@ def _rate(hit: Column) -> Column:
     return F.avg(F.coalesce(hit, F.lit(False)).cast("int"))
 
 
-def _cells(df: DataFrame, columns: list[str]) -> DataFrame:
-    """All non-null values as (column, value), in one pass over the rows."""
+def _cells(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """All non-null values as (column, value), after the columns ``by``, in one pass over the rows."""
+    by = by or []
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
-    return df.select(F.inline(cells)).filter("value is not null").select("column", strip(F.col("value")).alias("value"))
+    return df.select(*by, F.inline(cells)).filter("value is not null").select(*by, "column", strip(F.col("value")).alias("value"))
 
 
-def profile(df: DataFrame, columns: list[str], row_id: str, size: int | None = None) -> DataFrame:
-    """Hit rates and inferred type per column; empty columns are text.
+def profile(
+    df: DataFrame, columns: list[str], row_id: str, size: int | None = None, by: list[str] | None = None
+) -> DataFrame:
+    """Hit rates and inferred type per column, and per value of ``by``; empty columns are text.
 
     Every value counts, in one aggregate that tasks combine first; with ``size``
-    only the first so many values of a column by row id.
+    only the first so many values of a column by row id, over all of ``by``.
     """
     value = F.col("value")
     digits = F.regexp_replace(value, r"[^\d.\-]", "")
-    cells = _cells(df, columns) if size is None else sample(df, columns, row_id, size)
-    rates = cells.groupBy("column").agg(
+    cells = _cells(df, columns, by) if size is None else sample(df, columns, row_id, size)
+    rates = cells.groupBy(*(by or []), "column").agg(
         F.count(F.lit(1)).alias("sampled"),
         *[_rate(value.rlike(p)).alias(f"{k}_rate") for k, p in fixed.INFERENCE_PATTERNS.items()],
         _rate(plain_number(digits).isNotNull()).alias("numeric_rate"),
@@ -132,10 +135,8 @@ def resolve(
     )
 
 
-def column_types(
-    df: DataFrame, columns: list[str], row_id: str, overrides: dict[str, str] | None = None
-) -> dict[str, str]:
-    """Types for plan building; samples the data only for undecided columns."""
+def _named_types(columns: list[str], overrides: dict[str, str] | None) -> dict[str, str | None]:
+    """Types that overrides or names decide, None for the others."""
     types = {}
     for c in columns:
         if overrides and c in overrides:
@@ -144,9 +145,31 @@ def column_types(
             types[c] = "identifier"
         else:
             types[c] = alias_type(c)
+    return types
+
+
+def column_types(
+    df: DataFrame, columns: list[str], row_id: str, overrides: dict[str, str] | None = None
+) -> dict[str, str]:
+    """Types for plan building; samples the data only for undecided columns."""
+    types = _named_types(columns, overrides)
     undecided = [c for c in columns if types[c] is None]
     if undecided:
         # one row per column
         found = {r["column"]: r["inferred"] for r in profile(df, undecided, row_id).collect()}
         types.update({c: found.get(c, "text") for c in undecided})
     return types
+
+
+def sheet_types(
+    rows: DataFrame, sheet: str, columns: dict[str, list[str]], overrides: dict[str, str] | None = None
+) -> dict[str, dict[str, str]]:
+    """Types of the ``columns`` of every sheet, as :func:`column_types` finds them in the sheet alone, in one pass."""
+    types = {name: _named_types(own, overrides) for name, own in columns.items()}
+    undecided = sorted({c for own in types.values() for c, kind in own.items() if kind is None})
+    found = {}
+    if undecided:
+        # one row per sheet and column
+        rates = profile(rows.withColumnRenamed(sheet, "__sheet"), undecided, "", by=["__sheet"])
+        found = {(r["__sheet"], r["column"]): r["inferred"] for r in rates.select("__sheet", "column", "inferred").collect()}
+    return {name: {c: kind or found.get((name, c), "text") for c, kind in own.items()} for name, own in types.items()}

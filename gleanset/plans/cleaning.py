@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,12 +14,13 @@ from gleanset.functions.text import missing, strip
 from gleanset.operators.dedup import completeness, fuzzy_duplicates, key_winners, repeated
 from gleanset.operators.medians import exact_medians
 from gleanset.operators.rules import REGISTRY, Rule, default_rules
-from gleanset.operators.typing import column_types
+from gleanset.operators.typing import column_types, sheet_types
 from gleanset.session import settle
 
 RULES_FAILED = "Rule(s) Failed"
 FAILURE_REASON = "Failure Reason"
 DEDUP_MESSAGE = "Removed during deterministic deduplication"
+ERRORS = "array<struct<seq:int,rule:string,column:string,message:string,score:double>>"
 
 
 @dataclass(frozen=True)
@@ -67,7 +69,7 @@ class CleaningResult:
         return summarise(self.classified)
 
 
-def summarise(classified: DataFrame, *by: str) -> DataFrame:
+def summarise(classified: DataFrame, *by: str | Column) -> DataFrame:
     """Row counts per outcome."""
     outcome = F.col("__outcome")
     return classified.groupBy(*by).agg(
@@ -141,31 +143,48 @@ def _layers(rules: list[tuple[int, Rule]]) -> list[list[tuple[int, Rule]]]:
     return layers
 
 
-def _statistics(frame: DataFrame, rules: list[tuple[int, Rule]]) -> dict[int, Column]:
+def _statistics(
+    frame: DataFrame, rules: list[tuple[int, Rule]], by: str | None = None, parts: tuple[str, ...] = ()
+) -> dict[int, Column]:
     """The median or mean each fill rule of a layer needs.
 
-    Computed here, once per run: one number per rule comes to the driver and
-    enters every output as a literal instead of being worked out again in each.
+    Computed here, once per run: one number per rule, and per value of ``by`` if
+    there is one, comes to the driver and enters every output as a literal instead
+    of being worked out again in each.
     """
-    names = {seq: f"__stat{seq}" for seq, _ in rules}
-    parsed = frame.select(*[cleaning.shorthand_number(F.col(f"`{r.column}`")).alias(names[s]) for s, r in rules])
-    medians = [names[s] for s, r in rules if r.strategy == "median"]
-    means = [names[s] for s, r in rules if r.strategy == "mean"]
+    sections = [(None, None)] if by is None else [(p, F.col(f"`{by}`") == p) for p in parts]
+    names = {(seq, i): f"__stat{seq}_{i}" for seq, _ in rules for i in range(len(sections))}
+    strategies = {name: rule.strategy for seq, rule in rules for (s, _), name in names.items() if s == seq}
+    cells = []
+    for seq, rule in rules:
+        number = cleaning.shorthand_number(F.col(f"`{rule.column}`"))
+        for i, (_, inside) in enumerate(sections):
+            cells.append((number if inside is None else F.when(inside, number)).alias(names[seq, i]))
+    parsed = frame.select(*cells)
+    medians = [n for n, strategy in strategies.items() if strategy == "median"]
+    means = [n for n, strategy in strategies.items() if strategy == "mean"]
     found = {}
     if medians:
         found.update(exact_medians(parsed, medians).first().asDict())
     if means:
         found.update(parsed.agg(*[F.avg(n).alias(n) for n in means]).first().asDict())
-    return {seq: F.lit(found[name]).cast("double") for seq, name in names.items()}
+    statistics = {}
+    for seq, _ in rules:
+        numbers = [F.lit(found[names[seq, i]]).cast("double") for i in range(len(sections))]
+        chosen = numbers[0]
+        if by is not None:
+            chosen = F.coalesce(*[F.when(inside, n) for (_, inside), n in zip(sections, numbers)])
+        statistics[seq] = chosen
+    return statistics
 
 
 def clean_values(
-    df: DataFrame, rules: list[Rule], types: dict[str, str]
+    df: DataFrame, rules: list[Rule], types: dict[str, str], by: str | None = None, parts: tuple[str, ...] = ()
 ) -> tuple[DataFrame, list[tuple[int, str, str, str]]]:
     """Apply the cleaning rules; returns the frame and its missing-value flags.
 
     Each layer is one select. A median or mean is taken over all rows at the
-    rule's own position.
+    rule's own position, or over those of each of ``parts``, the values of ``by``.
     """
     ruled = {r.column for r in rules}
     frame = df.select(
@@ -178,7 +197,7 @@ def clean_values(
             (s, r) for s, r in layer
             if r.name == "handle_missing" and r.strategy in ("median", "mean") and types[r.column] == "numeric"
         ]
-        statistics = _statistics(frame, fills) if fills else {}
+        statistics = _statistics(frame, fills, by, parts) if fills else {}
         changed: dict[str, Column] = {}
         added: list[Column] = []
         for seq, rule in layer:
@@ -211,7 +230,7 @@ def flag_missing(frame: DataFrame, flags: list[tuple[int, str, str, str]]) -> Da
         for _, _, found, flag in flags:
             if found == wanted:
                 outcome = F.when(F.col(flag), F.lit(wanted)).otherwise(outcome)
-    no_errors = F.array().cast("array<struct<seq:int,rule:string,column:string,message:string,score:double>>")
+    no_errors = F.array().cast(ERRORS)
     return frame.select(
         *[F.col(f"`{c}`") for c in frame.columns if not c.startswith("__miss")],
         (F.array_compact(F.array(*errors)) if errors else no_errors).alias("__errors"),
@@ -219,7 +238,7 @@ def flag_missing(frame: DataFrame, flags: list[tuple[int, str, str, str]]) -> Da
     )
 
 
-def validate_rows(frame: DataFrame, rules: list[Rule], row_id: str | None = None) -> DataFrame:
+def validate_rows(frame: DataFrame, rules: list[Rule], row_id: str | None = None, by: str | None = None) -> DataFrame:
     """Append the errors of every validation rule to rows still alive."""
     alive = F.col("__outcome").isNull()
     found, helpers = [], []
@@ -232,7 +251,7 @@ def validate_rows(frame: DataFrame, rules: list[Rule], row_id: str | None = None
             name = f"__repeated{seq}"
             # rows that left earlier count as a group of their own
             frame = frame.withColumn("__alive", alive)
-            frame = repeated(frame, ["__alive", rule.column], row_id, name).drop("__alive")
+            frame = repeated(frame, ["__alive", *([by] if by else []), rule.column], row_id, name).drop("__alive")
             helpers.append(name)
             fails, message = F.col(name), F.lit(f"Repeated identifier in column '{rule.column}'")
         else:
@@ -250,39 +269,35 @@ def validate_rows(frame: DataFrame, rules: list[Rule], row_id: str | None = None
 
 def remove_duplicates(
     frame: DataFrame, dedupe: list[str], types: dict[str, str], columns: list[str], row_id: str, seq: int,
-    block_rows: int | None = None,
+    block_rows: int | None = None, by: str | None = None,
 ) -> DataFrame:
-    """Exact dedup on canonical keys, then fuzzy dedup inside e-mail / phone blocks of at most ``block_rows``."""
+    """Exact dedup on canonical keys, then fuzzy dedup inside e-mail / phone blocks of at most ``block_rows``.
+
+    With ``by``, a column without NULLs, rows compete with rows of the same value only.
+    """
     used = [c for c in dedupe if types[c] != "identifier"]
     if not used:
         return frame
     keys = {c: f"__key{i}" for i, c in enumerate(used)}
+    apart = [by] if by else []
     keyed = frame.select(
         row_id, F.col("__outcome").isNull().alias("__alive"), *[F.col(f"`{c}`") for c in columns],
         *[canonical(F.col(f"`{c}`"), types[c]).alias(k) for c, k in keys.items()],
     )
-    names = list(keys.values())
-    scored = keyed.withColumn("__score", completeness([*columns, *names]))
-    winners = key_winners(scored, names, "__score", row_id, "__alive")
-    marked = frame.join(winners.withColumn("__won", F.lit(True)), row_id, "left")
-
+    names = [*apart, *keys.values()]
+    scored = keyed.withColumn("__score", completeness([*columns, *keys.values()]))
     identity = [keys[c] for c in used if types[c] in ("email", "phone")]
     texts = [c for c in used if types[c] == "text"]
-    fuzzy = F.array().cast("array<struct<seq:int,rule:string,column:string,message:string,score:double>>")
     if identity and texts:
-        survivors = scored.join(winners, row_id, "left_semi")
-        near = fuzzy_duplicates(survivors, identity, texts, "__score", row_id, block_rows=block_rows)
-        shown = F.round("score", 3)
-        error = F.struct(
-            (F.lit(seq) + F.col("position")).alias("seq"), F.lit("fuzzy_duplicate").alias("rule"), F.col("column"),
-            F.concat(F.col("column"), F.lit(" matched with similarity "), shown.cast("string")).alias("message"),
-            shown.alias("score"),
-        )
-        # at most one entry per text column
-        by_row = near.groupBy(row_id).agg(F.array_sort(F.collect_list(error)).alias("__fuzzy"))
-        marked = marked.join(by_row, row_id, "left")
-        fuzzy = F.coalesce(F.col("__fuzzy"), fuzzy)
-    gone = F.col("__outcome").isNull() & (F.col("__won").isNull() | (F.size(fuzzy) > 0))
+        narrow = scored.select(row_id, "__alive", "__score", *dict.fromkeys([*names, *texts]))
+        lost = _fuzzy_verdicts(narrow, names, [*apart, *identity], texts, row_id, seq, block_rows)
+        marked = frame.join(lost, row_id, "left")
+        fuzzy, beaten = F.col("__fuzzy"), F.col("__fuzzy").isNotNull()
+    else:
+        winners = key_winners(scored, names, "__score", row_id, "__alive")
+        marked = frame.join(winners.withColumn("__won", F.lit(True)), row_id, "left")
+        fuzzy, beaten = F.array().cast(ERRORS), F.col("__won").isNull()
+    gone = F.col("__outcome").isNull() & beaten
     removal = _error(seq + len(texts), "duplicate_removal", ", ".join(dedupe), DEDUP_MESSAGE)
     return marked.select(
         *[F.col(f"`{c}`") for c in frame.columns if c not in ("__errors", "__outcome")],
@@ -291,6 +306,31 @@ def remove_duplicates(
     )
 
 
+def _fuzzy_verdicts(
+    narrow: DataFrame, names: list[str], identity: list[str], texts: list[str], row_id: str, seq: int,
+    block_rows: int | None,
+) -> DataFrame:
+    """(row_id, __fuzzy) of alive rows that exact or fuzzy dedup removes; no entries for exact duplicates.
+
+    The cleaned keys and texts are written once; winners, blocks and pairs read
+    them, and every output of a run reads the verdicts instead of finding them anew.
+    """
+    narrow = settle(narrow)
+    winners = key_winners(narrow, names, "__score", row_id, "__alive")
+    won = settle(narrow.drop("__alive").join(winners, row_id, "left_semi"))
+    near = fuzzy_duplicates(won, identity, texts, "__score", row_id, block_rows=block_rows)
+    shown = F.round("score", 3)
+    error = F.struct(
+        (F.lit(seq) + F.col("position")).alias("seq"), F.lit("fuzzy_duplicate").alias("rule"), F.col("column"),
+        F.concat(F.col("column"), F.lit(" matched with similarity "), shown.cast("string")).alias("message"),
+        shown.alias("score"),
+    )
+    # at most one entry per text column
+    resembling = near.groupBy(row_id).agg(F.array_sort(F.collect_list(error)).cast(ERRORS).alias("__fuzzy"))
+    beaten = narrow.filter("__alive").select(row_id).join(won.select(row_id), row_id, "left_anti")
+    return settle(beaten.withColumn("__fuzzy", F.array().cast(ERRORS)).unionByName(resembling))
+
+
 def clean(
     df: DataFrame,
     rules: list[Rule],
@@ -298,23 +338,28 @@ def clean(
     dedupe: list[str] | None = None,
     types: dict[str, str] | None = None,
     block_rows: int | None = None,
+    by: str | None = None,
+    parts: tuple[str, ...] = (),
 ) -> CleaningResult:
     """Run the rules over every row and classify it as cleaned, invalid or removed.
 
     ``block_rows`` bounds the blocks of the fuzzy dedup; by default all are compared.
+    With ``by``, a column without NULLs that holds ``parts``, every part is cleaned as if
+    it were alone: duplicates, repeated identifiers and fill values are its own.
 
     A row leaves at the first stage that claims it: missing values, validation,
     exact duplicates, fuzzy duplicates.
     """
     columns = [c for c in df.columns if c != row_id]
-    dedupe = [c for c in dedupe or [] if c in columns]
+    worked = [c for c in columns if c != by]
+    dedupe = [c for c in dedupe or [] if c in worked]
     used = {r.column for r in rules}.union(dedupe)
-    kinds = column_types(df, [c for c in columns if c in used], row_id, types)
+    kinds = column_types(df, [c for c in worked if c in used], row_id, types)
     usable, warned = compatible_rules(rules, kinds)
     warnings = df.sparkSession.createDataFrame(warned, "rule string, column string, message string")
-    frame, flags = clean_values(df, usable, kinds)
-    checked = validate_rows(flag_missing(frame, flags), usable, row_id)
-    deduped = remove_duplicates(checked, dedupe, kinds, columns, row_id, 2 * len(usable), block_rows)
+    frame, flags = clean_values(df, usable, kinds, by, parts)
+    checked = validate_rows(flag_missing(frame, flags), usable, row_id, by)
+    deduped = remove_duplicates(checked, dedupe, kinds, columns, row_id, 2 * len(usable), block_rows, by)
     classified = deduped.withColumn("__outcome", F.coalesce("__outcome", F.lit("cleaned")))
     return CleaningResult(classified, warnings, columns, row_id)
 
@@ -365,17 +410,66 @@ def clean_sheets(
     for name, sheet in sheets.items():
         mapping = mappings.get(name, {})
         kept = discard_columns(sheet, mapping)
-        rules, dedupe = [], []
-        for column in kept.columns:
-            for rule, *rest in rules_by_target.get(mapping.get(column, ""), []):
-                if rule == "drop_duplicates":
-                    dedupe.append(column)
-                else:
-                    rules.append(Rule(rule, column, rest[0] if rest else "flag"))
+        rules, dedupe = _saved_rules(kept.columns, mapping, rules_by_target)
         results[name] = clean(kept, rules, row_id, dedupe, types)
     return results
 
 
+def _saved_rules(
+    columns: list[str], mapping: dict[str, str], rules_by_target: dict[str, list[tuple]]
+) -> tuple[list[Rule], list[str]]:
+    """Rules and dedupe columns saved for the fields that columns map to."""
+    rules, dedupe = [], []
+    for column in columns:
+        for rule, *rest in rules_by_target.get(mapping.get(column, ""), []):
+            if rule == "drop_duplicates":
+                dedupe.append(column)
+            else:
+                rules.append(Rule(rule, column, rest[0] if rest else "flag"))
+    return rules, dedupe
+
+
+def clean_workbook(
+    rows: DataFrame,
+    sheet: str,
+    row_id: str,
+    mappings: dict[str, dict[str, str]],
+    rules_by_target: dict[str, list[tuple]],
+    types: dict[str, str] | None = None,
+) -> list[CleaningResult]:
+    """Clean all sheets of one frame, as :func:`clean_sheets` does; one run per group of like sheets.
+
+    ``rows`` holds every sheet's rows under ids of their own; ``sheet`` names
+    their sheet and is never NULL. A sheet has the columns its mapping names
+    and is left out if it has no mapping. Sheets of equal mappings and column
+    types are one group, so plans grow with the groups and not with the sheets.
+    Types come from each sheet's own values, in one pass for all sheets.
+    """
+    plans = {}
+    for name, mapping in mappings.items():
+        columns = [c for c in rows.columns if c in mapping and mapping[c] != "__discard__"]
+        rules, dedupe = _saved_rules(columns, mapping, rules_by_target)
+        plans[name] = columns, rules, dedupe
+    used = {name: list(dict.fromkeys([*(r.column for r in rules), *dedupe])) for name, (_, rules, dedupe) in plans.items()}
+    kinds = sheet_types(rows, sheet, used, types)
+    groups: dict[tuple, list[str]] = {}
+    for name, (columns, rules, dedupe) in plans.items():
+        like = tuple(columns), tuple((r.name, r.column, r.strategy) for r in rules), tuple(dedupe), tuple(sorted(kinds[name].items()))
+        groups.setdefault(like, []).append(name)
+    results = []
+    for names in groups.values():
+        columns, rules, dedupe = plans[names[0]]
+        part = rows.filter(F.col(f"`{sheet}`").isin(names)).select(row_id, sheet, *[F.col(f"`{c}`") for c in columns])
+        results.append(clean(part, rules, row_id, dedupe, kinds[names[0]], by=sheet, parts=tuple(names)))
+    return results
+
+
+def workbook_totals(results: list[CleaningResult], sheet: str) -> DataFrame:
+    """Counts per sheet and, with a NULL sheet, over all of them."""
+    counts = reduce(DataFrame.unionByName, [summarise(r.classified, F.col(f"`{sheet}`").alias("sheet")) for r in results])
+    return counts.rollup("sheet").agg(*[F.sum(c).alias(c) for c in counts.columns if c != "sheet"])
+
+
 def sheet_totals(results: dict[str, CleaningResult]) -> DataFrame:
     """Counts per sheet and, with a NULL sheet, over all of them."""
     frames = [

@@ -63,10 +63,14 @@ class RecordQuery:
     def matching(self, df: DataFrame) -> DataFrame:
         return df.filter(self.predicate(df))
 
-    def order(self, df: DataFrame) -> list[Column]:
-        """The sort column if the table has it, else the id; ids break ties."""
+    def sort_column(self, df: DataFrame) -> str:
+        """The sort column if the table has it, else the id."""
         wanted = fixed.FIELD_SYNONYMS.get(self.sort_by.lower(), self.sort_by.lower())
-        column = wanted if wanted in df.columns and wanted != "custom_fields" else "id"
+        return wanted if wanted in df.columns and wanted != "custom_fields" else "id"
+
+    def order(self, df: DataFrame) -> list[Column]:
+        """By the sort column; ids break ties."""
+        column = self.sort_column(df)
         first = F.asc(column) if self.ascending else F.desc(column)
         return [first] if column == "id" else [first, F.asc("id")]
 

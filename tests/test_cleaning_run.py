@@ -158,3 +158,50 @@ def test_canonical_key_of_dedup_column(spark):
     rows = spark.createDataFrame([(1, "a.b+z@gmail.com"), (2, "AB@gmail.com"), (3, None), (4, None)], "rid bigint, email string")
     run = plan.clean(rows, [], "rid", ["email"], {"email": "email"})
     assert outcomes(run) == {1: "cleaned", 2: "removed", 3: "cleaned", 4: "removed"}
+
+
+def test_workbook_equals_its_sheets(spark):
+    """Like sheets are one run: medians, repeated identifiers, exact and fuzzy duplicates stay within a sheet."""
+    cells = []
+    for i in range(60):
+        name = "abc"[i % 3]
+        amount = None if i % 7 == 0 else str(i * i) if name != "c" else "word"
+        cells.append((i, name, f"Person Number {i // 12}" + "x" * (i % 2), f"p{i // 9}@x.com" if i % 10 else "bad", amount, str(i if i % 5 else i % 15)))
+    rows = spark.createDataFrame(cells, "rid bigint, sheet string, who string, mail string, grade string, code string")
+    mapping = {"who": "master:full_name", "mail": "master:email_address", "grade": "custom:1", "code": "custom:2"}
+    other = {"who": "__discard__", "mail": "master:email_address", "grade": "custom:1"}
+    saved = {"master:full_name": [("drop_duplicates",)], "master:email_address": [("validate_email",), ("drop_duplicates",)],
+             "custom:1": [("handle_missing", "median")], "custom:2": [("duplicate_identifier",)]}
+    types = {"who": "text", "mail": "email", "code": "identifier"}
+    mappings = {"a": mapping, "b": mapping, "c": mapping, "d": other}
+    runs = plan.clean_workbook(rows, "sheet", "rid", mappings, saved, types)
+    # "c" holds words, so its grades are of another type; "d" has no rows
+    assert [r.columns for r in runs] == [["sheet", "who", "mail", "grade", "code"]] * 2 + [["sheet", "mail", "grade"]]
+    def seen(result):
+        return {r["rid"]: (r["__outcome"], r["grade"], [tuple(e) for e in r["__errors"]]) for r in result.classified.collect()}
+    together = {}
+    for run in runs:
+        together.update(seen(run))
+    sheets = {n: rows.filter(F.col("sheet") == n).drop("sheet") for n in "abc"}
+    alone = {}
+    for run in plan.clean_sheets(sheets, "rid", mappings, saved, types).values():
+        alone.update(seen(run))
+    assert together == alone and len(alone) == 60
+    assert {e[1] for _, _, errors in alone.values() for e in errors} >= {"validate_email", "duplicate_identifier", "duplicate_removal", "fuzzy_duplicate"}
+    totals = {r["sheet"]: r["total_rows"] for r in plan.workbook_totals(runs, "sheet").collect()}
+    assert totals == {"a": 20, "b": 20, "c": 20, None: 60}
+
+
+def test_scans_do_not_grow_with_sheets_and_fuzzy_dedup_reads_twice(spark, tmp_path, contacts):
+    path = str(tmp_path / "t")
+    contacts.withColumn("sheet", F.concat(F.lit("s"), F.col("rid") % 4)).write.parquet(path)
+    rows = spark.read.parquet(path)
+    def scans(df):
+        return df._jdf.queryExecution().sparkPlan().toString().count("FileScan")
+    mapping = {"email": "master:email_address", "phone": "custom:2"}
+    saved = {"master:email_address": [("trim_whitespace",)], "custom:2": [("drop_duplicates",)]}
+    counts = [
+        scans(plan.workbook_totals(plan.clean_workbook(rows, "sheet", "rid", {f"s{i}": mapping for i in range(n)}, saved, TYPES), "sheet"))
+        for n in (1, 4)]
+    assert counts[0] == counts[1] <= 2
+    assert scans(plan.clean(rows.drop("sheet"), [], "rid", ["email", "phone", "name"], TYPES).classified) == 2

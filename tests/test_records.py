@@ -1,9 +1,11 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from gleanset.functions.scalars import json_map, map_json
-from gleanset.operators import completeness, enrich, filters, mapping
-from gleanset.plans import ingest, records as plan
+from gleanset.operators import access, completeness, enrich, filters, mapping
+from gleanset.plans import ingest, paging, records as plan
 from gleanset.plans.records import RecordQuery
 
 
@@ -222,3 +224,46 @@ def test_enrich_fills_only_blank_fields(spark):
     assert (got[1]["first_name"], got[1]["city"], got[1]["record_status"]) == ("Pat", "Old", "Enriched")
     assert got[2]["email_address"] == "P@x.com" and got[2]["enriched_fields"] == ["email_address"]
     assert got[3]["lead_source"] is None and got[4]["lead_source"] == "old"
+
+
+@pytest.mark.parametrize("column,ascending", [("country", True), ("country", False), ("id", False), ("id", True)])
+def test_pages_by_key_equal_pages_by_offset(spark, column, ascending):
+    """A value of half the rows, NULL values, ids in no order, ranges cut more than once."""
+    n = 300
+    cells = [(i * 37 % n, None if i % 11 == 0 else "hot" if i % 2 else f"c{i % 7}", "a" if i % 3 else "b") for i in range(n)]
+    rows = spark.createDataFrame(cells, "id bigint, country string, city string").repartition(5)
+    asked = RecordQuery(fields={"city": "a"}, sort_by=column, ascending=ascending, per_page=40)
+    index = paging.page_index(rows, asked, ranges=4)
+    whole = [tuple(r) for r in asked.matching(rows).orderBy(*asked.order(rows)).collect()]
+    pages = -(-len(whole) // asked.per_page)
+    for page in (1, 3, pages, pages + 50):
+        got = paging.page_at(rows, replace(asked, page=page), index, ranges=4, small=8)
+        assert [tuple(r) for r in got.collect()] == whole[(page - 1) * asked.per_page:page * asked.per_page]
+    seen, cursor = [], None
+    for _ in range(pages):
+        page = paging.page_after(rows, asked, cursor).collect()
+        seen += [tuple(r) for r in page]
+        cursor = paging.cursor_of(asked, rows, page[-1])
+    assert seen == whole
+
+
+def test_paging_without_rows_and_without_offset(spark, table):
+    none = table.filter("id < 0")
+    asked = RecordQuery(sort_by="company_name")
+    index = paging.page_index(none, asked)
+    assert paging.page_at(none, replace(asked, page=9), index).count() == 0
+    plan_text = paging.page_after(table, asked, paging.Cursor("x", 3))._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan_text and "offset" not in plan_text.lower()
+
+
+def test_viewer_sees_self_direct_and_next_level(spark):
+    users = spark.createDataFrame(
+        [(1, "admin", None), (2, "manager", 1), (3, "team_lead", 2), (4, "user", 3), (5, "user", 2), (6, "manager", 2), (7, "user", 6), (8, "team_lead", 3), (9, "user", 8), (10, "team_lead", 10)],
+        "id bigint, role string, manager_id bigint")
+    pairs = {}
+    for r in access.visible_users(users).collect():
+        pairs.setdefault(r["viewer"], set()).add(r["visible"])
+    for viewer in range(1, 11):
+        got = [r["id"] for r in access.seen_by(users, viewer).collect()]
+        assert len(got) == len(set(got)) and set(got) == pairs[viewer]
+    assert pairs[2] == {2, 3, 4}
