@@ -1,8 +1,11 @@
+import math
 import random
+from collections import Counter
 
 import pytest
 
-from gleanset.llm.language import declared_language, identify, language_models, places, visible_text
+from gleanset.llm.grams import BUCKETS
+from gleanset.llm.language import EVIDENCE, STRENGTH, declared_language, identify, language_models, places, visible_text
 
 WORDS = {
     "de": "der die und nicht eine straße über haus keit ung schön".split(),
@@ -68,3 +71,63 @@ def test_empty_tables(spark, models):
     assert names == []
     page = spark.createDataFrame([(1, "http://a.b", "<p>x</p>", "", "")], PAGES)
     assert [tuple(r) for r in identify(page, names, shares).collect()] == [(1, None, None, None, None)]
+
+
+def softmax(odds):
+    top = max(odds.values())
+    chances = {k: math.exp(v - top) for k, v in odds.items()}
+    return {k: v / sum(chances.values()) for k, v in chances.items()}
+
+
+def test_posterior_by_hand(spark):
+    """Models, trust in declarations, smoothed priors and the fused chance, each worked out in plain Python."""
+    docs = [(text(lang, i, 40), lang) for lang in WORDS for i in range(6)] + [(None, "en"), ("x y z w", None)]
+    names, shares = language_models(spark.createDataFrame(docs, "text string, lang string"))
+    def grams(t):
+        raw = t.encode()
+        return [(int.from_bytes(raw[i:i + 4], "little") * 2654435761 % 2**32) >> 16 for i in range(len(raw) - 3)]
+    counts = {n: Counter() for n in names}
+    for t, lang in docs:
+        if t is not None and lang is not None:
+            counts[lang].update(grams(t))
+    def share(lang, b):
+        return math.log((counts[lang][b] + 0.5) / (sum(counts[lang].values()) + 0.5 * BUCKETS))
+    pages = []
+    for i in range(80):
+        pick = random.Random(i)
+        lang = pick.choice(names)
+        words = " ".join(pick.choice(WORDS[lang if pick.random() < 0.6 else pick.choice(names)]) for _ in range(pick.randint(0, 5)))
+        said = pick.choice([f' lang="{lang}"', ' lang="en"', ' lang="xx"', ""])
+        host = pick.choice([f"http://{lang}.big.org/", f"http://www{i % 4}.{lang}.net/", "http://hot.big.org/", None])
+        pages.append((i, host, f"<html{said}><p>{words}</p></html>", "", ""))
+    pages += [(90, None, None, "", ""), (91, "http://hot.big.org/", "", "", "")]
+    seen = {}
+    for i, url, page, *_ in pages:
+        found, said = grams(visible_text(page or "")), declared_language(page or "")
+        weight = min(len(found), EVIDENCE) / max(1, len(found))
+        seen[i] = ({n: weight * sum(share(n, b) for b in found) for n in names}, said if said is None or said in names else "other", places(url))
+    trust, total = {}, Counter()
+    for odds, said, _ in seen.values():
+        trust.setdefault(said, Counter()).update(softmax(odds))
+        total.update(softmax(odds))
+    odds = {i: {n: o[n] + math.log((trust[said][n] + 1) / (total[n] + 1 + len(names) + 2)) for n in names} for i, (o, said, _) in seen.items()}
+    own = {i: softmax(o) for i, o in odds.items()}
+    sums = {}
+    for i, (_, _, where) in seen.items():
+        sums.setdefault("all", Counter()).update(own[i])
+        for level, name in zip(("host", "domain", "suffix"), where, strict=True):
+            if name is not None:
+                sums.setdefault((level, name), Counter()).update(own[i])
+    got = {r["page_id"]: r for r in identify(spark.createDataFrame(pages, PAGES).repartition(3), names, shares).collect()}
+    assert set(got) == set(seen)
+    for i, (_, said, (host, domain, suffix)) in seen.items():
+        prior = {n: max(sums["all"][n] - own[i][n], 0) + 1 for n in names}
+        prior = {n: p / sum(prior.values()) for n, p in prior.items()}
+        for place in (("suffix", suffix), ("domain", domain), ("host", host)):
+            others = {n: max(sums[place][n] - own[i][n], 0) if place in sums else 0 for n in names}
+            prior = {n: (others[n] + STRENGTH * prior[n]) / (sum(others.values()) + STRENGTH) for n in names}
+        final = softmax({n: odds[i][n] + math.log(prior[n]) for n in names})
+        best = max(names, key=lambda n: final[n])
+        assert got[i]["declared"] == said and got[i]["lang"] == best
+        assert got[i]["probability"] == pytest.approx(final[best], abs=1e-4)
+    assert len({r["lang"] for r in got.values()}) == 3 and min(r["probability"] for r in got.values()) < 0.9

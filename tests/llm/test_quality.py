@@ -1,6 +1,8 @@
+import math
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -8,8 +10,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gleanset.llm.cotraining import scored, train
-from gleanset.llm.grams import gram_buckets, labelled_sample
-from gleanset.llm.quality_rules import COUNTS, Rules, best_threshold, fit, measured, passing, text_counts
+from gleanset.llm.grams import BUCKETS, gram_buckets, labelled_sample
+from gleanset.llm.quality_rules import (
+    CARE, COUNTS, LABELLED, PRIOR, SEED, STEP, UNIT, Rules, best_threshold, fit, measured, passing, text_counts,
+)
 from gleanset.llm.common import utf8
 from tests.llm import cases
 
@@ -121,3 +125,58 @@ def test_sample_takes_the_lowest_label_and_is_bounded(spark):
     rows = labelled_sample(labels, F.col("quality"), 20, 1).collect()
     assert len(rows) == 20 == len({r["doc_id"] for r in rows})
     assert all(r["label"] == 0 for r in rows if r["doc_id"] == 1)
+
+
+def plain_buckets(text):
+    raw = (text or "").encode()
+    return [(int.from_bytes(raw[i:i + 4], "little") * 2654435761 % 2**32) >> 16 for i in range(len(raw) - 3)]
+
+
+def test_ratio_threshold_and_verdict_by_hand(spark):
+    """Documents of both labels share most words, so that scores overlap; some fail the base rules."""
+    rows, labels = [], []
+    for i in range(300):
+        pick, words = random.Random(i), cases.prose(i, 60 if i % 9 else 30).split()
+        bad = i % 3 == 0
+        text = " ".join(pick.choice(["buy", "now", "click", "win"]) if pick.random() < (0.12 if bad else 0.05) else w for w in words)
+        rows.append((i, None if i == 7 else text, "en", "s", 0, "k", "s", "x", "n"))
+        if i % 4:
+            labels.append((i, int(not bad), 0))
+    docs, labelled = spark.createDataFrame(rows, cases.SCHEMA), spark.createDataFrame(labels, LABELS)
+    rules = fit(docs, labelled)
+    fold = {r["doc_id"]: (r["label"], r["fold"]) for r in labelled_sample(labelled, labelled["quality"], LABELLED, SEED).collect()}
+    assert set(fold) == {i for i, _, _ in labels}
+    raw, trusted = Counter(), Counter()
+    for i, text, *_ in rows:
+        raw.update(plain_buckets(text))
+        if fold.get(i) == (1, 0):
+            trusted.update(plain_buckets(text))
+    every, good = sum(raw.values()), sum(trusted.values())
+    ratio = {}
+    for b in raw:
+        corpus = (raw[b] + 1) / (every + BUCKETS)
+        ratio[b] = math.log((trusted[b] + PRIOR * corpus) / (good + PRIOR)) - math.log(corpus)
+        assert abs(rules.ratios[b] / UNIT - ratio[b]) < 2 / UNIT
+    score, failed = {}, {}
+    for i, text, *_ in rows:
+        found = plain_buckets(text)
+        score[i] = sum(ratio[b] for b in found) / max(1, len(found))
+        n, _, _, _, repeated = by_hand(text or "")
+        failed[i] = n < 50 or 100 * repeated > 50 * n
+    held = [(math.floor(score[i] * STEP), label) for i, (label, half) in fold.items() if half == 1 and not failed[i]]
+    sizes = Counter(label for _, label in held)
+    bounds = range(min(s for s, _ in held), max(s for s, _ in held) + 2)
+    losses = {
+        e: Fraction(int(CARE) * sum(s < e and label == 1 for s, label in held), sizes[1]) + Fraction(sum(s >= e and label == 0 for s, label in held), sizes[0])
+        for e in bounds
+    }
+    best = [e for e in bounds if losses[e] == min(losses.values())]
+    low = next(e for e in reversed(best) if e - 1 not in best)
+    assert rules.threshold == (low + best[-1]) / 2 / STEP
+    got = {r["doc_id"]: r for r in measured(docs, rules).collect()}
+    assert len(got) == len(rows)
+    for i in got:
+        assert abs(got[i]["score"] - score[i]) < 1e-5 and got[i]["base_failed"] == failed[i]
+        if abs(score[i] - rules.threshold) > 1e-5:
+            assert got[i]["kept"] == (not failed[i] and score[i] > rules.threshold)
+    assert 0 < sum(r["kept"] for r in got.values()) < sum(not r["base_failed"] for r in got.values())
