@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanset import fixed
 from gleanset.operators.access import notifications
 from gleanset.operators.activity import category_counts
 from gleanset.operators.mapping import map_rows
@@ -20,7 +21,7 @@ from gleanset.operators.rules import Rule
 from gleanset.operators.skew import attach
 from gleanset.plans.cleaning import clean_values, flag_missing, validate_rows
 from gleanset.plans.ingest import Ingested, digest, duplicate_key, ingest
-from gleanset.streaming.ordered import Failures, Stays, in_order
+from gleanset.streaming.ordered import Failures, Stays, by_stretch, in_order
 
 LATENESS = "1 hour"
 SESSION_GAP = "30 minutes"
@@ -175,9 +176,14 @@ def tumbling_counts(logs: DataFrame, unit: str) -> DataFrame:
 
 
 def failure_alerts(attempts: DataFrame) -> DataFrame:
-    """(username, attempted_at, fifth_last) of every moment of a failure whose trailing ten minutes hold five or more."""
+    """(username, attempted_at, fifth_last) of every moment of a failure whose trailing ten minutes hold five or more.
+
+    A user's stretches of time are keys of their own, so many tasks work on one
+    user and none holds more than a stretch.
+    """
     failed = event_time(attempts.filter("success = 0"), "attempted_at")
-    return in_order(failed.select("username", F.col("attempted_at").alias("at"), F.lit("").alias("what")), "username", Failures())
+    events = failed.select("username", F.col("attempted_at").alias("at"), F.lit("").alias("what"))
+    return in_order(by_stretch(events, fixed.LOGIN_WINDOW_SECONDS * 1_000_000), ["username", "stretch"], Failures())
 
 
 def first_seen(rows: DataFrame, keys: list[str], column: str, lateness: str = LATENESS) -> DataFrame:
@@ -316,4 +322,4 @@ def stale_uploads(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
     minutes. An upload that left processing has no state.
     """
     timed = event_time(events, "at", lateness)
-    return in_order(timed.select("id", "at", F.col("status").alias("what")), "id", Stays())
+    return in_order(timed.select("id", "at", F.col("status").alias("what")), ["id"], Stays())

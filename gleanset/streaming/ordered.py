@@ -4,12 +4,18 @@ Events wait in a list in the state until the watermark passes them; only then ar
 they sorted and handed to the rule. So what a rule says depends on event times
 alone, not on files, batches or the order in which events arrive. A key has one
 timer at a time: the earliest moment at which something is to be done.
+
+A task holds a time and a number for each waiting event of one key, and the
+events themselves by the slice. A rule that looks back no further than a span
+gets keys of one stretch of time each (:func:`by_stretch`).
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,14 +26,18 @@ from gleanset import fixed
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STALE_MINUTES = 5
 NEVER = 1 << 62
+# Events that a rule gets, and that are written to the state, at once.
+SLICE = 10_000
+# Microseconds of the event time that one key of by_stretch holds.
+STRETCH = 6 * 3600 * 1_000_000
 
 
 class InOrder(StatefulProcessor):
     """Hands the events (``at`` in microseconds, ``what``) of a key to :meth:`follow` once the watermark has passed them.
 
     ``MEMORY`` is the schema of what the rule remembers of a key, ``OUT`` that of
-    its rows. Events of a key that wait, those of the allowed lateness, are held
-    in one task while they are sorted.
+    its rows. Times of a key's waiting events, those of the allowed lateness, are
+    held in one task while they are sorted, some 30 bytes an event.
     """
 
     MEMORY = ""
@@ -39,10 +49,27 @@ class InOrder(StatefulProcessor):
         self.memory = handle.getValueState("memory", self.MEMORY)
         self.timer = handle.getValueState("timer", "at long")
 
-    def follow(self, key: tuple, memory: tuple | None, events: list[tuple], upto: int) -> tuple[tuple | None, list[dict], int]:
-        """The new memory (None: nothing to remember), rows to emit, and when to come again (microseconds, or NEVER)."""
+    def follow(self, key: tuple, memory: tuple | None, events: list[tuple], upto: int, ahead: int) -> tuple[tuple | None, list[dict], int]:
+        """The new memory (None: nothing to remember), rows to emit, and when to come again (microseconds, or NEVER).
+
+        Events come in slices: the next one begins at ``ahead`` (NEVER: this is
+        the last), and nothing else happens until ``upto``.
+        """
         raise NotImplementedError
 
+    def _held(self) -> tuple[np.ndarray, np.ndarray, list]:
+        """The waiting events in the order of (at, what): times, places in the list of distinct ``what``, and that list."""
+        times, codes, seen = array("q"), array("l"), {}
+        for at, what in self.waiting.get() if self.waiting.exists() else ():
+            times.append(at)
+            codes.append(seen.setdefault(what, len(seen)))
+        named = sorted(seen, key=lambda what: (what is not None, what or ""))
+        places = np.empty(len(named), np.int64)
+        places[[seen[what] for what in named]] = np.arange(len(named))
+        at, place = np.frombuffer(times, np.int64), places[np.frombuffer(codes, np.int64)]
+        order = np.lexsort((place, at))
+        return at[order], place[order], named
+
     def _wake(self, at: int, watermark: int) -> None:
         """Let the key's only timer be at ``at`` microseconds, behind the watermark (milliseconds)."""
         if self.timer.exists():
@@ -65,21 +92,28 @@ class InOrder(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
         self.timer.clear()
-        events = list(self.waiting.get()) if self.waiting.exists() else []
-        ready = sorted(e for e in events if e[0] <= watermark * 1000)
-        left = [e for e in events if e[0] > watermark * 1000]
+        at, place, named = self._held()
+
+        def part(low: int, high: int) -> list[tuple]:
+            return [(moment, named[p]) for moment, p in zip(at[low:high].tolist(), place[low:high].tolist(), strict=True)]
+
+        ready = int(np.searchsorted(at, watermark * 1000, "right"))
         if ready:
             self.waiting.clear()
-            if left:
-                self.waiting.put(left)
-        memory, rows, due = self.follow(key, tuple(self.memory.get()) if self.memory.exists() else None, ready, watermark * 1000)
+            for low in range(ready, len(at), SLICE):
+                self.waiting.appendList(part(low, low + SLICE))
+        memory = tuple(self.memory.get()) if self.memory.exists() else None
+        for low in range(0, max(ready, 1), SLICE):
+            high = min(low + SLICE, ready)
+            ahead = int(at[high]) if high < ready else NEVER
+            memory, rows, due = self.follow(key, memory, part(low, high), min(watermark * 1000, ahead), ahead)
+            if rows:
+                yield pd.DataFrame(rows)
         if memory is not None:
             self.memory.update(memory)
         elif self.memory.exists():
             self.memory.clear()
-        self._wake(min([due, *[e[0] for e in left]]), watermark)
-        if rows:
-            yield pd.DataFrame(rows)
+        self._wake(min([due, *at[ready:ready + 1].tolist()]), watermark)
 
     def close(self) -> None:
         pass
@@ -95,7 +129,7 @@ class Stays(InOrder):
     MEMORY = "since long, fired boolean"
     OUT = "id long, status string, processing_since timestamp"
 
-    def follow(self, key, memory, events, upto):
+    def follow(self, key, memory, events, upto, ahead):
         limit = STALE_MINUTES * 60_000_000
         since, fired = memory or (None, False)
         rows = []
@@ -118,44 +152,56 @@ class Stays(InOrder):
 
 
 class Failures(InOrder):
-    """Moments at which the trailing ten minutes hold five failures: a ring of the last five failure times."""
+    """Moments at which the trailing ten minutes hold five failures: a ring of the last five failure times.
+
+    A key is a user's stretch of time. Failures before it are there to look back on.
+    """
 
     MEMORY = "ring array<long>"
     OUT = "username string, attempted_at timestamp, fifth_last timestamp"
 
-    def follow(self, key, memory, events, upto):
+    def follow(self, key, memory, events, upto, ahead):
+        username, start = key
         span = fixed.LOGIN_WINDOW_SECONDS * 1_000_000
         ring, rows = list(memory[0]) if memory else [], []
         for place, (at, _) in enumerate(events):
             ring = [*ring, at][-fixed.LOGIN_FAILURES:]
-            last = place + 1 == len(events) or events[place + 1][0] != at
-            if last and len(ring) == fixed.LOGIN_FAILURES and ring[0] > at - span:
-                rows.append({"username": key[0], "attempted_at": moment(at), "fifth_last": moment(ring[0])})
+            last = at != (events[place + 1][0] if place + 1 < len(events) else ahead)
+            if last and at >= start and len(ring) == fixed.LOGIN_FAILURES and ring[0] > at - span:
+                rows.append({"username": username, "attempted_at": moment(at), "fifth_last": moment(ring[0])})
         if not ring or ring[-1] + span <= upto:
             return None, rows, NEVER
         return (ring,), rows, ring[-1] + span
 
 
-def in_order(events: DataFrame, key: str, rule: InOrder) -> DataFrame:
-    """The rule's rows over a stream of (key, at, what) with a watermark on ``at``."""
+def by_stretch(events: DataFrame, span: int) -> DataFrame:
+    """Events (with ``at``) with the ``stretch`` they are in, its first microsecond, and once more in each that begins less than ``span`` microseconds later."""
+    at = F.unix_micros("at")
+    until = at + F.lit(span - 1)
+    return events.withColumn("stretch", F.explode(F.sequence(*[t - F.pmod(t, F.lit(STRETCH)) for t in (at, until)], F.lit(STRETCH))))
+
+
+def in_order(events: DataFrame, keys: list[str], rule: InOrder) -> DataFrame:
+    """The rule's rows over a stream of (keys, at, what) with a watermark on ``at``."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    return events.select(key, "at", "what").groupBy(key).transformWithStateInPandas(rule, rule.OUT, "Append", "EventTime")
+    return events.select(*keys, "at", "what").groupBy(*keys).transformWithStateInPandas(rule, rule.OUT, "Append", "EventTime")
 
 
 def open_failures(spark: SparkSession, checkpoint: str) -> DataFrame:
     """What :class:`Failures` would say of the failures that still wait in the state of a stream, as batch rows.
 
     A failure's fifth last one is the fourth before it, among those waiting and
-    the ring.
+    the ring of its stretch.
     """
+    keys = ["key.username", "key.stretch"]
     state = spark.read.format("statestore")
-    held = state.option("stateVarName", "waiting").load(checkpoint).select("key.username", F.col("list_element.at").alias("at"), F.lit(True).alias("open"))
+    held = state.option("stateVarName", "waiting").load(checkpoint).select(*keys, F.col("list_element.at").alias("at"), F.lit(True).alias("open"))
     ring = spark.read.format("statestore").option("stateVarName", "memory").load(checkpoint).select(
-        "key.username", F.explode("value.ring").alias("at"), F.lit(False).alias("open"))
-    order = Window.partitionBy("username").orderBy("at")
+        *keys, F.explode("value.ring").alias("at"), F.lit(False).alias("open"))
+    order = Window.partitionBy("username", "stretch").orderBy("at")
     span = fixed.LOGIN_WINDOW_SECONDS * 1_000_000
     fifth = F.lag("at", fixed.LOGIN_FAILURES - 1).over(order)
-    said = held.union(ring).withColumn("fifth", fifth).filter("open").groupBy("username", "at").agg(F.max("fifth").alias("fifth"))
+    said = held.union(ring).withColumn("fifth", fifth).filter("open AND at >= stretch").groupBy("username", "at").agg(F.max("fifth").alias("fifth"))
     return said.filter(F.col("fifth") > F.col("at") - span).select(
         "username", F.timestamp_micros("at").alias("attempted_at"), F.timestamp_micros("fifth").alias("fifth_last"))
 

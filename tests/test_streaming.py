@@ -5,11 +5,12 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from gleanset import fixed
 from gleanset.operators.activity import rolling_failures
 from gleanset.operators.rules import Rule
 from gleanset.plans import cleaning as plan
 from gleanset.sources import readers, writers
-from gleanset.streaming import jobs
+from gleanset.streaming import jobs, ordered
 from gleanset.streaming.ordered import open_failures, open_sessions
 
 START = dt.datetime(2024, 1, 1, 12, 0)
@@ -174,6 +175,82 @@ def test_bursts_across_minutes_equal_the_batch_rule(spark, folder):
         assert {(r["username"], r["attempted_at"].replace(tzinfo=None)) for r in got} == expected and len(got) == len(expected)
 
 
+def test_failures_of_a_user_wait_by_stretches_of_time(spark, folder):
+    """No key of the state holds more than a stretch and the ten minutes before it, and bursts across stretches are found."""
+    schema = "username string, attempted_at timestamp_ntz, success int"
+    pick = random.Random(3)
+    rows = [("ann", START + dt.timedelta(seconds=pick.randrange(40 * 3600)), 0) for _ in range(1200)]
+    rows += [("ann", dt.datetime(2024, 1, 2) + dt.timedelta(seconds=40 * k - 80), 0) for k in range(5)] + [("bob", START, 0), (None, START, 0), ("bob", None, 0)]
+    batch = rolling_failures(spark.createDataFrame([r for r in rows if r[0] == "ann"], schema)).filter("fails >= 5").collect()
+    expected = {(r["username"], r["attempted_at"]) for r in batch}
+    assert ("ann", dt.datetime(2024, 1, 2) + dt.timedelta(seconds=80)) in expected
+    got = in_batches(spark, folder, rows, schema, 1, [], lambda s, out: jobs.run_to_end(jobs.failure_alerts(s), out, open_failures)).collect()
+    assert {(r["username"], r["attempted_at"].replace(tzinfo=None)) for r in got} == expected and len(got) == len(expected)
+    state = spark.read.format("statestore").option("stateVarName", "waiting").option("batchId", 0).load(f"{folder}-1-out/checkpoint")
+    held = state.filter("key.username = 'ann'").groupBy("key").agg((F.max("list_element.at") - F.min("list_element.at")).alias("span"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(held) >= 7 and max(r["n"] for r in held) < 400
+    assert all(r["span"] < ordered.STRETCH + fixed.LOGIN_WINDOW_SECONDS * 1_000_000 for r in held)
+
+
+class Held:
+    """A state variable of one key, in memory; the longest list it was given at once is in ``most``."""
+
+    def __init__(self):
+        self.value, self.most = None, 0
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def appendList(self, rows):
+        self.most = max(self.most, len(rows))
+        self.value = [*(self.value or []), *rows]
+
+    def clear(self):
+        self.value = None
+
+
+class Handle:
+    registerTimer = deleteTimer = staticmethod(lambda at: None)
+
+    def getListState(self, name, schema):
+        return Held()
+
+    getValueState = getListState
+
+
+@pytest.mark.parametrize("rule, key, names", [(ordered.Failures, ("u", 0), [""]), (ordered.Stays, (1,), ["processing"] * 20 + ["completed", None])])
+def test_rules_get_their_events_in_slices(monkeypatch, rule, key, names):
+    """Slices of any length give the same rows, state and timer, also where a moment with several events is cut."""
+    pick = random.Random(4)
+    events = [(pick.randrange(40) * 60_000_000, pick.choice(names)) for _ in range(120)]
+    seen, longest = [], []
+
+    class Watched(rule):
+        def follow(self, key, memory, events, *rest):
+            longest.append(len(events))
+            return super().follow(key, memory, events, *rest)
+
+    class Values:
+        getCurrentWatermarkInMs = staticmethod(lambda: 30 * 60_000)
+
+    for size in (1, 7, 1000):
+        monkeypatch.setattr(ordered, "SLICE", size)
+        del longest[:]
+        made = Watched()
+        made.init(Handle())
+        made.waiting.value = list(events)
+        rows = [tuple(r) for frame in made.handleExpiredTimer(key, Values, None) for r in frame.itertuples(index=False)]
+        assert max(longest) <= size and made.waiting.most <= size
+        seen.append((rows, made.waiting.value, made.memory.value, made.timer.value))
+    assert seen[0] == seen[1] == seen[2] and seen[0][0] and len(seen[0][1]) == sum(e[0] > 30 * 60_000_000 for e in events)
+
+
 def test_sessions_open_at_the_end_come_out(spark, folder):
     schema = "user_id bigint, created_at timestamp_ntz"
     minutes = lambda n: START + dt.timedelta(minutes=n)
